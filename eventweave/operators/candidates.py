@@ -152,24 +152,27 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def member_evidence(candidates: DataFrame, membership: DataFrame, member_times: DataFrame,
-                    article_emb: DataFrame, anchor_sets: DataFrame, *, model_key: str,
+                    article_emb: DataFrame, texts: DataFrame, *, model_key: str,
                     max_members: int = 20) -> DataFrame:
     """Per (article, story): nearest of the latest other members, members checked and shared
-    names. One spare member is read so that the article itself can be left out."""
+    names. One spare member is read so that the article itself can be left out; names are
+    extracted from the texts of the articles and members concerned only."""
     pairs = candidates.select("article_id", "story_id").distinct()
     recent = recent_members(
         membership.join(pairs.select("story_id").distinct(), "story_id", "left_semi"),
         member_times, max_members + 1,
     ).withColumnRenamed("article_id", "member_id")
     joined = pairs.join(recent, "story_id").filter("member_id <> article_id")
-    checked = top_rows(joined, ["article_id", "story_id"], ["recency"], max_members, "_n")
+    checked = top_rows(joined, ["article_id", "story_id"], ["recency"], max_members, "_n").select(
+        "article_id", "story_id", "member_id")
+    needed = checked.select("article_id").unionByName(
+        checked.select(F.col("member_id").alias("article_id"))).distinct()
+    names = article_anchors(texts.join(needed, "article_id", "left_semi"))
     vec = article_emb.filter(F.col("model_key") == model_key).select("article_id", "vector")
-    member = vec.withColumnsRenamed({"article_id": "member_id", "vector": "_mv"}).join(
-        anchor_sets.withColumnsRenamed(
-            {"article_id": "member_id", "capitalized": "_mc", "strong": "_ms"}),
-        "member_id", "full")
+    other = {"article_id": "member_id", "vector": "_mv", "capitalized": "_mc", "strong": "_ms"}
     found = (
-        checked.join(member, "member_id", "left")
+        checked.join(vec.withColumnsRenamed(other), "member_id", "left")
+        .join(names.withColumnsRenamed(other), "member_id", "left")
         .join(vec.withColumnRenamed("vector", "_v"), "article_id", "left")
         .withColumn("_d", cosine_distance(F.col("_v"), F.col("_mv")))
         .groupBy("article_id", "story_id")
@@ -178,11 +181,10 @@ def member_evidence(candidates: DataFrame, membership: DataFrame, member_times:
              F.array_distinct(F.flatten(F.collect_list("_mc"))).alias("_mc"),
              F.array_distinct(F.flatten(F.collect_list("_ms"))).alias("_ms"))
     )
-    return found.join(anchor_sets, "article_id", "left").select(
+    shared = shared_anchor_count(F.col("strong"), F.col("capitalized"), F.col("_ms"), F.col("_mc"))
+    return found.join(names, "article_id", "left").select(
         "article_id", "story_id", "nearest_member_distance", "members_checked",
-        F.greatest(F.coalesce(
-            shared_anchor_count(F.col("strong"), F.col("capitalized"), F.col("_ms"), F.col("_mc")),
-            F.lit(0)), F.lit(0)).cast("long").alias("shared_anchors"))
+        F.greatest(F.coalesce(shared, F.lit(0)), F.lit(0)).cast("long").alias("shared_anchors"))
 
 
 __all__ = ["article_anchors", "blocked_topk", "cosine_distance", "member_evidence",

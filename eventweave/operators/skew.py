@@ -49,12 +49,12 @@ def running_lag(df: DataFrame, keys: list[str], order: list[str], block: Column,
     value = F.struct(*values)
     tails = df.groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_t"))
     carried = tails.select(
-        *keys, "_block", F.lag("_t").over(Window.partitionBy(*keys).orderBy("_block")).alias("_c"))
+        *keys, "_block", F.lag("_t").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carried"))
     return (
-        df.withColumn("_p", F.lag(value).over(inner))
+        df.withColumn("_within", F.lag(value).over(inner))
         .join(carried, [*keys, "_block"])
-        .withColumn(name, F.coalesce("_p", "_c"))
-        .drop("_block", "_p", "_c")
+        .withColumn(name, F.coalesce("_within", "_carried"))
+        .drop("_block", "_within", "_carried")
     )
 
 

@@ -18,9 +18,21 @@ TEXT_STORY_SIZE = 12
 VECTOR_STORY_SPAN = 100
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a small table arrives in fewer splits than there are cores.
+
+    A table of usual size has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits * 2 <= cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     use_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # text work is heavy per row
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def after_epoch(amount: Column, unit: str) -> Column:
