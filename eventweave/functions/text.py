@@ -20,6 +20,8 @@ SPACE = (
 )
 # Characters whose NFKC form is themselves and whose folding is `lower` (but for ß).
 PLAIN = "\\x00-\\x7F\\u00C0-\\u00FF"
+# A run to replace: anything but one plain space.
+_RUN = f"[{SPACE.replace('\\x1c-\\x20', '\\x1c-\\x1f')}][{SPACE}]*| [{SPACE}]+"
 LETTER = "[\\p{L}\\p{Nl}\\p{No}]"
 
 
@@ -76,7 +78,7 @@ def strip(value: Column | str) -> Column:
 
 def collapse(value: Column | str) -> Column:
     """Runs of whitespace to one space, ends trimmed; NULL stays NULL."""
-    return F.trim(F.regexp_replace(_c(value), f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(_c(value), _RUN, " "))
 
 
 def nfkc(value: Column | str) -> Column:
@@ -99,11 +101,15 @@ def language_key(value: Column | str) -> Column:
     return F.lower(F.substring_index(F.trim(_c(value)), "-", 1))
 
 
+# Punctuation and symbols among the plain characters.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~×÷"
+
+
 def normalize_name(value: Column | str) -> Column:
     """Folded name with punctuation and symbols as spaces."""
     value = _c(value)
     folded = F.replace(F.lower(value), F.lit("ß"), F.lit("ss"))
-    native = collapse(F.regexp_replace(folded, "[\\p{P}\\p{S}]", " "))
+    native = collapse(F.translate(folded, _SIGNS, " " * len(_SIGNS)))
     return _branch(value, native, _name_udf)
 
 

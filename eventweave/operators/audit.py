@@ -28,15 +28,16 @@ def foreign_key_orphans(child: DataFrame, column: str, parent: DataFrame, parent
         parent.select(F.col(parent_key).alias(column)), column, "left_anti")
 
 
-_KEY_AT = '(^|[{,\\s])"([^"\\\\]*(\\\\.[^"\\\\]*)*)"\\s*:'
+# One JSON string, with the colon after it if it is a key.
+_STRING = '"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"\\s*:?'
 
 
 def json_keys(text: Column) -> Column:
-    """Every object key at any depth of a JSON text. String values cannot be mistaken for keys,
-    since a key is followed by a colon and its opening quote follows { or a comma."""
-    # values are blanked first: a quoted string not followed by a colon
-    blank = F.regexp_replace(text, '"[^"\\\\]*(\\\\.[^"\\\\]*)*"(?!\\s*:)', '""')
-    return F.regexp_extract_all(blank, F.lit(_KEY_AT), 2)
+    """Every object key at any depth of a JSON text. Strings are read one after the other, so
+    what looks like a key inside a value is not one."""
+    strings = F.regexp_extract_all(text, F.lit(_STRING), 0)
+    return F.transform(F.filter(strings, lambda x: x.endswith(":")),
+                       lambda x: F.regexp_replace(x, '^"|"\\s*:$', ""))
 
 
 CONTENT_KEYS = ["title", "body_text", "description", "payload"]

@@ -62,12 +62,12 @@ def hash_embedding(text: Column, dimension: int = policy.HASH_DIMENSION) -> Colu
     Every word adds +1 or -1 to one bucket by its SHA-256; a text without words, or whose
     words cancel out, is hashed whole.
     """
-    place = lambda token: F.struct(
-        F.pmod(F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long"), F.lit(dimension))
+    place = lambda digest: F.struct(
+        F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dimension))
         .cast("int").alias("b"),
-        F.when(F.substring(F.sha2(token, 256), 10, 1).isin(*"13579bdf"), 1.0)
-        .otherwise(-1.0).alias("s"),
+        F.when(F.substring(digest, 10, 1).isin(*"13579bdf"), 1.0).otherwise(-1.0).alias("s"),
     )
+    hashed = lambda xs: F.transform(F.transform(xs, lambda x: F.sha2(x, 256)), place)
     spread = lambda places: F.transform(
         F.sequence(F.lit(0), F.lit(dimension - 1)),
         lambda i: F.coalesce(F.element_at(places, i), F.lit(0.0)),
@@ -75,7 +75,7 @@ def hash_embedding(text: Column, dimension: int = policy.HASH_DIMENSION) -> Colu
     tokens = F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]+"), 0)
     tokens = F.when(F.size(tokens) == 0, F.array(text)).otherwise(tokens)
     # sum the signs of each bucket in one fold over the sorted placements
-    placed = F.array_sort(F.transform(tokens, place))
+    placed = F.array_sort(hashed(tokens))
     start = F.struct(F.lit(-1).alias("b"), F.lit(0.0).alias("s"),
                      F.array().cast("array<struct<b:int,s:double>>").alias("done"))
     folded = F.aggregate(
@@ -93,7 +93,7 @@ def hash_embedding(text: Column, dimension: int = policy.HASH_DIMENSION) -> Colu
     )
     counts = let(F.map_from_entries(F.filter(folded, lambda x: x["b"] >= 0)), spread)
     norm2 = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    whole = spread(F.map_from_entries(F.array(place(text))))
+    whole = spread(F.map_from_entries(hashed(F.array(text))))
     directed = let(counts, lambda c: F.when(norm2(c) == 0.0, whole).otherwise(c))
     return let(directed, lambda c: let(
         F.sqrt(norm2(c)), lambda n: F.transform(c, lambda x: x / n)))

@@ -261,7 +261,7 @@ def first_slot_dedupe(slots: DataFrame, session: list[str], order: list[str], it
     first = slots.groupBy(*session, item).agg(F.min(F.struct(*order)).alias("_o")).select(
         *session, item, "_o.*")
     cut = F.lit(0) if block is None else block
-    return running_number(first, session, order, cut, "_n").withColumn(
-        "position", F.col("_n") - 1).drop("_n")
+    return running_number(first, session, order, cut, "_slot").withColumn(
+        "position", F.col("_slot") - 1).drop("_slot")
 
 

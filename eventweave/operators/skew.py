@@ -28,16 +28,16 @@ def running_number(df: DataFrame, keys: list[str], order: list[str], block: Colu
     """1-based row number per key; `block` must not decrease along `order`."""
     df = _with_block(df, block)
     inner = Window.partitionBy(*keys, "_block").orderBy(*order)
-    sizes = df.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(*keys, "_block").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = df.withColumn("_rn", F.row_number().over(inner))
+        *keys, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    ranked = df.withColumn("_row", F.row_number().over(inner))
     return (
         ranked.join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col("_off") + F.col("_rn"))
-        .drop("_block", "_rn", "_off", "_n")
+        .withColumn(name, F.col("_before") + F.col("_row"))
+        .drop("_block", "_row", "_before", "_size")
     )
 
 

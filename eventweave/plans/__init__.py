@@ -1,5 +1,4 @@
 """Registered queries over the given tables."""
 
-from . import text_queries  # noqa: F401
-from . import story_queries  # noqa: F401
+from . import reader_queries, story_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

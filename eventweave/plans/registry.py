@@ -119,13 +119,13 @@ TABLES: dict[str, str] = {
     "known": "SELECT DISTINCT k + 1 AS story_id FROM ev WHERE k < 80",
     "cmd": """
         SELECT user_id, k + 1 AS story_id, event_id AS seq,
-          CASE WHEN event_type = 'purchase' THEN 'save' ELSE 'remove' END AS op, ts AS at
+          CASE WHEN event_type = 'purchase' THEN 'save' ELSE 'remove' END AS op, ts AS cmd_at
         FROM ev WHERE event_type IN ('purchase', 'signup')""",
     "bookmark": """
-        SELECT user_id, story_id, min(at) AS created_at FROM (
-          SELECT s.*, max(CASE WHEN op = 'remove' THEN (at, seq) END) OVER (
+        SELECT user_id, story_id, min(cmd_at) AS created_at FROM (
+          SELECT s.*, max(CASE WHEN op = 'remove' THEN (cmd_at, seq) END) OVER (
             PARTITION BY user_id, story_id) AS r FROM cmd s)
-        WHERE op = 'save' AND (r IS NULL OR (at, seq) > r) AND story_id IN (SELECT story_id FROM known)
+        WHERE op = 'save' AND (r IS NULL OR (cmd_at, seq) > r) AND story_id IN (SELECT story_id FROM known)
         GROUP BY user_id, story_id""",
     "proc": f"""
         SELECT event_id AS article_id,
