@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -178,6 +176,8 @@ def _fold_groups(rows: DataFrame, state: DataFrame) -> DataFrame:
     def run(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _fold(left, right)
 
+    # both sides may stem from one table; fresh names keep their columns apart
+    state = state.select(*[F.col(c).alias(c) for c in state.columns])
     return rows.groupBy("component").cogroup(state.groupBy("component")).applyInPandas(run, _FOLDED)
 
 
