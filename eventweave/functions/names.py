@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import words
-from .text import LETTER, SPACE, let
+from .text import LETTER, SPACE, let, listing
 
 _BREAK = f"(?<=[.!?:;])[{SPACE}]+|\\n+"
 _WORD = f"{LETTER}+(?:['’-]{LETTER}+)*"
 
 
 def _in(value: Column, items: list[str]) -> Column:
-    return F.array_contains(F.array(*[F.lit(i) for i in items]), value)
+    return F.array_contains(listing(items), value)
 
 
 def _folded(value: Column) -> Column:
@@ -50,7 +50,7 @@ def _anchor_sets(occ: Column, occ_text: Column) -> Column:
     terms = lambda xs, keep: F.array_distinct(
         F.transform(F.filter(xs, keep), lambda o: o["term"])
     )
-    excluded = F.array(*[F.lit(w) for w in words.ANCHOR_FUNCTION_WORDS + words.CALENDAR])
+    excluded = listing(words.ANCHOR_FUNCTION_WORDS + words.CALENDAR)
     always = F.array_except(
         F.array_except(terms(occ, lambda o: o["cap"] & (F.length(o["term"]) > 1)),
                        terms(occ, lambda o: ~o["cap"])),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import policy
 from . import words
-from .text import collapse
+from .text import collapse, listing
 
 _BOUNDARY = "(?<=[.!?]) (?=[\"“‘'A-Z0-9])"
 
@@ -30,7 +30,7 @@ def figures(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct runs of three or more ASCII letters that carry meaning."""
-    stop = F.array(*[F.lit(w) for w in words.SENTENCE_STOPWORDS])
+    stop = listing(words.SENTENCE_STOPWORDS)
     return F.array_except(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), 0), stop)
 
 

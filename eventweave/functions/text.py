@@ -72,6 +72,11 @@ def _branch(value: Column, native: Column, udf) -> Column:
     return F.when(_unusual(value), udf(F.when(_unusual(value), value))).otherwise(native)
 
 
+def listing(items: list[str]) -> Column:
+    """A constant array of words (folded once by the optimizer)."""
+    return F.split(F.lit(" ".join(items)), " ")
+
+
 def strip(value: Column | str) -> Column:
     return F.regexp_replace(_c(value), f"^[{SPACE}]+|[{SPACE}]+$", "")
 

@@ -18,6 +18,10 @@ DISTANCE = 0.9
 SCALED = MatchPolicy(max_distance=0.55, max_time_gap_hours=48.0, secondary_max_distance=0.8,
                      secondary_max_member_distance=0.75, min_anchors=1, max_members=20)
 
+# Tighter bounds for the jobs that run in rounds.
+CLOSE = MatchPolicy(max_distance=0.6, max_time_gap_hours=48.0, secondary_max_distance=0.7,
+                    secondary_max_member_distance=0.68, min_anchors=1, max_members=20)
+
 COSINE = """round(1 - list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) *
     list_dot_product({b}, {b})), 12)"""
 
@@ -334,7 +338,7 @@ def match_rounds(spark, d):
     done = match.match_articles(
         t.vector_articles(spark, d), t.vector_embeddings(spark, d), none,
         _story_emb(spark, d).filter("false"), t.vector_membership(spark, d).filter("false"),
-        t.vector_articles(spark, d), t.articles(spark, d), model_key=VECTOR_KEY, policy=SCALED,
+        t.vector_articles(spark, d), t.articles(spark, d), model_key=VECTOR_KEY, policy=CLOSE,
         max_distance=DISTANCE)
     return done.edges.select("article_id", "story_id", "method", F.round("similarity", 6).alias("similarity"))
 
@@ -346,7 +350,7 @@ def reprocess_articles(spark, d):
     _, edges, _ = match.reprocess_articles(
         members.filter("article_id % 5 = 0"), t.vector_articles(spark, d), t.vector_embeddings(spark, d),
         t.vector_stories(spark, d), _story_emb(spark, d), members, t.vector_articles(spark, d),
-        t.articles(spark, d), model_key=VECTOR_KEY, policy=SCALED, max_distance=DISTANCE, story_id_base=9_000_000)
+        t.articles(spark, d), model_key=VECTOR_KEY, policy=CLOSE, max_distance=DISTANCE, story_id_base=9_000_000)
     return edges.select("article_id", "story_id", "method")
 
 
