@@ -71,7 +71,8 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, k: int, max_distance: flo
     pair is met twice.
     """
     left = left.withColumn("bucket", F.floor(F.col("t") / bucket_us))
-    right = right.withColumn("bucket", F.explode(F.sequence(
+    # both sides may stem from one table; fresh names keep their columns apart
+    right = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("bucket", F.explode(F.sequence(
         F.floor(F.col("lo") / bucket_us), F.floor(F.col("hi") / bucket_us))))
     count = lambda df, name: df.groupBy(*_BUCKET).agg(
         F.ceil(F.count("*") / block_rows).cast("int").alias(name))
