@@ -8,7 +8,7 @@ import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from . import words
@@ -72,6 +72,16 @@ def _branch(value: Column, native: Column, udf) -> Column:
     return F.when(_unusual(value), udf(F.when(_unusual(value), value))).otherwise(native)
 
 
+def exploded(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """One row per element. For a plain explode Spark adds a filter on the array's size, which
+    computes a costly array twice, and below any repartition; the outer form has none."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def posexploded(df: DataFrame, keep: list, array: Column, pos: str, name: str) -> DataFrame:
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).filter(F.col(name).isNotNull())
+
+
 def listing(items: list[str]) -> Column:
     """A constant array of words (folded once by the optimizer)."""
     return F.split(F.lit(" ".join(items)), " ")

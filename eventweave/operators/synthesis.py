@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import policy
 from ..functions.sentences import content_words, figures, same_point, sentences
-from ..functions.text import collapse, event_time, first_chars
+from ..functions.text import collapse, event_time, first_chars, posexploded
+from ..session import cut_lineage
 from .skew import top_rows
 
 MODEL_KEY = "extractive:lead-sentences@1"
@@ -42,9 +43,8 @@ def synthesis_input(membership: DataFrame, articles: DataFrame, *,
 
 def claims(inputs: DataFrame) -> DataFrame:
     """Titles (ord -1) and sentences with their figures and content words."""
-    lines = inputs.select(
-        "story_id", "article_id", "position",
-        F.posexplode(F.concat(F.array("title"), sentences(F.col("text")))).alias("p", "line"))
+    lines = posexploded(inputs, ["story_id", "article_id", "position"],
+                        F.concat(F.array("title"), sentences(F.col("text"))), "p", "line")
     return lines.select(
         "story_id", "article_id", "position", (F.col("p") - 1).alias("ord"), "line",
         figures(F.col("line")).alias("figures"), content_words(F.col("line")).alias("words"))
@@ -62,27 +62,21 @@ def contested_claims(all_claims: DataFrame) -> DataFrame:
         F.sort_array(F.transform("words", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
         .alias("_s"), "words")
     n = F.size("_s")
-    prefix = F.slice("_s", 1, F.greatest(n - F.greatest(F.ceil(n / 2).cast("int"), F.lit(2)) + 1, F.lit(0)))
-
-    def keyed(df: DataFrame, tokens, tag: str) -> DataFrame:
-        named = {"article_id": f"{tag}_article", "ord": f"{tag}_ord", "figures": f"{tag}_figures",
-                 "words": f"{tag}_words"}
-        return df.withColumn("_t", F.explode(tokens)).select(
-            "story_id", F.col("_t.w").alias("token"), *[F.col(c).alias(a) for c, a in named.items()])
-
-    def disputed(left: DataFrame, right: DataFrame) -> DataFrame:
-        rule = (
-            (left["story_id"] == right["story_id"]) & (left["token"] == right["token"])
-            & (F.col("a_article") != F.col("b_article")) & (F.col("a_figures") != F.col("b_figures"))
-            & same_point(F.col("a_words"), F.col("b_words"))
-        )
-        return left.join(right, rule, "left_semi").select(
-            "story_id", F.col("a_article").alias("article_id"), F.col("a_ord").alias("ord"))
-
-    whole = F.col("_s")
-    return disputed(keyed(with_figures, prefix, "a"), keyed(with_figures, whole, "b")).unionByName(
-        disputed(keyed(with_figures, whole, "a"), keyed(with_figures, prefix, "b"))
-    ).distinct()
+    prefix = n - F.greatest(F.ceil(n / 2).cast("int"), F.lit(2)) + 1
+    tokens = posexploded(
+        with_figures.filter(n >= 2),
+        ["story_id", "article_id", "ord", "figures", "words", prefix.alias("_prefix")],
+        F.col("_s"), "_i", "_t").select(
+        "story_id", F.col("_t.w").alias("token"), "article_id", "ord", "figures", "words",
+        (F.col("_i") < F.col("_prefix")).alias("early"))
+    other = tokens.select(*[F.col(c).alias(c if c in ("story_id", "token") else f"b_{c}")
+                            for c in tokens.columns])
+    rule = (
+        (tokens["story_id"] == other["story_id"]) & (tokens["token"] == other["token"])
+        & (F.col("early") | F.col("b_early")) & (F.col("article_id") != F.col("b_article_id"))
+        & (F.col("figures") != F.col("b_figures")) & same_point(F.col("words"), F.col("b_words"))
+    )
+    return tokens.join(other, rule, "left_semi").select("story_id", "article_id", "ord").distinct()
 
 
 def lead_sentences(all_claims: DataFrame, contested: DataFrame, *,
@@ -125,9 +119,11 @@ def sentence_supporters(elements: DataFrame, inputs: DataFrame) -> DataFrame:
 def synthesize(membership: DataFrame, articles: DataFrame, *,
                max_articles: int = policy.STORY_INPUT_ARTICLES,
                max_chars: int | None = policy.STORY_INPUT_CHARS) -> DataFrame:
-    """Cited elements of every story that has an uncontested title."""
+    """Cited elements of every story that has an uncontested title.
+
+    The split lines are read by several branches, so they are written once."""
     inputs = synthesis_input(membership, articles, max_articles=max_articles, max_chars=max_chars)
-    lines = claims(inputs)
+    lines = cut_lineage(claims(inputs))
     return sentence_supporters(lead_sentences(lines, contested_claims(lines)), inputs)
 
 

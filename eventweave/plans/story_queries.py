@@ -8,6 +8,7 @@ from .. import policy
 from ..operators import candidates as cd
 from ..operators import dedup, embed, match, quality, read, refresh, synthesis
 from ..policy import MatchPolicy
+from ..session import cut_lineage
 from ..sources import tables as t
 from ..sources.tables import VECTOR_KEY
 from .registry import query
@@ -70,11 +71,11 @@ _HASH_SQL = f"""
     SELECT article_id, i, round(x, 9) AS x FROM hv WHERE x <> 0""")
 def hash_embedding(spark, d):
     """Whole texts; buckets other than zero."""
-    from ..functions.text import embedding_input
+    from ..functions.text import embedding_input, posexploded
 
     text = embedding_input("title", "description", "body_text", None)
-    return t.articles(spark, d).select("article_id", text.alias("t")).select(
-        "article_id", F.posexplode(embed.hash_embedding(F.col("t"))).alias("i", "x")).filter("x <> 0").select(
+    texts = t.articles(spark, d).select("article_id", text.alias("t"))
+    return posexploded(texts, ["article_id"], embed.hash_embedding(F.col("t")), "i", "x").filter("x <> 0").select(
         "article_id", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
 
 
@@ -509,7 +510,7 @@ _LEAD_SQL = _CLAIM_SQL + """,
 @query("lead_sentences", _LEAD_SQL + """
     SELECT story_id, kind, position, text FROM chosen WHERE story_id IN (SELECT story_id FROM title)""")
 def lead_sentences(spark, d):
-    lines = synthesis.claims(_inputs(spark, d))
+    lines = cut_lineage(synthesis.claims(_inputs(spark, d)))
     rows = synthesis.lead_sentences(lines, synthesis.contested_claims(lines))
     return rows.withColumn("position", F.col("position").cast("long"))
 

@@ -263,7 +263,7 @@ _ANCHOR_SQL = f"""
 @query("anchor_terms", _ANCHOR_SQL + "SELECT article_id, term, strong FROM anchor")
 def anchor_terms(spark, d):
     a = article_anchors(t.articles(spark, d))
-    return a.select("article_id", F.explode("capitalized").alias("term"), "strong").select(
+    return tx.exploded(a, ["article_id", "strong"], F.col("capitalized"), "term").select(
         "article_id", "term", F.array_contains("strong", F.col("term")).alias("strong"))
 
 
@@ -289,8 +289,8 @@ def shared_anchor_count(spark, d):
 def anchor_set_ops(spark, d):
     """Union of the members' anchors per story, as rows."""
     m = t.text_membership(spark, d).select("story_id", "article_id")
-    terms = m.join(article_anchors(t.articles(spark, d)), "article_id").select(
-        "story_id", F.explode("capitalized").alias("term"), F.col("strong").alias("s")).select(
+    joined = m.join(article_anchors(t.articles(spark, d)), "article_id")
+    terms = tx.exploded(joined, ["story_id", F.col("strong").alias("s")], F.col("capitalized"), "term").select(
         "story_id", "term", F.array_contains("s", F.col("term")).alias("strong"))
     union = terms.groupBy("story_id", "term").agg(F.bool_or("strong").alias("strong"))
     return union.groupBy("story_id").agg(
@@ -321,8 +321,8 @@ SENTENCES = f"""list_filter(string_split(regexp_replace({collapse('body_text')},
       SELECT article_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (
         SELECT article_id, {SENTENCES} AS ss FROM article))""")
 def split_sentences(spark, d):
-    return t.articles(spark, d).select("article_id", F.posexplode(
-        sn.sentences(F.col("body_text"))).alias("ord", "sentence")).withColumn("ord", F.col("ord").cast("long"))
+    return tx.posexploded(t.articles(spark, d), ["article_id"], sn.sentences(F.col("body_text")),
+                          "ord", "sentence").withColumn("ord", F.col("ord").cast("long"))
 
 
 def figures_sql(x: str) -> str:
@@ -347,8 +347,7 @@ def figures(spark, d):
 @query("content_words", f"""
     SELECT article_id, unnest({content_sql('body_text')}) AS word FROM article""")
 def content_words(spark, d):
-    return t.articles(spark, d).select(
-        "article_id", F.explode(sn.content_words(F.col("body_text"))).alias("word"))
+    return tx.exploded(t.articles(spark, d), ["article_id"], sn.content_words(F.col("body_text")), "word")
 
 
 @query("same_point", f"""
