@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, read, reading, refresh, revisions
+from ..session import scratch_folder
 from ..sources import feeds, tables as t
+from ..streaming import jobs
 from .registry import query
 
 NOW = "2024-01-31 00:00:00"
@@ -23,9 +25,12 @@ def _escape(c):
 
 
 def rss_documents(spark, d):
+    return rss_text(t.read(spark, d, "documents"))
+
+
+def rss_text(docs):
     """Every document as the one entry of an RSS text of its own; some lack id, URL or title."""
     n, i = F.col("doc_id") % 20, F.col("doc_id").cast("string")
-    docs = t.read(spark, d, "documents")
     title = F.when(n == 7, "").otherwise(F.concat(F.lit("<title>T "), i, F.lit("</title>")))
     guid = F.when(n.isin(3, 5), "").otherwise(F.concat(F.lit("<guid isPermaLink=\"false\">g"), i, F.lit("</guid>")))
     link = F.when(n == 3, "").otherwise(F.concat(F.lit("<link>https://e.example/"), i, F.lit("</link>")))
@@ -425,6 +430,51 @@ def story_deleted(spark, d):
     return kept.select("seq", "story_id", "original_story_id")
 
 
+# --- streams -----------------------------------------------------------------------
+
+
+def _run(stream, step, folder):
+    """Everything available through the stream, then stop."""
+    query = jobs.start(stream, step, f"{folder}/progress")
+    query.awaitTermination()
+
+
+def _stream(spark, d, name):
+    table = t.read(spark, d, name)
+    return spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query("stream_revisions", """
+    SELECT doc_id AS endpoint_id, CASE WHEN doc_id % 20 = 5 THEN 'CANONICAL_URL' ELSE 'EXTERNAL_ID' END AS key_kind,
+      CASE WHEN doc_id % 20 = 5 THEN 'https://e.example/' || doc_id ELSE 'g' || doc_id END AS external_key
+    FROM documents WHERE doc_id % 20 NOT IN (3, 7, 9)""")
+def stream_revisions(spark, d):
+    """All documents streamed as feeds into the revision table."""
+    folder = scratch_folder(spark)
+    docs = rss_text(_stream(spark, d, "documents")).withColumn("document_id", F.col("endpoint_id")).withColumn(
+        "fetched_at", F.lit(NOW).cast("timestamp"))
+    _run(docs, jobs.revision_step(f"{folder}/raw", f"{folder}/rejects"), folder)
+    return spark.read.schema(jobs.REVISION).parquet(f"{folder}/raw").select("endpoint_id", "key_kind", "external_key")
+
+
+@query("stream_impressions", _SIMPLE_SQL + """
+    SELECT user_id, code, count(*) AS n FROM res GROUP BY user_id, code""")
+def stream_impressions(spark, d):
+    """The event table streamed through acceptance (all of it is within the time bounds)."""
+    folder = scratch_folder(spark)
+    e = t.impressions_of(t.event_columns(_stream(spark, d, "events")))
+    key = F.concat_ws("/", F.concat(F.lit("k"), "session_id"), F.col("story_id").cast("string"),
+                      (F.col("seq") % 2).cast("string"))
+    # one body per event key: the fields a copy could differ in are made equal
+    rows = e.withColumn("event_key", key).withColumn("position", F.lit(0).cast("long")).withColumn(
+        "occurred_at", F.date_trunc("day", "occurred_at"))
+    _run(rows, jobs.impression_step(f"{folder}/accepted", f"{folder}/outcomes",
+                                    lambda: t.known_stories(spark, d), max_age_seconds=10 * 86_400), folder)
+    out = spark.read.schema(jobs.OUTCOME).parquet(f"{folder}/outcomes")
+    code = F.when(F.col("outcome") == "duplicate", "duplicate").otherwise(F.col("code"))
+    return out.groupBy("user_id", code.alias("code")).agg(F.count("*").alias("n"))
+
+
 # --- bookmarks ---------------------------------------------------------------------
 
 

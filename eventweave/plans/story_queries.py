@@ -563,6 +563,28 @@ def longest_word(pdf):
                          "score": found.to_numpy() / len(pdf), "rank": range(1, len(found) + 1)})
 
 
+@query("entity_udf")
+def entity_udf(spark, d):
+    """A user entity extractor through the per-story hook."""
+    from ..operators.enrich import extract_with, invalid_scores, merge_entities
+    from .text_queries import story_texts
+
+    rows = extract_with(story_texts(spark, d), shouted_words,
+                        "story_id long, kind string, name string, score double, rank int")
+    good = rows.join(invalid_scores(rows).select("story_id"), "story_id", "left_anti")
+    return merge_entities(good)
+
+
+def shouted_words(pdf):
+    """An entity extractor: words in capitals, with their share of members."""
+    import pandas as pd
+
+    per_member = pdf["text"].map(lambda s: sorted({x for x in s.split() if len(x) > 1 and x.isupper()}))
+    found = per_member.explode().dropna().value_counts().sort_index().head(20)
+    return pd.DataFrame({"story_id": pdf["story_id"].iloc[0], "kind": "OTHER", "name": found.index.astype(str),
+                         "score": found.to_numpy() / len(pdf), "rank": range(1, len(found) + 1)})
+
+
 @query("current_generation", """
     SELECT synthesis_id, story_id, synthesis_id % 2 = 1 AS is_current FROM synth""")
 def current_generation(spark, d):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings a cluster deployment should carry; none of them names a machine.
@@ -34,25 +33,30 @@ def _checkpoint_dir_set(spark: SparkSession) -> bool:
     return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Materialise `df` in the reliable checkpoint folder.
-
-    The folder is the cluster's `spark.checkpoint.dir`. Only where neither that
-    setting nor a context checkpoint folder exists is `fallback_dir` used, which
-    is for single-machine tests; on a cluster the setting must name shared storage.
-    """
-    spark = df.sparkSession
-    if not _checkpoint_dir_set(spark):
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        folder = configured or fallback_dir
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="eventweave-ckpt-")
-        spark.sparkContext.setCheckpointDir(folder)
+def set_checkpoint_folder(spark: SparkSession) -> None:
+    """Use the cluster's `spark.checkpoint.dir`. Only in local mode, where neither that setting
+    nor a folder exists, a temporary one serves."""
+    if _checkpoint_dir_set(spark):
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="eventweave-ckpt-")
+    spark.sparkContext.setCheckpointDir(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise `df` reliably in the checkpoint folder."""
+    set_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-SPILLING = StorageLevel.MEMORY_AND_DISK
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name beside the checkpoints, for the tables of one run."""
+    import uuid
+
+    set_checkpoint_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/run-{uuid.uuid4().hex}"

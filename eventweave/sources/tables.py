@@ -201,7 +201,10 @@ def article_times(spark, sf_dir) -> DataFrame:
 
 
 def events(spark, sf_dir) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return event_columns(read(spark, sf_dir, "events"))
+
+
+def event_columns(e: DataFrame) -> DataFrame:
     return e.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
@@ -243,11 +246,15 @@ def arrivals(spark, sf_dir) -> DataFrame:
 
 
 def impression_events(spark, sf_dir) -> DataFrame:
+    return impressions_of(events(spark, sf_dir))
+
+
+def impressions_of(log: DataFrame) -> DataFrame:
     """'view' and 'click' events as reported impressions, batched by user and hour.
 
     A click repeats the identity of the view family (user, k), so both unique keys collide.
     """
-    e = events(spark, sf_dir).filter(F.col("event_type").isin("view", "click"))
+    e = log.filter(F.col("event_type").isin("view", "click"))
     day = F.date_format("ts", "yyyyMMdd")
     return e.select(
         "user_id",
