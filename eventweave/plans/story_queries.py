@@ -437,10 +437,8 @@ def dedup_decide(spark, d):
 @query("process_raw")
 def process_raw(spark, d):
     """All revisions in order: outcomes and links."""
-    i = F.col("article_id")
     stored = _stored(spark, d).withColumn("duplicate_of", F.lit(None).cast("long"))
     raw, _, _ = dedup.process_raw(_revisions(spark, d), stored)
-    del i
     return raw.select("raw_id", "status", "outcome", "article_id")
 
 

@@ -154,9 +154,6 @@ def article_language(spark, d):
         "doc_id", tx.article_language("l", "default_language").alias("language"))
 
 
-_PAGE_TITLE = collapse("title")
-
-
 @query("normalize_articles")
 def normalize_articles(spark, d):
     """Pages as publications; titles that look empty and broken URLs are rejected."""
