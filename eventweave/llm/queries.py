@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import content_sort
+from . import content_sort, suffix_arrays
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,27 @@ def query(name: str, sql: str | None = None):
     FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(read(spark, sf_dir, "documents"))
+
+
+_OP7_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op7_benchmark_decontamination", f"""
+    WITH item AS (SELECT item_id, {_OP7_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+      win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k,
+          array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
+        FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+      doc AS (SELECT doc_id, coalesce({_OP7_WORDS}, []) AS w FROM documents),
+      size AS (SELECT DISTINCT k FROM win),
+      dwin AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+        FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM doc, size WHERE len(w) >= k)),
+      found AS (SELECT doc_id, i, k, item_id FROM dwin JOIN win USING (k, s)),
+      hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+        SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
+      items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (
+        SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

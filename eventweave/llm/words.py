@@ -25,9 +25,9 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     return out
 
 
-#: Separators of the two word rules of this package.
+#: Separators of the two word rules of this package (the second one after lower-casing A-Z).
 SPACES = byte_set((0x20, 0x20), (0x09, 0x0D))
-NOT_ALNUM = byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+NOT_ALNUM = byte_set((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 
 def _draw(seed: int, n: int) -> np.ndarray:
