@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import content_sort, ppm, suffix_arrays, token_counts
+from . import chat_format, content_sort, ppm, suffix_arrays, token_counts
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ppm.fit(docs, ~held_out)
     return ppm.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_chat_formatting", r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+      UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(length(role) + length(regexp_replace(text, '(\\*)(###|</turn>)', '+\1\2', 'g')) + 15)::BIGINT
+        AS formatted_chars
+    FROM c GROUP BY conv_id""")
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role UNION ALL SELECT -7L, 1L, 'assistant'")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        extra.withColumn("text", F.lit(said)))
+    return chat_format.read_back(chat_format.format_chats(rows))
