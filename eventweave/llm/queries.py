@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, content_sort, mixing, ppm, suffix_arrays, token_counts
+from . import anchors, chat_format, content_sort, mixing, ppm, suffix_arrays, token_counts
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,25 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op1_substring_dedup", f"""
+    WITH doc AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+      win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+        FROM (SELECT *, unnest(range(1, len(w) - 33)) AS i FROM doc WHERE len(w) >= 35)),
+      again AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+      gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM again),
+      kept AS (SELECT doc_id, w[p] AS word, p FROM (
+        SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM doc) ANTI JOIN gone USING (doc_id, p)),
+      text AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM kept GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM doc LEFT JOIN text USING (doc_id)""")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = anchors.substring_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op2_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
