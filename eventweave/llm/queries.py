@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchors, chat_format, content_sort, mixing, ppm, suffix_arrays, token_counts
+from . import anchors, chat_format, content_sort, mixing, ngram_join, ppm, suffix_arrays, token_counts
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_source_mixing")
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read(spark, sf_dir, "documents")).drop("draws")
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(read(spark, sf_dir, "documents"))
