@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchors, chat_format, content_sort, mixing, ngram_join, ppm, suffix_arrays, token_counts
+from . import anchors, chat_format, content_sort, mixing, ngram_join, ppm, suffix_arrays, token_counts, warc
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,17 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_join")
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(read(spark, sf_dir, "documents"))
+
+
+@query("op6_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+      h AS (SELECT *, sha1(body) AS x, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+    SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+      list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST((('0x' || substr(x, (k // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)),
+        'string_agg', '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM h""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
