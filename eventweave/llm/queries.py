@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchors, chat_format, content_sort, mixing, ngram_join, ppm, suffix_arrays, token_counts, warc
+from . import anchors, chat_format, content_sort, mixing, ngram_join, ppm, suffix_arrays, token_counts, url_model, warc
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM h""")
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+@query("op5_url_filters")
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_model.judge(read(spark, sf_dir, "pages"))
