@@ -83,9 +83,10 @@ class Shard:
     def __init__(self, chunk: Chunk, items: Items):
         self.chunk, self.items = chunk, items
         hashes = chunk.word_hashes()
-        place = np.searchsorted(items.vocabulary, hashes)
-        place[place == len(items.vocabulary)] = 0
-        ids = np.where(items.vocabulary[place] == hashes, place + 1, 0) if len(hashes) else place
+        ids = np.zeros(len(hashes), np.int64)
+        if len(items.vocabulary):
+            place = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
+            ids = np.where(items.vocabulary[place] == hashes, place + 1, 0)
         # one 0 behind every document; `at` is the place of each word among them
         self.at = np.arange(len(ids)) + chunk.row_of_word()
         self.ids = np.zeros(len(ids) + chunk.n_rows + items.depth + 1, np.int64)
@@ -257,7 +258,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def _merge(key, table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table) -> pa.Table:
     """Marks of one row from several blocks."""
     bits = [np.frombuffer(h, np.uint8) for h in table.column("hit").to_pylist()]
     names = sorted({n for x in table.column("items").to_pylist() for n in x})
