@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CLOSE = "\n</turn>\n"
-_CONTROL = r"(###|</turn>)"
+_CONTROL = r"(#{3,}|</turn>)"  # a run of hashes is one control string
+_BARE = r"(?<![\\#])#{3,}|(?<!\\)</turn>"
 _HEAD = r"^### ([^:\n]*):\n"
 
 
@@ -50,7 +51,7 @@ def parse(formatted: Column) -> Column:
 
     def turn(p: Column) -> Column:
         body = F.regexp_replace(p, _HEAD, "")
-        good = p.rlike(_HEAD) & ~body.rlike(r"(?<!\\)" + _CONTROL)
+        good = p.rlike(_HEAD) & ~body.rlike(_BARE)
         return F.when(good, F.struct(F.url_decode(F.regexp_extract(p, _HEAD, 1)).alias("role"),
                                      unescape(body).alias("text")))
 
