@@ -30,6 +30,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import let
 from .shared import cut_lineage
 
 CYCLE = (1, 2, 3)
@@ -47,44 +48,63 @@ def unit(*parts: Column) -> Column:
 
 
 def targets(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """_mx_source, _mx_rank, source_size, target of rows with _mx_source and _mx_size."""
-    s = docs.groupBy("_mx_source").agg(F.sum("_mx_size").cast("long").alias("source_size"))
+    """_mx_source, _mx_rank, _mx_source_size, _mx_target of rows with _mx_source and _mx_size."""
+    s = docs.groupBy("_mx_source").agg(F.sum("_mx_size").cast("long").alias("_mx_source_size"))
     by_name = Window.orderBy(F.col("_mx_source").asc_nulls_last())
     s = s.withColumn("_mx_rank", F.row_number().over(by_name))
     cycle = F.array(*[F.lit(float(w)) for w in CYCLE])
     s = s.withColumn("_w", F.element_at(cycle, (F.col("_mx_rank") - 1) % len(CYCLE) + 1))
-    s = s.withColumn("_cap", F.col("source_size") * float(max_epochs)).withColumn("_r", F.col("_cap") / F.col("_w"))
+    s = s.withColumn("_cap", F.col("_mx_source_size") * float(max_epochs)).withColumn("_r", F.col("_cap") / F.col("_w"))
     order = Window.orderBy("_r", "_mx_rank")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    s = s.withColumn("_level", (F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
+    s = s.withColumn("_level", (F.sum("_mx_source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
                      / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
     # the first source that does not reach its cap sets the level of all that follow
     s = s.withColumn("_free", F.min(F.when(F.col("_r") >= F.col("_level"), F.struct("_r", "_mx_rank", "_level"))).over(every))
     held = F.col("_free").isNull() | (F.struct("_r", "_mx_rank") < F.struct("_free._r", "_free._mx_rank"))
-    return s.select("_mx_source", "_mx_rank", "source_size",
-                    F.when(held, F.col("_cap")).otherwise(F.col("_w") * F.col("_free._level")).alias("target"))
+    return s.select("_mx_source", "_mx_rank", "_mx_source_size",
+                    F.when(held, F.col("_cap")).otherwise(F.col("_w") * F.col("_free._level")).alias("_mx_target"))
 
 
 def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
-    """Number of good ones among `draws` from `total` without replacement, by inversion of `u`."""
+    """Number of good ones among `draws` from `total` without replacement, by inversion of `u`.
+
+    Weights are taken relative to the mode, so none over- or underflows; each pass is linear in the
+    numbers considered, those within twelve standard deviations."""
     good, total, draws = (c.cast("double") for c in (good, total, draws))
-    mean = draws * good / F.greatest(total, F.lit(1.0))
-    spread = F.sqrt(F.greatest(mean * (1 - good / F.greatest(total, F.lit(1.0))), F.lit(0.0))) * 12 + 12
-    low = F.greatest(F.lit(0.0), draws - (total - good), F.floor(mean - spread).cast("double")).cast("long")
-    high = F.greatest(low, F.least(good, draws, F.ceil(mean + spread).cast("double")).cast("long"))
+    some = F.greatest(total, F.lit(1.0))
+    mean = draws * good / some
+    spread = F.sqrt(F.greatest(mean * (1 - good / some), F.lit(0.0))) * 12 + 12
+    low = F.greatest(F.lit(0.0), draws - (total - good), F.floor(mean - spread).cast("double"))
+    high = F.greatest(low, F.least(good, draws, F.ceil(mean + spread).cast("double")))
+    mode = F.floor((draws + 1) * (good + 1) / (total + 2)).cast("double")
+    range_ = F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"),
+                      F.least(F.greatest(mode, low), high).cast("long").alias("mode"))
 
     def ratio(x: Column) -> Column:  # weight of x + 1 over weight of x
-        return (good - x) * (draws - x) / ((x + 1) * (total - good - draws + x + 1))
+        x = x.cast("double")
+        return F.coalesce(F.try_divide((good - x) * (draws - x), (x + 1) * (total - good - draws + x + 1)), F.lit(0.0))
+
+    def pick(r: Column) -> Column:
+        xs = F.sequence(r["low"], r["high"])
+        # logarithm of weight(mode) / weight(low)
+        rise = F.aggregate(xs, F.lit(0.0), lambda a, x: F.when(x < r["mode"], a + F.ln(ratio(x))).otherwise(a))
+
+        def walk(first: Column) -> Column:
+            every = F.aggregate(
+                xs, F.struct(first.alias("w"), F.lit(0.0).alias("sum")),
+                lambda a, x: F.struct((a["w"] * ratio(x)).alias("w"), (a["sum"] + a["w"]).alias("sum")),
+                lambda a: a["sum"] * u)
+            return let(every, lambda goal: F.aggregate(
+                xs, F.struct(first.alias("w"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("n")),
+                lambda a, x: F.when(a["sum"] > goal, a).otherwise(F.struct(
+                    (a["w"] * ratio(x)).alias("w"), (a["sum"] + a["w"]).alias("sum"), (a["n"] + 1).alias("n"))),
+                lambda a: r["low"] + a["n"]))
+
+        return let(F.exp(-rise), walk)
 
-    # relative logarithms first, so that no weight over- or underflows
-    logs = F.aggregate(
-        F.sequence(low, high), F.array(F.lit(0.0)),
-        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(F.ln(ratio(x.cast("double"))), F.lit(0.0)))))
-    weights = F.transform(logs, lambda v: F.exp(v - F.array_max(logs)))
-    weights = F.slice(weights, F.lit(1), (high - low + 1).cast("int"))
-    running = F.aggregate(weights, F.array(F.lit(0.0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + w)))
-    return low + F.size(F.filter(running, lambda c: c <= u * F.element_at(running, -1))) - 1
+    return let(range_, pick)
 
 
 def split(counts: Column, draws: Column, key: Column, seed: int) -> Column:
@@ -134,17 +154,17 @@ def prepared(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
 
 def draw(rows: DataFrame, measured: DataFrame | None = None, shards: int = SHARDS, seed: int = 0,
          block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """`rows` (as from `prepared`) with source_size, target and _mx_draws: array<struct<copy, shard>>.
+    """`rows` (as from `prepared`) with _mx_source_size, _mx_target and _mx_draws: array<struct<copy, shard>>.
 
     `measured`: the same rows without their other columns, if they are kept somewhere."""
     slim = cut_lineage(rows.select("_mx_source", "_mx_size", "_mx_hash")) if measured is None else measured
     per_source = targets(slim, max_epochs)
-    total = F.sum("source_size").over(Window.partitionBy())
+    total = F.sum("_mx_source_size").over(Window.partitionBy())
     size = F.greatest(F.lit(float(block_words)), total / MAX_BLOCKS)
-    full = F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(max_epochs))
-    per_source = per_source.withColumn("_mx_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / size)).cast("long"))
+    full = F.least(F.floor(F.try_divide(F.col("_mx_target"), F.col("_mx_source_size").cast("double"))), F.lit(max_epochs))
+    per_source = per_source.withColumn("_mx_blocks", F.greatest(F.lit(1), F.ceil(F.col("_mx_source_size") / size)).cast("long"))
     per_source = per_source.withColumn("_mx_full", F.coalesce(full, F.lit(0)).cast("int")).withColumn(
-        "_mx_rest", F.when(F.col("_mx_full") < max_epochs, F.col("target") - F.col("_mx_full") * F.col("source_size")).otherwise(0.0))
+        "_mx_rest", F.when(F.col("_mx_full") < max_epochs, F.col("_mx_target") - F.col("_mx_full") * F.col("_mx_source_size")).otherwise(0.0))
     per_source = cut_lineage(per_source)
 
     def placed(df: DataFrame) -> DataFrame:
@@ -208,7 +228,7 @@ def mix_sizes(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", t
     slim = cut_lineage(prepared(docs, doc_id, source, text).select(
         F.col(doc_id).alias("doc_id"), "_mx_source", "_mx_size", "_mx_hash"))
     out = draw(slim, slim.select("_mx_source", "_mx_size", "_mx_hash"), **how)
-    return out.select("doc_id", F.col("_mx_size").alias("size"), "source_size", "target",
+    return out.select("doc_id", F.col("_mx_size").alias("size"), F.col("_mx_source_size").alias("source_size"), F.col("_mx_target").alias("target"),
                       (F.col("_mx_size") * F.size("_mx_draws")).cast("long").alias("taken"),
                       F.col("_mx_draws").alias("draws"))
 
