@@ -17,7 +17,7 @@ from ..functions.names import anchors, shared_anchor_count
 from ..functions.text import embedding_input, language_key
 from .skew import top_rows
 
-_BUCKET = ["model_key", "lang", "bucket"]
+_BUCKET = ["model_key", "lang", "dim", "bucket"]
 HOUR_US = 3_600_000_000
 
 
@@ -62,6 +62,13 @@ def _block_topk(k: int, max_distance: float, earlier_only: bool):
     return run
 
 
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows whose vector can be compared (not NULL, not empty, finite), with its length as `dim`; only
+    vectors of one length meet. `embed.vector_validity` reports the others."""
+    return rows.withColumn("dim", F.size("vector")).filter(
+        "dim > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+
+
 def blocked_topk(left: DataFrame, right: DataFrame, *, k: int, max_distance: float,
                  bucket_us: int, earlier_only: bool = False, block_rows: int = 2048) -> DataFrame:
     """(left_id, right_id, distance, rank): the k nearest right rows of each left row.
@@ -70,9 +77,9 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, k: int, max_distance: flo
     in microseconds; a pair needs lo <= t <= hi. A left row lies in one bucket only, so no
     pair is met twice.
     """
-    left = left.withColumn("bucket", F.floor(F.col("t") / bucket_us))
+    left = usable(left).withColumn("bucket", F.floor(F.col("t") / bucket_us))
     # both sides may stem from one table; fresh names keep their columns apart
-    right = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("bucket", F.explode(F.sequence(
+    right = usable(right.select(*[F.col(c).alias(c) for c in right.columns])).withColumn("bucket", F.explode(F.sequence(
         F.floor(F.col("lo") / bucket_us), F.floor(F.col("hi") / bucket_us))))
     count = lambda df, name: df.groupBy(*_BUCKET).agg(
         F.ceil(F.count("*") / block_rows).cast("int").alias(name))

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 
 
-def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links(node, key) -> (node, component); the component is its smallest node."""
     links = links.select("node", "key").distinct()
     labels = cut_lineage(links.groupBy("node").agg(F.min("node").alias("component")))
-    for _ in range(max_rounds):
+    while True:  # every round lowers a label or is the last
         per_key = links.join(labels, "node").groupBy("key").agg(F.min("component").alias("k"))
         heard = links.join(per_key, "key").groupBy("node").agg(F.min("k").alias("component"))
         jump = heard.select(F.col("node").alias("component"), F.col("component").alias("j"))
@@ -28,4 +28,3 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = moved
         if changed.isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

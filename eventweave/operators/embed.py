@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable, Iterator
+from math import isfinite
 
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -39,7 +40,7 @@ def _load(factory):
     return factory()
 
 
-def provider_udf(factory, batch: int = policy.EMBEDDING_BATCH):
+def provider_udf(factory, dimension: int, batch: int = policy.EMBEDDING_BATCH):
     """Arrow UDF text -> vector; the model is loaded once per task, texts go in batches."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -51,7 +52,10 @@ def provider_udf(factory, batch: int = policy.EMBEDDING_BATCH):
                 vectors.extend(model(texts.iloc[i:i + batch].tolist()))
             if len(vectors) != len(texts):
                 raise ValueError("provider returned another number of vectors than texts")
-            yield pd.Series([list(map(float, v)) for v in vectors], index=texts.index, dtype=object)
+            vectors = [list(map(float, v)) for v in vectors]
+            if any(len(v) != dimension or not all(map(isfinite, v)) for v in vectors):
+                raise ValueError("provider returned a vector of another length or one that is not finite")
+            yield pd.Series(vectors, index=texts.index, dtype=object)
 
     return embed
 
@@ -106,7 +110,7 @@ def hash_embeddings(texts: DataFrame, key: str, text: str,
 
 
 def embed_articles(articles: DataFrame, existing: DataFrame, provider: str = "hash", *,
-                   max_chars: int | None = policy.EMBEDDING_CHARS) -> DataFrame:
+                   max_chars: int | None = None) -> DataFrame:
     """New article_embedding rows for the articles without one under the provider's model."""
     model_key, dimension, factory = _PROVIDERS[provider]
     missing = articles.join(
@@ -114,7 +118,7 @@ def embed_articles(articles: DataFrame, existing: DataFrame, provider: str = "ha
         "article_id", "left_anti")
     text = embedding_input("title", "description", "body_text", max_chars)
     prepared = missing.select("article_id", text.alias("_t"))
-    vector = hash_embedding(F.col("_t"), dimension) if factory is None else provider_udf(factory)("_t")
+    vector = hash_embedding(F.col("_t"), dimension) if factory is None else provider_udf(factory, dimension)("_t")
     rows = prepared.select(
         "article_id", F.lit(model_key).alias("model_key"),
         vector.alias("vector"), F.length("_t").alias("input_chars"))

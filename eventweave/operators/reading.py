@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import policy
+from ..functions.text import extended_iso
 from ..session import cut_lineage
 from .skew import running_number
 
@@ -29,15 +30,15 @@ def impression_checks(events: DataFrame, event_json="event_json", received_at="r
     variant = F.try_parse_json(event_json)
     kind = lambda f: F.schema_of_variant(F.try_variant_get("_v", f"$.{f}", "variant"))
     text = lambda f: F.when(kind(f) == "STRING", F.try_variant_get("_v", f"$.{f}", "string"))
-    whole = lambda f: F.when(kind(f).isin("BIGINT", "DECIMAL(1,0)"),
+    whole = lambda f: F.when(kind(f) == "BIGINT",
                              F.try_variant_get("_v", f"$.{f}", "bigint"))
     df = events.withColumn("_v", variant).withColumn("_m", raw)
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     names = F.coalesce(F.map_keys("_m"), F.array().cast("array<string>"))
     fields = F.array(*[F.lit(f) for f in EVENT_FIELDS])
-    stamp = text("occurred_at")
+    stamp = extended_iso(text("occurred_at"))
     when = F.when(
-        (F.length(stamp) <= 40) & stamp.rlike(_ZONED),
+        (F.length(text("occurred_at")) <= 40) & stamp.rlike(_ZONED),
         F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.regexp_replace(
             stamp, ",", "."), "\\s+(?=Z|[+-])", ""), "([+-]\\d{2})(\\d{2})$", "$1:$2")))
     story = text("story_id")
@@ -82,7 +83,7 @@ def batch_validity(checked: DataFrame, batch: str = "batch_id",
 
 
 def accept_impressions(events: DataFrame, stories: DataFrame, accepted: DataFrame | None = None, *,
-                       body: list[str], order: list[str], max_rounds: int = 200) -> DataFrame:
+                       body: list[str], order: list[str]) -> DataFrame:
     """Each event with outcome and code, as if users' events were taken one by one in `order`.
 
     events: user_id, event_key, session_id, story_id, body columns, order columns. Only an
@@ -103,7 +104,7 @@ def accept_impressions(events: DataFrame, stories: DataFrame, accepted: DataFram
         edges = edges.join(won, ["user_id", "event_key"], "left_anti").join(
             won, ["user_id", "session_id", "story_id"], "left_anti").select(edges.columns)
     open_edges = cut_lineage(edges)
-    for _ in range(max_rounds):
+    while True:  # the earliest open row is accepted or excluded in every round
         by_event = open_edges.groupBy("user_id", "event_key").agg(F.min("at").alias("_e"))
         by_slot = open_edges.groupBy("user_id", "session_id", "story_id").agg(F.min("at").alias("_s"))
         first = open_edges.join(by_event, ["user_id", "event_key"]).join(
@@ -116,8 +117,6 @@ def accept_impressions(events: DataFrame, stories: DataFrame, accepted: DataFram
             .join(first, ["user_id", "session_id", "story_id"], "left_anti"))
         if open_edges.isEmpty():
             break
-    else:
-        raise RuntimeError("acceptance did not settle")
     return _outcomes(ev, won, full, order)
 
 

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import policy
 from ..functions.text import event_time
+from ..session import cut_lineage
 from . import enrich, synthesis
 from .embed import story_vector
 
-MAX_LISTED = 10_000
-
 
 def _iso(ts: Column) -> Column:
     """UTC ISO text with microseconds only when there are any."""
@@ -20,27 +19,20 @@ def _iso(ts: Column) -> Column:
         F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))), F.lit("+00:00"))
 
 
-def member_signature(members: DataFrame, max_listed: int = MAX_LISTED) -> DataFrame:
+def member_signature(members: DataFrame) -> DataFrame:
     """(story_id, member_signature, member_count) from (story_id, article_id, updated_at).
 
-    Up to `max_listed` members it is the SHA-256 of the sorted `id:revision` lines. A larger
-    story has no list in one task: its lines are hashed one by one and their hash parts added
-    up, which is as independent of order and as sensitive to any change.
+    The `id:revision` lines are hashed one by one and the eight 32-bit parts of their SHA-256 are
+    added up, part by part; the signature is the SHA-256 of the sums. It does not depend on order,
+    changes with any line, and is combined before the shuffle, whatever the size of a story.
     """
     line = F.concat_ws(":", F.col("article_id").cast("string"), _iso(F.col("updated_at")))
-    lines = members.select("story_id", "article_id", line.alias("line"))
-    sizes = lines.groupBy("story_id").agg(F.count("*").alias("member_count"))
-    small, large = sizes.filter(F.col("member_count") <= max_listed), sizes.filter(
-        F.col("member_count") > max_listed)
-    listed = lines.join(small, "story_id").groupBy("story_id", "member_count").agg(
-        F.sort_array(F.collect_list(F.struct("article_id", "line"))).alias("l")
-    ).select("story_id", F.sha2(F.array_join(F.col("l.line"), "\n"), 256).alias("member_signature"),
-             "member_count")
+    digest = members.select("story_id", F.sha2(line, 256).alias("d"))
     piece = lambda i: F.sum(F.conv(
-        F.substring(F.sha2("line", 256), 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string")
-    added = lines.join(large, "story_id").groupBy("story_id", "member_count").agg(
-        F.sha2(F.concat_ws("|", *[piece(i) for i in range(8)]), 256).alias("member_signature"))
-    return listed.unionByName(added)
+        F.substring("d", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string")
+    return digest.groupBy("story_id").agg(
+        F.sha2(F.concat_ws("|", *[piece(i) for i in range(8)]), 256).alias("member_signature"),
+        F.count("*").alias("member_count"))
 
 
 def story_counters(membership: DataFrame, articles: DataFrame) -> DataFrame:
@@ -76,8 +68,8 @@ def refresh_select(stories: DataFrame, limit: int) -> DataFrame:
 
 
 def refresh_stories(stories: DataFrame, membership: DataFrame, articles: DataFrame,
-                    embeddings: DataFrame, *, max_chars: int | None = policy.STORY_INPUT_CHARS,
-                    now=None) -> dict[str, DataFrame]:
+                    embeddings: DataFrame, *, max_articles: int | None = None,
+                    max_chars: int | None = None, now=None) -> dict[str, DataFrame]:
     """One new generation for the STALE and FAILED stories.
 
     Keys: stories (all, updated), story_emb, topics, entities, elements. A story whose
@@ -93,13 +85,16 @@ def refresh_stories(stories: DataFrame, membership: DataFrame, articles: DataFra
     ).withColumnRenamed("member_signature", "_sig").drop("member_count")
     counted = story_counters(members, articles).withColumnsRenamed({
         c: f"_{c}" for c in ("article_count", "source_count", "first_published_at", "last_published_at")})
-    vectors = story_vector(members, embeddings).filter("vector IS NOT NULL")
-    texts = enrich.member_text(members, articles, max_chars=max_chars)
-    elements = synthesis.synthesize(members, articles, max_chars=max_chars)
+    # a model is published only if every member has its vector
+    vectors = story_vector(members, embeddings).filter("vector IS NOT NULL").join(
+        counted.select("story_id", "_article_count"), "story_id").filter(
+        F.col("member_count") == F.col("_article_count")).drop("_article_count")
+    # one prepared input for topics and entities, written once
+    texts = cut_lineage(enrich.member_text(members, articles, max_articles=max_articles, max_chars=max_chars))
+    found = cut_lineage(enrich.mentions(texts))
+    elements = synthesis.synthesize(members, articles, max_articles=max_articles, max_chars=max_chars)
     titled = elements.filter("kind = 'TITLE'").select("story_id").distinct().withColumn("_title", F.lit(True))
-    whole = vectors.join(counted.select("story_id", "_article_count"), "story_id").filter(
-        F.col("member_count") == F.col("_article_count")).select("story_id").distinct().withColumn(
-        "_vector", F.lit(True))
+    whole = vectors.select("story_id").distinct().withColumn("_vector", F.lit(True))
     state = (
         stories.join(due.withColumn("_due", F.lit(True)), "story_id", "left")
         .join(signed, "story_id", "left").join(counted, "story_id", "left")
@@ -133,8 +128,8 @@ def refresh_stories(stories: DataFrame, membership: DataFrame, articles: DataFra
     return {
         "stories": published, "story_emb": stamp(vectors),
         "topics": stamp(enrich.merge_topics(
-            enrich.topic_scores(texts).withColumnRenamed("word", "label"))),
-        "entities": stamp(enrich.merge_entities(enrich.entity_scores(texts).drop("key"))),
+            enrich.topic_scores(texts, found=found).withColumnRenamed("word", "label"))),
+        "entities": stamp(enrich.merge_entities(enrich.entity_scores(texts, found=found).drop("key"))),
         "elements": stamp(elements),
     }
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, combined before the shuffle."""
@@ -58,6 +60,18 @@ def running_lag(df: DataFrame, keys: list[str], order: list[str], block: Column,
     )
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """1-based row number per key over all rows. Blocks are the partitions of a range sort by
+    (keys, order), written once, so they are even however the rows of a key are spread."""
+    ranged = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    return running_number(ranged, keys, order, F.col("_part"), name).drop("_part")
+
+
+def first_n(df: DataFrame, keys: list[str], order: list[str], n: int | None, name: str) -> DataFrame:
+    """The first n rows per key with their number; all of them if n is None."""
+    return numbered(df, keys, order, name) if n is None else top_rows(df, keys, order, n, name)
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     """The first n rows per key; Spark keeps n per key and task before shuffling."""
     w = Window.partitionBy(*keys).orderBy(*order)

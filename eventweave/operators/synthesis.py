@@ -1,7 +1,7 @@
 """Extractive, source-cited story summaries that leave out disputed figures.
 
-All joins stay inside a story of at most `max_articles` members. Disputes are found by an
-equi join on content words that keeps one row per claim (a semi join), never pairs.
+Disputes are found by an equi join on content words that keeps one row per claim (a semi join),
+never pairs. All members and whole texts are taken unless bounds are given.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from .. import policy
 from ..functions.sentences import content_words, figures, same_point, sentences
 from ..functions.text import collapse, event_time, first_chars, posexploded
 from ..session import cut_lineage
-from .skew import top_rows
+from .skew import first_n, top_rows
 
 MODEL_KEY = "extractive:lead-sentences@1"
 KIND_ORDER = ["TITLE", "SUMMARY", "CONTEXT"]
@@ -29,11 +29,10 @@ def kind_order(kind="kind"):
 
 
 def synthesis_input(membership: DataFrame, articles: DataFrame, *,
-                    max_articles: int = policy.STORY_INPUT_ARTICLES,
-                    max_chars: int | None = policy.STORY_INPUT_CHARS) -> DataFrame:
+                    max_articles: int | None = None, max_chars: int | None = None) -> DataFrame:
     """(story_id, article_id, position, title, text) in publication order."""
     timed = articles.select("article_id", event_time().alias("event_time"))
-    chosen = top_rows(membership.select("story_id", "article_id").join(timed, "article_id"),
+    chosen = first_n(membership.select("story_id", "article_id").join(timed, "article_id"),
                       ["story_id"], ["event_time", "article_id"], max_articles, "position")
     body = F.when(F.col("body_text") != "", F.col("body_text")).otherwise(F.col("description"))
     texts = articles.select("article_id", collapse("title").alias("title"),
@@ -117,8 +116,7 @@ def sentence_supporters(elements: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def synthesize(membership: DataFrame, articles: DataFrame, *,
-               max_articles: int = policy.STORY_INPUT_ARTICLES,
-               max_chars: int | None = policy.STORY_INPUT_CHARS) -> DataFrame:
+               max_articles: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Cited elements of every story that has an uncontested title.
 
     The split lines are read by several branches, so they are written once."""

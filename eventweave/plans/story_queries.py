@@ -348,10 +348,10 @@ def match_rounds(spark, d):
 def reprocess_articles(spark, d):
     """Every fifth article is taken out of its story and matched again."""
     members = t.vector_membership(spark, d)
-    _, edges, _ = match.reprocess_articles(
+    edges = match.reprocess_articles(
         members.filter("article_id % 5 = 0"), t.vector_articles(spark, d), t.vector_embeddings(spark, d),
         t.vector_stories(spark, d), _story_emb(spark, d), members, t.vector_articles(spark, d),
-        t.articles(spark, d), model_key=VECTOR_KEY, policy=CLOSE, max_distance=DISTANCE, story_id_base=9_000_000)
+        t.articles(spark, d), model_key=VECTOR_KEY, policy=CLOSE, max_distance=DISTANCE, story_id_base=9_000_000).edges
     return edges.select("article_id", "story_id", "method")
 
 
@@ -556,7 +556,7 @@ def longest_word(pdf):
     """A topic extractor: the longest word of each member, with its share of members."""
     import pandas as pd
 
-    found = pdf["text"].map(lambda s: max(s.split(), key=lambda x: (len(x), x), default="")).value_counts()
+    found = pdf["text"].map(lambda s: max(s.split(), key=lambda x: (len(x), x), default="")).value_counts().head(8)
     return pd.DataFrame({"story_id": pdf["story_id"].iloc[0], "label": found.index.astype(str),
                          "score": found.to_numpy() / len(pdf), "rank": range(1, len(found) + 1)})
 
@@ -578,7 +578,7 @@ def shouted_words(pdf):
     import pandas as pd
 
     per_member = pdf["text"].map(lambda s: sorted({x for x in s.split() if len(x) > 1 and x.isupper()}))
-    found = per_member.explode().dropna().value_counts().sort_index().head(20)
+    found = per_member.explode().dropna().sort_values().value_counts().head(20)
     return pd.DataFrame({"story_id": pdf["story_id"].iloc[0], "kind": "OTHER", "name": found.index.astype(str),
                          "score": found.to_numpy() / len(pdf), "rank": range(1, len(found) + 1)})
 
@@ -602,9 +602,10 @@ def element_positions(spark, d):
 
 
 @query("member_signature", """
-    SELECT story_id, count(*) AS member_count, sha256(string_agg(article_id || ':' ||
-      strftime(first_seen_at, '%Y-%m-%dT%H:%M:%S') || '+00:00', chr(10) ORDER BY article_id)) AS member_signature
-    FROM member JOIN article USING (article_id) GROUP BY story_id""")
+    SELECT story_id, count(*) AS member_count, sha256(concat_ws('|', """ + ", ".join(
+        f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(8)) + """)) AS member_signature
+    FROM (SELECT story_id, sha256(article_id || ':' || strftime(first_seen_at, '%Y-%m-%dT%H:%M:%S') || '+00:00') AS h
+      FROM member JOIN article USING (article_id)) GROUP BY story_id""")
 def member_signature(spark, d):
     rows = t.text_membership(spark, d).join(t.article_times(spark, d), "article_id")
     return refresh.member_signature(rows)
