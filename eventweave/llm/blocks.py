@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import partitions, text_bytes
-from .words import CHUNK_BYTES, cuts, utf8_buffer
+from .words import CHUNK_BYTES, cuts, release, utf8_buffer
 
-BUCKET_BYTES = 32 << 20  # of text
+BUCKET_BYTES = 8 << 20  # of text
 PACKED = "block long, rows binary"
 SENT = "bucket int, block long, n int, vals binary, counts binary, anchors binary"
 ANSWER = "block long, bucket int, answer binary"
@@ -29,8 +29,8 @@ _LOW = np.uint64((1 << 40) - 1)
 
 
 def buckets(docs: DataFrame, text: str = "text") -> int:
-    """Enough buckets for BUCKET_BYTES of text each, and one per shuffle partition at least."""
-    return min(max(partitions(docs.sparkSession), -(-text_bytes(docs, text) // BUCKET_BYTES)), 1 << 23)
+    """Enough buckets for BUCKET_BYTES of text each, and a few per shuffle partition."""
+    return min(max(4 * partitions(docs.sparkSession), -(-text_bytes(docs, text) // BUCKET_BYTES)), 1 << 23)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +63,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held += size
     if waiting:
         yield block()
+    waiting = []
+    release()
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,9 +142,12 @@ def _tally(answer):
         group[order] = np.cumsum(new) - 1
         total = np.bincount(group, counts)
         known = np.bincount(group, anchors) > 0
+        del values, counts, order, new
         ends = np.cumsum(rows["n"])
         out = [answer(total[group[e - n:e]], known[group[e - n:e]], anchors[e - n:e])
                for e, n in zip(ends, rows["n"])]
+        del group, total, known, anchors
+        release()
         return pa.table({"block": pa.array(rows["block"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int32()),
                          "answer": pa.array(out, pa.binary())})
 

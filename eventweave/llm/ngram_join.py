@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.components import components
 from . import blocks as B
 from .shared import cut_lineage
-from .words import SPACES, Chunk, utf8_buffer, window_hashes
+from .words import SPACES, Chunk, release, utf8_buffer, window_hashes
 
 N = 5
 PERCENT = 75
@@ -94,6 +94,8 @@ def prepared_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int)
             for number, data in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
                 keys, counts, _ = Block(data, n).sent(n_buckets)
                 yield B.send(number, keys, counts, np.zeros(len(keys), bool))
+                del keys, counts
+                release()
 
     classes = cut_lineage(B.tally(packed.mapInArrow(send, B.SENT), _document_class))
 
@@ -123,6 +125,7 @@ def prepared_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int)
                 values = block.values[shared]
                 rare = np.lexsort((values, known[shared]))[:prefix_size(size, percent) - (size - len(shared))]
                 out.append((i, size, key, values.tobytes(), values[rare].tobytes()))
+        release()
         columns = list(zip(*out)) if out else [[]] * 5
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)],

@@ -7,13 +7,15 @@ chunk costs two lookups in a running sum. Words and windows never cross rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
+PART_BYTES = 1 << 18
 _U = np.uint64
 
 
@@ -51,20 +53,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASES = {"byte": 0x9E3779B97F4A7C15, "one": 0xD1342543DE82EF95, "two": 0xAF251AF3B0F025B5}
 
 
-@lru_cache(6)
+_grown: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    b = _BASES[base]
-    inverse = pow(b, -1, 2**64)
-    with np.errstate(over="ignore"):
-        up, down = np.full(size, _U(b)), np.full(size, _U(inverse))
+    """Powers of the base and of its inverse, grown as needed and kept once."""
+    if base not in _grown or len(_grown[base][0]) < size:
+        n = (size // 65_536 + 1) * 65_536
+        up, down = np.full(n, _U(_BASES[base])), np.full(n, _U(pow(_BASES[base], -1, 2**64)))
         up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+        _grown[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _grown[base]
 
 
 def _span_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray, base: str) -> np.ndarray:
     """Position-free polynomial hash of values[first:last], for many spans at once."""
-    size = 1 << max(int(len(values)).bit_length(), 10)
-    up, down = _powers(base, size)
+    up, down = _powers(base, len(values) + 1)
     total = np.zeros(len(values) + 1, _U)
     np.cumsum(values * up[:len(values)], out=total[1:])
     length = (last - first).astype(_U)
@@ -97,9 +101,16 @@ class Chunk:
         self.n_words = np.diff(self.row_first)
 
     def word_hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, _U)
-        return _span_hash(byte_codes(self.lower)[self.data], self.start, self.end, "byte")
+        """Hash of each word; bytes are taken in parts, so temporary arrays stay small."""
+        codes, out, low = byte_codes(self.lower), np.empty(len(self.start), _U), 0
+        while low < len(self.start):
+            first = self.start[low]
+            high = int(np.searchsorted(self.start, first + PART_BYTES))
+            last = self.end[high - 1]
+            out[low:high] = _span_hash(codes[self.data[first:last]], self.start[low:high] - first,
+                                       self.end[low:high] - first, "byte")
+            low = high
+        return out
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_rows), self.n_words)
@@ -117,6 +128,13 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, size, base: str = "one"
     return _span_hash(words, starts, starts + size, base)
 
 
+def release() -> None:
+    """Hand freed memory back to the system: workers live on after a task, beside others."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
