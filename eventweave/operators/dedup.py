@@ -68,18 +68,24 @@ def identity_candidates(normalized: DataFrame, articles: DataFrame,
                         min_chars: int = policy.MIN_FINGERPRINT_CHARS) -> DataFrame:
     """Adds by_external_id, by_canonical_url and by_fingerprint (structs or NULL)."""
     snap = F.struct(*_SNAP)
-    ext = articles.filter("external_id <> ''").groupBy("source_id", "external_id").agg(
-        F.min_by(snap, "article_id").alias("by_external_id"))
-    url = articles.groupBy("canonical_url").agg(
+    # only keys of the pending rows are aggregated
+    asked = lambda *keys: normalized.select(*keys).distinct()
+    ext = articles.filter("external_id <> ''").join(
+        asked("source_id", "external_id"), ["source_id", "external_id"], "left_semi").groupBy(
+        "source_id", F.col("external_id").alias("_e")).agg(F.min_by(snap, "article_id").alias("by_external_id"))
+    url = articles.join(asked("canonical_url"), "canonical_url", "left_semi").groupBy("canonical_url").agg(
         F.min_by(snap, "article_id").alias("by_canonical_url"))
-    finger = articles.groupBy("content_fingerprint").agg(
-        F.min_by(snap, F.struct("created_at", "article_id")).alias("_fp"))
+    finger = articles.join(asked("content_fingerprint"), "content_fingerprint", "left_semi").groupBy(
+        "content_fingerprint").agg(F.min_by(snap, F.struct("created_at", "article_id")).alias("_fp"))
+    # rows that look nothing up get keys that match nothing and differ, so they stay spread out
+    none = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("canonical_url", "content_fingerprint"), F.lit(65_536)))
     usable = (F.col("by_external_id").isNull() & F.col("by_canonical_url").isNull()
               & (F.col("fingerprint_input_length") >= min_chars))
     return (
-        normalized.join(ext, ["source_id", "external_id"], "left")
+        normalized.withColumn("_e", F.when(F.col("external_id") != "", F.col("external_id")).otherwise(none))
+        .join(ext, ["source_id", "_e"], "left").drop("_e")
         .join(url, "canonical_url", "left")
-        .withColumn("_k", F.when(usable, F.col("content_fingerprint")))
+        .withColumn("_k", F.when(usable, F.col("content_fingerprint")).otherwise(none))
         .join(finger.withColumnRenamed("content_fingerprint", "_k"), "_k", "left")
         .withColumnRenamed("_fp", "by_fingerprint").drop("_k")
     )
@@ -211,7 +217,7 @@ def _after(rows: DataFrame, folded: DataFrame, state: DataFrame) -> DataFrame:
         last.select("article_id", "s.component", *[f"s.{c}" for c in _STATE[1:]]))
 
 
-def identity_outcomes(pending: DataFrame, articles: DataFrame, *, fold_rows: int = 5_000,
+def identity_outcomes(pending: DataFrame, articles: DataFrame, *, fold_rows: int = 1_000,
                       block_seconds: int = 86_400) -> DataFrame:
     """(raw_id, kind, article_id) as if the revisions were processed one by one in
     (created_at, raw_id) order. A new article takes the id of the revision that made it.
@@ -325,7 +331,7 @@ def _content_originals(pending: DataFrame, outcomes: DataFrame, articles: DataFr
 
 def process_raw(pending: DataFrame, articles: DataFrame, *,
                 min_fingerprint_chars: int = policy.MIN_FINGERPRINT_CHARS,
-                fold_rows: int = 5_000, block_seconds: int = 86_400,
+                fold_rows: int = 1_000, block_seconds: int = 86_400,
                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(raw outcomes, articles', revised article ids) for normalized pending revisions.
 

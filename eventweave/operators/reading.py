@@ -82,6 +82,26 @@ def batch_validity(checked: DataFrame, batch: str = "batch_id",
 # --- acceptance --------------------------------------------------------------------
 
 
+def accept_batches(checked: DataFrame, stories: DataFrame, accepted: DataFrame | None = None, *,
+                   batch: str = "batch_id", seq: str = "seq",
+                   max_events: int = policy.IMPRESSION_BATCH) -> DataFrame:
+    """Outcome and code of every event of `impression_checks` rows (with user_id and received_at).
+
+    A batch with a broken event or too many events is refused whole: nothing of it is taken, all its
+    events are `invalid`. The others are accepted in the order of receipt, batch and place in the
+    batch, after what `accepted` holds."""
+    valid = batch_validity(checked, batch, max_events).select(batch, "valid")
+    rows = checked.join(valid, batch).select(
+        "user_id", batch, seq, "received_at", "valid", F.col("p_event_id").alias("event_key"),
+        F.col("p_feed_session_id").alias("session_id"), F.col("p_story_id").alias("story_id"),
+        F.col("p_position").alias("position"), F.col("p_occurred_at").alias("occurred_at"))
+    judged = accept_impressions(rows.filter("valid").drop("valid"), stories, accepted,
+                                body=["position", "occurred_at"], order=["received_at", batch, seq])
+    refused = rows.filter("NOT valid").drop("valid").withColumn("outcome", F.lit("invalid")).withColumn(
+        "code", F.lit("invalid_batch"))
+    return judged.unionByName(refused)
+
+
 def accept_impressions(events: DataFrame, stories: DataFrame, accepted: DataFrame | None = None, *,
                        body: list[str], order: list[str]) -> DataFrame:
     """Each event with outcome and code, as if users' events were taken one by one in `order`.

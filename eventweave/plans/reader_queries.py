@@ -380,7 +380,7 @@ def _wire(spark, d):
         F.when(m == 7, F.lit(',"extra":1')).otherwise(F.lit("")), F.when(m == 8, F.lit("")).otherwise(
             F.concat(F.lit(',"occurred_at":"'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
                      F.when(m == 9, "").otherwise("Z"), F.lit('"'))), F.lit("}"))
-    return e.select("seq", "batch_id", "received_at", body.alias("event_json"))
+    return e.select("user_id", "seq", "batch_id", "received_at", body.alias("event_json"))
 
 
 _CHECK_CASE = """CASE seq % 11 WHEN 1 THEN 'story_id' WHEN 2 THEN 'story_id' WHEN 3 THEN 'position'
@@ -400,6 +400,21 @@ def impression_batches(spark, d):
     return reading.batch_validity(reading.impression_checks(_wire(spark, d)))
 
 
+@query("accept_batches", f"""
+    WITH b AS (SELECT batch_id, count(*) <= 20 AND bool_and({_CHECK_CASE} = '') AS valid FROM imp GROUP BY batch_id),
+      v AS (SELECT user_id, seq, row_number() OVER (
+          PARTITION BY user_id, story_id ORDER BY received_at, batch_id, seq) AS r
+        FROM imp JOIN b USING (batch_id) WHERE valid AND story_id IN (SELECT story_id FROM known))
+    SELECT user_id, seq, CASE WHEN NOT valid THEN 'invalid_batch'
+        WHEN story_id NOT IN (SELECT story_id FROM known) THEN 'story_not_found'
+        WHEN r = 1 THEN '' ELSE 'event_conflict' END AS code
+    FROM imp JOIN b USING (batch_id) LEFT JOIN v USING (user_id, seq)""")
+def accept_batches(spark, d):
+    """Shape checks, the all-or-nothing rule and acceptance as one job."""
+    return reading.accept_batches(reading.impression_checks(_wire(spark, d)), t.known_stories(spark, d)).select(
+        "user_id", "seq", "code")
+
+
 @query("known_story_semi", "SELECT user_id, seq, story_id FROM imp WHERE story_id IN (SELECT story_id FROM known)")
 def known_story_semi(spark, d):
     return reading.known_story(t.impression_events(spark, d), t.known_stories(spark, d)).select(
