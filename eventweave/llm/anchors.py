@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from . import blocks as B
 from .shared import cut_lineage
-from .words import SPACES, Chunk, utf8_buffer, window_hashes
+from .words import SPACES, Chunk, release, utf8_buffer, window_hashes
 
 WINDOW = 35
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<first: long, end: long>>"
@@ -105,6 +105,7 @@ def _wide_tally(table: pa.Table) -> pa.Table:
     group = np.empty(len(a), np.int64)
     group[order] = np.cumsum(new) - 1
     again = np.bincount(group, 1 + many) > 1
+    del one, two, many, order, a, b, new
     ends = np.cumsum(rows["n"])
     return pa.table({"block": pa.array(rows["block"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int32()),
                      "answer": pa.array([B.bits(again[group[e - n:e]]) for e, n in zip(ends, rows["n"])], pa.binary())})
@@ -130,6 +131,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for number, data in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
                 keys, counts, anchors, _, _ = Block(data, window, n_buckets).probes()
                 yield B.send(number, keys, counts, anchors)
+                del keys, counts, anchors
+                release()
 
     hits = cut_lineage(B.tally(packed.mapInArrow(probe, B.SENT), _hit))
 
@@ -142,6 +145,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for f, e in zip(first, np.append(first[1:], len(bucket))):
                 out.append((int(bucket[f]), number, int(e - f), one[f:e].tobytes(), two[f:e].tobytes(),
                             B.bits(counts[f:e] > 1)))
+        release()
         columns = list(zip(*out)) if out else [[]] * 6
         types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)],
@@ -183,6 +187,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8)))
                     ranges = [{"first": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])]
                 out.append((i, hi - lo, int(drop.sum()), b" ".join(words).decode(), ranges))
+        release()
         columns = list(zip(*out)) if out else [[]] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(),
                  pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
