@@ -20,8 +20,10 @@ SPACE = (
     "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a"
     "\\u2028\\u2029\\u202f\\u205f\\u3000"
 )
+# Typographic signs that NFKC and folding leave alone (but for the ellipsis, see `nfkc`).
+TYPOGRAPHIC = "¡¢£¤¥¦§©«¬®°±¶·»¿‐‒–—―‘’‚‛“”„‟†‡•…‰′‹›€"
 # Characters whose NFKC form is themselves and whose folding is `lower` (but for ß).
-PLAIN = "\\x00-\\x7F\\u00C0-\\u00FF"
+PLAIN = "\\x00-\\x7F\\u00C0-\\u00FF" + TYPOGRAPHIC
 # A run to replace: anything but one plain space.
 _RUN = f"[{SPACE.replace('\\x1c-\\x20', '\\x1c-\\x1f')}][{SPACE}]*| [{SPACE}]+"
 LETTER = "[\\p{L}\\p{Nl}\\p{No}]"
@@ -100,7 +102,7 @@ def collapse(value: Column | str) -> Column:
 
 def nfkc(value: Column | str) -> Column:
     value = _c(value)
-    return _branch(value, value, _nfkc_udf)
+    return _branch(value, F.replace(value, F.lit("…"), F.lit("...")), _nfkc_udf)
 
 
 def casefold(value: Column | str) -> Column:
@@ -119,7 +121,7 @@ def language_key(value: Column | str) -> Column:
 
 
 # Punctuation and symbols among the plain characters.
-_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~×÷"
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~×÷" + TYPOGRAPHIC
 
 
 def normalize_name(value: Column | str) -> Column:
@@ -251,10 +253,11 @@ _ZONED = (
 
 
 def extended_iso(text: Column) -> Column:
-    """ISO basic times (20240101T000000Z, also without seconds) in the extended form."""
+    """ISO basic times (20240101T000000Z) in the extended form, with seconds."""
     dated = F.regexp_replace(text, "^(\\d{4})(\\d{2})(\\d{2})(?=[T ])", "$1-$2-$3")
     timed = F.regexp_replace(dated, "(?<=[T ])(\\d{2})(\\d{2})(?=\\d{2}|[Z+-]|$)", "$1:$2")
-    return F.regexp_replace(timed, "(?<=[T ]\\d{2}:\\d{2})(\\d{2})(?=[.,Z+-]|$)", ":$1")
+    full = F.regexp_replace(timed, "(?<=[T ]\\d{2}:\\d{2})(\\d{2})(?=[.,Z+-]|$)", ":$1")
+    return F.regexp_replace(full, "(?<=[T ]\\d{2}:\\d{2})(?=Z|[+-])", ":00")
 
 
 def parse_zoned(value: Column | str) -> Column:

@@ -144,3 +144,40 @@ def test_policy():
     with pytest.raises(ValueError):
         MatchPolicy(max_distance=0.3)
     assert pipeline_key(model_key("p", "m", "1"), "k") == "p:m@1|k"
+
+
+def test_typographic_signs_stay_in_the_jvm_and_agree_with_python(spark):
+    import unicodedata
+
+    texts = [f"Le «{c}Été{c}» a{c}b {c} Straße" for c in text.TYPOGRAPHIC] + ["“Quote” – it’s 5 € …"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").filter(~text._unusual(F.col("v")))
+    rows = df.select("v", text.nfkc("v").alias("n"), text.casefold("v").alias("f"), text.normalize_name("v").alias("m")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = unicodedata.normalize("NFKC", r.v)
+        name = "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in n.casefold())
+        assert (r.n, r.f, r.m) == (n, r.v.casefold(), " ".join(name.split()))
+
+
+def test_readable_text_hidden_and_broken_markup():
+    read = text.readable_text
+    assert read('<a title="x > y">in</a>') == "in"
+    assert read("<noscript><div><noscript>a</noscript>b</div></noscript>c") == "c"
+    assert read("<script>if (a<b) { x = '<p>' }</script>after") == "after"
+    assert read("<svg/>seen<template>lost") == "seen"
+    assert read("1 < 2 & 3 &lt; 4<!-- <p> -->!") == "1 < 2 & 3 < 4!"
+    assert read("<P>a</P><BR>b</br>c<h1>d</h1>") == "a\nbc\nd"
+
+
+@pytest.mark.parametrize("link,ok", [
+    ("http://[2606:4700::1111]/x", True), ("http://[2606:4700::1111]:8080/", True), ("http://[fe80::1]/", False),
+    ("http://[2001:db8::1]/", False), ("http://[::ffff:8.8.8.8]/", False), ("http://[2001:4:112::1]/", True),
+    ("http://[zz]/", False), (" http://h.example/", True), ("http://é.example/", True), ("http://a／b/", False)])
+def test_safe_link_literals(spark, link, ok):
+    assert (one(spark, link, urls.safe_link("v")).c0 is not None) == ok
+
+
+def test_iso_basic_times(spark):
+    for raw in ("20240102T030405Z", "20240102T0304Z", "20240102T030405.5+0200", "2024-01-02T030405Z"):
+        assert one(spark, raw, text.parse_zoned("v")).c0 is not None, raw
+    assert one(spark, "20240102", text.parse_zoned("v")).c0 is None
