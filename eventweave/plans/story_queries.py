@@ -92,7 +92,11 @@ def embed_articles(spark, d):
                       F.col("input_chars").cast("long").alias("input_chars"))
 
 
-@query("embedding_udf")
+@query("embedding_udf", f"""
+    SELECT article_id, 'example:lengths@1' AS model_key, 4 AS dimension, CAST(length(array_to_string(
+      list_filter([{collapse('title')}, {collapse('body_text')}], lambda x: x <> ''), chr(10) || chr(10)))
+      AS DOUBLE) AS first
+    FROM article""")
 def embedding_udf(spark, d):
     """A user provider through the Arrow hook, over whole texts."""
     embed.register_provider("lengths", "example:lengths@1", 4, length_model)
@@ -524,7 +528,7 @@ def sentence_supporters(spark, d):
                        F.array_join(F.col("article_ids").cast("array<string>"), ",").alias("supporters"))
 
 
-@query("synthesis_udf")
+@query("synthesis_udf", "SELECT DISTINCT story_id, 'ok:TITLE' AS problem FROM member")
 def synthesis_udf(spark, d):
     """A user synthesizer through the per-story hook, then the output rules."""
     rows = synthesis.synthesize_with(_inputs(spark, d), first_titles)

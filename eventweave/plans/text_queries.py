@@ -465,7 +465,7 @@ MENTION_SQL = f"""
 
 
 def story_texts(spark, d):
-    """Whole texts of the members of the document stories (all have fewer members than the cap)."""
+    """Whole texts of all members of the document stories."""
     return enrich.member_text(t.text_membership(spark, d), t.articles(spark, d), max_chars=None)
 
 
