@@ -42,6 +42,7 @@ from .words import SPACES, Chunk, release, utf8_buffer, window_hashes
 N = 5
 PERCENT = 75
 TILE_BYTES = 8 << 20
+SET_BYTES = 2 << 10
 BITS = 1024
 NO_ID = -(1 << 63)  # stands for a null id inside
 SETS = "doc_id long, n_shingles long, set_key binary, shingles binary, prefix binary"
@@ -208,7 +209,8 @@ def tiles(sets: DataFrame, tile_bytes: int, percent: int) -> DataFrame:
     """`sets` (grp, rep, n, shingles) with band and part; a group that fits is one tile."""
     band = F.floor(F.ln(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
     sets = sets.withColumn("_band", band)
-    size = F.sum(F.octet_length("shingles").cast("long")).alias("s")
+    # a small set counts as SET_BYTES, so a tile is bounded in sets as well
+    size = F.sum(F.greatest(F.octet_length("shingles").cast("long"), F.lit(SET_BYTES))).alias("s")
     cells = sets.groupBy("grp", "_band").agg(size)
     whole = cells.groupBy("grp").agg(F.sum("s").alias("all"))
     cells = cells.join(whole, "grp").withColumn("parts", F.ceil(F.col("s") / tile_bytes))
