@@ -682,6 +682,27 @@ def unique_violations(spark, d):
         audit.unique_violations(e, ["user_id", "session_id", "story_id"], "impression_exposure", "story_id < 50"))
 
 
+@query("constraint_catalogue", """
+    SELECT * FROM (SELECT 'feed_impression' AS "table", 'user_event' AS "constraint", count(*) AS violations, sum(n)::BIGINT AS rows_in FROM (
+      SELECT count(*) AS n FROM imp GROUP BY user_id, event_key HAVING count(*) > 1)
+    UNION ALL SELECT 'feed_impression', 'user_session_story', count(*), sum(n)::BIGINT FROM (
+      SELECT count(*) AS n FROM imp GROUP BY user_id, session_id, story_id HAVING count(*) > 1)
+    UNION ALL SELECT 'story_article', 'similarity', count(*), count(*) FROM member WHERE article_id % 12 = 11) WHERE violations > 0""")
+def constraint_catalogue(spark, d):
+    """All stored rules that the adapted tables have the columns for; some similarities are broken."""
+    from ..constraints import violations
+    from ..operators.synthesis import current_generation
+
+    members = t.text_membership(spark, d).withColumn("similarity", F.when(
+        F.col("article_id") % 12 == 11, 2.0).otherwise(F.col("similarity")))
+    found = violations({
+        "article": t.articles(spark, d), "story_article": members, "story": t.text_stories(spark, d),
+        "story_synthesis": current_generation(t.text_syntheses(spark, d)), "bookmark": _bookmarks(spark, d),
+        "feed_impression": t.impression_events(spark, d).withColumnsRenamed(
+            {"event_key": "event_id", "session_id": "feed_session_id"})})
+    return found.groupBy("table", "constraint").agg(F.count("*").alias("violations"), F.sum("n").alias("rows_in"))
+
+
 @query("check_violations", """
     SELECT run_id, unnest(list_filter([CASE WHEN duration < 2000 THEN 'duration_floor' END,
       CASE WHEN finished_at < started_at + INTERVAL 1 SECOND THEN 'finish_after_start' END,
