@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .words import cuts, utf8_buffer
+from .words import cuts, release, utf8_buffer
 
 ORDER = 3
 PER_LANGUAGE = 400
@@ -47,12 +47,17 @@ class Model:
 
 def sampled(docs: DataFrame, doc_id: str, text: str, label: str, teach: Column,
             per_language: int = PER_LANGUAGE) -> DataFrame:
-    """lang, text of at most `per_language` labelled rows of each language, picked by hash of the
-    id. Only ids are ranked; Spark prunes the ranked window before the shuffle."""
+    """lang, text of at most `per_language` labelled rows of each language: those whose ids have the
+    smallest hashes. A count per language first sets a bound on the hash that about four times as
+    many pass, so what is ranked stays small, whatever the table; texts are read for the picked ids."""
     rows = docs.filter(teach & F.col(label).isNotNull() & (F.length(text) > 0)).select(
         F.col(label).alias("lang"), F.col(doc_id).cast("long").alias("id"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select(
+    rows = rows.withColumn("h", F.xxhash64("id")).withColumn(
+        "u", F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53))
+    counts = docs.filter(teach & F.col(label).isNotNull()).groupBy(F.col(label).alias("lang")).agg(F.count("*").alias("n"))
+    near = rows.join(counts, "lang").filter(F.col("u") * F.col("n") < 4 * per_language + 100)
+    w = Window.partitionBy("lang").orderBy("u", "id")
+    picked = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select(
         F.col("lang").alias("_lang"), F.col("id").alias("_id")).distinct()
     return docs.join(F.broadcast(picked), F.col(doc_id).cast("long").eqNullSafe(F.col("_id"))
                      & (F.col(label) == F.col("_lang"))).select(F.col("_lang").alias("lang"),
@@ -89,13 +94,18 @@ def _gram_counts(order: int, row_bytes: int):
 def learn(sample: DataFrame, order: int = ORDER, row_bytes: int = ROW_BYTES) -> Model | None:
     """The flattened trees; the counts are as large as the bounded sample at most."""
     counts = sample.mapInArrow(_gram_counts(order, row_bytes), "lang string, k long, gram long, n long").groupBy(
-        "lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
+        "lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
     return build(counts, order) if len(counts) else None
 
 
-def build(counts, order: int) -> Model:
-    languages = sorted(counts["lang"].unique())
-    one = np.unique(counts.loc[counts["k"] == 1, "gram"].to_numpy())
+def build(counts: pa.Table, order: int) -> Model:
+    """The model from rows (lang, k, gram, n)."""
+    names = counts.column("lang").combine_chunks().dictionary_encode()
+    lang_of, k_of = names.indices.to_numpy(), counts.column("k").to_numpy()
+    gram_of, n_of = counts.column("gram").to_numpy(), counts.column("n").to_numpy()
+    known = names.dictionary.to_pylist()
+    languages = sorted(known)
+    one = np.unique(gram_of[k_of == 1])
     symbol = np.zeros(256, np.int64)
     symbol[one] = np.arange(1, len(one) + 1)
     size = len(one) + 1
@@ -106,12 +116,12 @@ def build(counts, order: int) -> Model:
     table = {}
     for lang in languages:
         for k in range(1, order + 2):
-            rows = counts[(counts["lang"] == lang) & (counts["k"] == k)]
-            gram = rows["gram"].to_numpy()
+            rows = (lang_of == known.index(lang)) & (k_of == k)
+            gram = gram_of[rows]
             code = np.zeros(len(gram), np.int64)
             for j in range(k):
                 code = code * size + symbol[(gram >> (8 * (k - 1 - j))) & 255]
-            table[lang, k] = (code, rows["n"].to_numpy().astype(np.float64))
+            table[lang, k] = (code, n_of[rows].astype(np.float64))
             packed[k].append(code)
     for length in range(1, order + 1):  # longer contexts overwrite the shorter ones they end with
         found = np.unique(np.concatenate(packed[length]))
@@ -211,6 +221,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lang_pred
         for batch in batches:
             lang, value = predict_batch(shared.value, batch.column(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, lang, value], names)
+            release()
 
     names = [*docs.columns, lang_pred, score]
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()),
