@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .shared import cut_lineage
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -105,7 +107,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
 def limit_table(histogram: DataFrame) -> DataFrame:
     """For each occurring length taken as context limit: n_docs and n_tokens up to it, docs_beyond,
     tokens_cut (tokens left when every text is cut at the limit), and share of documents up to it."""
-    h = histogram.select(F.col("n_tokens").alias("limit"), "n_docs", F.floor(F.col("n_tokens") / BLOCK).alias("b"),
+    h = cut_lineage(histogram).select(F.col("n_tokens").alias("limit"), "n_docs", F.floor(F.col("n_tokens") / BLOCK).alias("b"),
                          (F.col("n_tokens") * F.col("n_docs")).alias("t"))
     inner = Window.partitionBy("b").orderBy("limit")
     # one row per block of lengths: as many as the longest text has thousands of tokens
