@@ -29,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import NOT_ALNUM, Chunk, cuts, utf8_buffer, window_hashes
+from .words import NOT_ALNUM, Chunk, cuts, release, utf8_buffer, window_hashes
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 MARKS = "row long, doc_id long, n_words long, hit binary, items array<string>"
 
 
@@ -205,6 +205,7 @@ def shards(column: pa.Array, items: Items) -> Iterator[tuple[int, int, Shard]]:
     for low, high in cuts(offsets, SHARD_BYTES):
         chunk = Chunk(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], NOT_ALNUM, True)
         yield low, high, Shard(chunk, items)
+        release()
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> list:
