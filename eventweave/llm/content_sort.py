@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut_lineage, partitions
+from .shared import cut_lineage, finish_phase, partitions
 
 SCHEMA = ("row long, doc_id long, text_sha256 string, run_best long, run_size long, run_rank long, "
           "border boolean")
@@ -88,7 +88,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.substring("content", 1, PREFIX).alias("head"), F.xxhash64("content").alias("hash"))
     order = [F.col("head"), F.col("hash"), F.col("content"), F.col("doc_id").desc_nulls_last()]
     dealt = keyed.repartitionByRange(n, "head", "hash", F.col("doc_id").desc_nulls_last())
-    runs = cut_lineage(dealt.sortWithinPartitions(*order).select("doc_id", "content")
+    runs = finish_phase(dealt.sortWithinPartitions(*order).select("doc_id", "content")
                        .mapInArrow(_runs, SCHEMA))
     # Runs at the ends of partitions: at most two contents per partition, so the side is bounded.
     ends = (runs.filter("border").groupBy(F.col("text_sha256").alias("end_sha")).agg(

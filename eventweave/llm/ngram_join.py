@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import components
 from . import blocks as B
-from .shared import cut_lineage
+from .shared import cut_lineage, finish_phase
 from .words import SPACES, Chunk, release, utf8_buffer, window_hashes
 
 N = 5
@@ -98,7 +98,7 @@ def prepared_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int)
                 del keys, counts
                 release()
 
-    classes = cut_lineage(B.tally(packed.mapInArrow(send, B.SENT), _document_class))
+    classes = finish_phase(B.tally(packed.mapInArrow(send, B.SENT), _document_class))
 
     def settle(rows: pa.Table, answers: pa.Table) -> pa.Table:
         told = dict(zip(answers.column("bucket").to_pylist(), answers.column("answer").to_pylist()))
@@ -206,21 +206,21 @@ def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def tiles(sets: DataFrame, tile_bytes: int, percent: int) -> DataFrame:
-    """`sets` (grp, rep, n, shingles) with band and part; a group that fits is one tile."""
+    """Tiles of `sets` (grp, rep, n, bytes): band and part; a group that fits is one tile."""
     band = F.floor(F.ln(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
     sets = sets.withColumn("_band", band)
     # a small set counts as SET_BYTES, so a tile is bounded in sets as well
-    size = F.sum(F.greatest(F.octet_length("shingles").cast("long"), F.lit(SET_BYTES))).alias("s")
+    size = F.sum(F.greatest(F.col("bytes").cast("long"), F.lit(SET_BYTES))).alias("s")
     cells = sets.groupBy("grp", "_band").agg(size)
     whole = cells.groupBy("grp").agg(F.sum("s").alias("all"))
     cells = cells.join(whole, "grp").withColumn("parts", F.ceil(F.col("s") / tile_bytes))
     return sets.join(cells, ["grp", "_band"]).withColumn("split", F.col("all") > tile_bytes).withColumn(
         "band", F.when(F.col("split"), F.col("_band")).otherwise(-1)).withColumn(
         "part", F.when(F.col("split"), F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0)).select(
-        "grp", "band", "part", "split", "rep", "n", "shingles")
+        "grp", "band", "part", "split", "rep")
 
 
-def _across(tiled: DataFrame, labels: DataFrame, first_only: bool, percent: int) -> DataFrame:
+def _across(tiled: DataFrame, sets: DataFrame, labels: DataFrame, first_only: bool, percent: int) -> DataFrame:
     """Links between tiles of the split groups: pairs of tiles in bands that can meet and that are
     not one class already; `first_only`: with the first tile of a band only."""
     t = tiled.join(labels, "rep")
@@ -234,7 +234,7 @@ def _across(tiled: DataFrame, labels: DataFrame, first_only: bool, percent: int)
     pairs = pairs.select(F.struct("grp", "l_band", "l_part", "band", "part").alias("pair"), F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("l_band").alias("band"), F.col("l_part").alias("part")),
         F.struct(F.lit(1).alias("side"), "band", "part"))).alias("t"), "grp").select("pair", "grp", "t.*")
-    rows = t.join(pairs, ["grp", "band", "part"]).select("pair", "side", "rep", "n", "shingles", "label")
+    rows = t.join(pairs, ["grp", "band", "part"]).select("pair", "side", "rep", "label").join(sets, "rep")
     return rows.groupBy("pair").applyInArrow(_linker(percent, True), "a long, b long")
 
 
@@ -243,15 +243,18 @@ def similar_sets(sets: DataFrame, percent: int, tile_bytes: int) -> DataFrame:
     touch = sets.select("rep", "prefix").mapInArrow(_prefix_rows, "rep long, shingle long")
     hubs = touch.groupBy("shingle").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).filter("c > 1")
     hung = cut_lineage(touch.join(hubs, "shingle").select(F.col("rep").alias("node"), F.col("hub").alias("key")).distinct())
-    grouped = sets.join(components(hung).select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep")
-    tiled = cut_lineage(tiles(grouped, tile_bytes, percent))
-    links = cut_lineage(tiled.withColumn("label", F.col("rep")).groupBy("grp", "band", "part").applyInArrow(
-        _linker(percent, False), "a long, b long"))
-    split = tiled.filter("split")
+    groups = components(hung).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    # tiles are dealt out by sizes alone; shingles join them when a tile is compared
+    dealt = finish_phase(tiles(sets.select("rep", "n", F.octet_length("shingles").alias("bytes")).join(
+        groups, "rep"), tile_bytes, percent))
+    rows = sets.select("rep", "n", "shingles")
+    links = finish_phase(rows.join(dealt, "rep").withColumn("label", F.col("rep")).groupBy(
+        "grp", "band", "part").applyInArrow(_linker(percent, False), "a long, b long"))
+    split = dealt.filter("split")
     if not split.isEmpty():
         for first_only in (True, False):
-            more = _across(split, _classes(split, links), first_only, percent)
-            links = cut_lineage(links.unionByName(more))
+            more = _across(split, rows, _classes(split, links), first_only, percent)
+            links = finish_phase(links.unionByName(more))
     return _classes(sets, links)
 
 
@@ -259,10 +262,10 @@ def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
                   percent: int = PERCENT, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of `docs`."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    found = cut_lineage(prepared_sets(rows, "doc_id", "text", n, percent))
+    found = finish_phase(prepared_sets(rows, "doc_id", "text", n, percent))
     alone = found.filter(F.col("set_key").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     near = found.filter(F.col("set_key").isNotNull())
-    sets = cut_lineage(near.groupBy("set_key").agg(
+    sets = finish_phase(near.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
         F.first("shingles", ignorenulls=True).alias("shingles"), F.first("prefix", ignorenulls=True).alias("prefix")))
     label = sets.select("set_key", "rep").join(similar_sets(sets, percent, tile_bytes), "rep").select("set_key", "label")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, set_checkpoint_folder
 
-__all__ = ["cut_lineage", "partitions", "read", "set_checkpoint_folder", "text_bytes"]
+__all__ = ["cut_lineage", "finish_phase", "partitions", "read", "set_checkpoint_folder", "text_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,3 +21,13 @@ def partitions(spark: SparkSession) -> int:
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+
+
+def finish_phase(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and let Spark remove the shuffle and checkpoint files of
+    the phase behind it now. Its cleaner goes by the driver's garbage collections, which a driver
+    that plans much and holds little may not have for a long time."""
+    done = cut_lineage(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done

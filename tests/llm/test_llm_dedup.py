@@ -136,8 +136,7 @@ def test_ngram_classes(make, tile_bytes):
 
 
 def test_ngram_tiles_are_split_and_signatures_bound(spark, make):
-    sets = spark.createDataFrame([(1, r, 100 + r, bytes(800)) for r in range(40)],
-                                 "grp long, rep long, n long, shingles binary")
+    sets = spark.createDataFrame([(1, r, 100 + r, 800) for r in range(40)], "grp long, rep long, n long, bytes long")
     tiled = ngram_join.tiles(sets, 4000, 75)
     assert tiled.filter("split").count() == 40
     assert tiled.groupBy("band", "part").count().count() > 3
