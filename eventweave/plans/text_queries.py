@@ -156,12 +156,16 @@ def article_language(spark, d):
 
 @query("normalize_articles")
 def normalize_articles(spark, d):
-    """Pages as publications; titles that look empty and broken URLs are rejected."""
+    """Pages as publications; titles that look empty, broken URLs and bodies made longer than the
+    rule's bound are rejected."""
     items = t.page_items(spark, d)
     n = F.col("item_id") % 10
+    longer = F.repeat(F.lit(" word"), policy.MAX_BODY_CHARS // 5 + 1)
+    items = items.withColumn("content_html", F.when(F.col("item_id") % 1000 == 7, F.concat(
+        "content_html", F.lit("<p>"), longer, F.lit("</p>"))).otherwise(F.col("content_html")))
     items = items.withColumn("title", F.when(n == 3, " ").otherwise(F.col("title"))).withColumn(
         "url", F.when(n == 5, F.lit("http://bad host/")).otherwise(F.col("url")))
-    good, bad = dedup.normalize_articles(items, max_body=5_000)
+    good, bad = dedup.normalize_articles(items)
     return good.select(
         "item_id", "canonical_url", "title", F.length("body_text").cast("long").alias("body_chars"),
         "language", "content_fingerprint", F.lit("").alias("reject_reason")

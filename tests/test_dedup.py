@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventweave.operators import dedup
 from eventweave.operators.components import components
+from eventweave.plans import QUERIES
 
 T0 = datetime(2024, 1, 1)
 COLS = ("raw_id long, source_id long, external_id string, canonical_url string, title string, "
@@ -134,3 +135,10 @@ def test_normalize_rejects(spark):
     assert (row.canonical_url, len(row.title), row.note, row.external_id, row.body_text) == (
         "http://a.example/", 512, "TITLE_TRUNCATED", "id", "b")
     assert good.filter(F.col("content_fingerprint").isNull()).isEmpty()
+
+
+def test_normalize_query_takes_every_body_within_the_rule(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.item_id: r for r in QUERIES["normalize_articles"](spark, sf).collect()}
+    assert max(r.body_chars or 0 for r in got.values()) > 5_000
+    assert {i for i, r in got.items() if r.reject_reason == "BODY_TOO_LARGE"} == {i for i in got if i % 1000 == 7}
