@@ -8,7 +8,7 @@ over the 256 bytes. The language with the shortest code for the whole text wins.
 
 The trees of all languages are flattened into one table (context, next byte) -> bits per language,
 so a byte costs two lookups. Bytes that no sample has share one symbol. The table goes to the
-tasks as a broadcast; the sample bounds it (`per_language` rows of at most `row_bytes` bytes each).
+tasks as a broadcast; the sample bounds it (`per_language` ids, their texts whole).
 
 Defined cases: null texts and texts without a letter are `und` with score 0; languages that tie go
 to the first by code point; with no labelled row everything is `und`; null labels never teach;
@@ -30,7 +30,6 @@ from .words import cuts, release, utf8_buffer
 
 ORDER = 3
 PER_LANGUAGE = 400
-ROW_BYTES = 16384
 EVIDENCE = 24
 CHUNK = 1 << 20
 
@@ -64,7 +63,30 @@ def sampled(docs: DataFrame, doc_id: str, text: str, label: str, teach: Column,
                                                                 F.col(text).alias("text"))
 
 
-def _gram_counts(order: int, row_bytes: int):
+def _pieces(data: np.ndarray, offsets: np.ndarray, rows: list[int], order: int) -> Iterator[list[list[np.ndarray]]]:
+    """Per about CHUNK bytes of these rows the k-byte strings of k = 1 to order + 1. A string counts
+    where it ends, so long rows are taken piece by piece and whole."""
+    parts, held = [[] for _ in range(order + 1)], 0
+    for r in rows:
+        first, end = int(offsets[r]), int(offsets[r + 1])
+        for low in range(first, end, CHUNK):
+            back, high = max(low - order, first), min(low + CHUNK, end)
+            b = data[back:high].astype(np.int64)
+            gram = np.zeros(len(b), np.int64)
+            for k in range(1, order + 2):
+                if len(b) < k:
+                    break
+                gram = (gram[:len(b) - k + 1] << 8) | b[k - 1:]
+                parts[k - 1].append(gram[max(low - back - k + 1, 0):])
+            held += high - low
+            if held >= CHUNK:
+                yield parts
+                parts, held = [[] for _ in range(order + 1)], 0
+    if held:
+        yield parts
+
+
+def _gram_counts(order: int):
     """rows (lang, text) of one task -> (lang, k, gram, n): counts of k-byte strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,28 +94,21 @@ def _gram_counts(order: int, row_bytes: int):
             langs = batch.column("lang").to_pylist()
             data, offsets = utf8_buffer(batch.column("text"))
             for lang in sorted(set(langs)):
-                parts: dict[int, list] = {k: [] for k in range(1, order + 2)}
-                for r in [i for i, x in enumerate(langs) if x == lang]:
-                    b = data[offsets[r]:min(offsets[r + 1], offsets[r] + row_bytes)].astype(np.int64)
-                    gram = np.zeros(len(b), np.int64)
-                    for k in range(1, order + 2):
-                        if len(b) < k:
-                            break
-                        gram = (gram[:len(b) - k + 1] << 8) | b[k - 1:]
-                        parts[k].append(gram)
-                for k, found in parts.items():
-                    if found:
-                        gram, n = np.unique(np.concatenate(found), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), k), pa.int64()),
-                            pa.array(gram), pa.array(n.astype(np.int64))], ["lang", "k", "gram", "n"])
+                rows = [i for i, x in enumerate(langs) if x == lang]
+                for parts in _pieces(data, offsets, rows, order):
+                    for k, found in enumerate(parts, 1):
+                        if found:
+                            gram, n = np.unique(np.concatenate(found), return_counts=True)
+                            yield pa.RecordBatch.from_arrays([
+                                pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), k), pa.int64()),
+                                pa.array(gram), pa.array(n.astype(np.int64))], ["lang", "k", "gram", "n"])
 
     return run
 
 
-def learn(sample: DataFrame, order: int = ORDER, row_bytes: int = ROW_BYTES) -> Model | None:
+def learn(sample: DataFrame, order: int = ORDER) -> Model | None:
     """The flattened trees; the counts are as large as the bounded sample at most."""
-    counts = sample.mapInArrow(_gram_counts(order, row_bytes), "lang string, k long, gram long, n long").groupBy(
+    counts = sample.mapInArrow(_gram_counts(order), "lang string, k long, gram long, n long").groupBy(
         "lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
     return build(counts, order) if len(counts) else None
 
@@ -208,8 +223,8 @@ def predict_batch(model: Model | None, column: pa.Array) -> tuple[pa.Array, pa.A
 
 
 def fit(docs: DataFrame, teach: Column, doc_id: str = "doc_id", text: str = "text", label: str = "lang",
-        order: int = ORDER, per_language: int = PER_LANGUAGE, row_bytes: int = ROW_BYTES) -> Model | None:
-    return learn(sampled(docs, doc_id, text, label, teach, per_language), order, row_bytes)
+        order: int = ORDER, per_language: int = PER_LANGUAGE) -> Model | None:
+    return learn(sampled(docs, doc_id, text, label, teach, per_language), order)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred",

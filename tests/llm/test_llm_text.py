@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_ppm_learns_from_whole_texts(spark, make, monkeypatch):
+    head, tails = "lorem ipsum " * 2000, {"de": "der hund und die katze ", "en": "the dog and the cat "}
+    docs = spark.createDataFrame([(k, head + tails[x] * 40, x) for k, x in enumerate(["de", "en"] * 3)],
+                                 "doc_id long, text string, lang string")
+    model = ppm.fit(docs, F.lit(True))
+    got = ppm.identify(make([(1, "und die katze"), (2, "and the cat")]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "de", 2: "en"}
+    data, offsets = ppm.utf8_buffer(pa.array(["skipped", "der hund und die katze", "", "öl", "a" * 40]))
+    for size in (1, 2, 3, 7, 1 << 20):
+        monkeypatch.setattr(ppm, "CHUNK", size)
+        found = [Counter() for _ in range(4)]
+        for parts in ppm._pieces(data, offsets, [1, 2, 3, 4], 3):
+            for k in range(4):
+                found[k].update(g for p in parts[k] for g in p.tolist())
+        texts = [bytes(data[offsets[r]:offsets[r + 1]]) for r in (1, 2, 3, 4)]
+        assert found == [Counter(int.from_bytes(t[i:i + k], "big") for t in texts for i in range(len(t) - k + 1))
+                         for k in (1, 2, 3, 4)]
+
+
 def test_warc_broken_chain_is_an_error(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nrubbish")
     with pytest.raises(ValueError):
