@@ -47,17 +47,19 @@ class Model:
 def sampled(docs: DataFrame, doc_id: str, text: str, label: str, teach: Column,
             per_language: int = PER_LANGUAGE) -> DataFrame:
     """lang, text of at most `per_language` labelled rows of each language: those whose ids have the
-    smallest hashes. A count per language first sets a bound on the hash that about four times as
-    many pass, so what is ranked stays small, whatever the table; texts are read for the picked ids."""
+    smallest hashes. The number of distinct ids with a text per language first sets a bound on the
+    hash that about four times as many pass, so what is ranked stays small, whatever the table; texts
+    are read for the picked ids."""
     rows = docs.filter(teach & F.col(label).isNotNull() & (F.length(text) > 0)).select(
         F.col(label).alias("lang"), F.col(doc_id).cast("long").alias("id"))
     rows = rows.withColumn("h", F.xxhash64("id")).withColumn(
         "u", F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53))
-    counts = docs.filter(teach & F.col(label).isNotNull()).groupBy(F.col(label).alias("lang")).agg(F.count("*").alias("n"))
-    near = rows.join(counts, "lang").filter(F.col("u") * F.col("n") < 4 * per_language + 100)
+    counts = rows.groupBy("lang").agg(F.count_distinct("id").alias("n"))
+    near = rows.join(counts, "lang").filter(F.col("u") * F.col("n") < 4 * per_language + 100).select(
+        "lang", "id", "u").distinct()
     w = Window.partitionBy("lang").orderBy("u", "id")
     picked = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select(
-        F.col("lang").alias("_lang"), F.col("id").alias("_id")).distinct()
+        F.col("lang").alias("_lang"), F.col("id").alias("_id"))
     return docs.join(F.broadcast(picked), F.col(doc_id).cast("long").eqNullSafe(F.col("_id"))
                      & (F.col(label) == F.col("_lang"))).select(F.col("_lang").alias("lang"),
                                                                 F.col(text).alias("text"))

@@ -233,6 +233,16 @@ def test_ppm_learns_from_whole_texts(spark, make, monkeypatch):
                          for k in (1, 2, 3, 4)]
 
 
+def test_ppm_sample_counts_only_ids_that_can_be_picked(spark):
+    ids = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("de").alias("lang"))
+    far = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / float(1 << 53) > 0.5
+    few = spark.range(100_000, 100_100).filter(far).select(
+        F.col("id").alias("doc_id"), F.lit("der hund").alias("text"), F.lit("de").alias("lang"))
+    assert ppm.sampled(ids.unionByName(few), "doc_id", "text", "lang", F.lit(True)).count() == few.count() > 0
+    often = few.limit(2).crossJoin(spark.range(5_000)).drop("id")
+    assert ppm.sampled(often, "doc_id", "text", "lang", F.lit(True)).count() == 10_000
+
+
 def test_warc_broken_chain_is_an_error(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nrubbish")
     with pytest.raises(ValueError):
