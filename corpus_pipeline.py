@@ -15,11 +15,12 @@ MIN_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: not `und`, and the best language holds at least half
-    of the posterior."""
+    """Documents whose language can be told: not `und`, and the best language holds at least half of
+    the posterior. Texts of less than `ppm.EVIDENCE` bytes are too short for that and stay if not `und`."""
     teach = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0)) != 2
     judged = ppm.identify(docs, ppm.fit(docs, teach), lang_pred="_lang_pred", score="_score")
-    return judged.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    told = (F.col("_score") >= MIN_SCORE) | (F.octet_length("text") < ppm.EVIDENCE)
+    return judged.filter((F.col("_lang_pred") != "und") & told).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

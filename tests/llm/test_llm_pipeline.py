@@ -72,3 +72,13 @@ def test_empty_corpus(spark, make, tmp_path):
     make([]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_short_texts_are_not_dropped_for_lack_of_evidence(spark, make, monkeypatch):
+    judged = [(1, "Re.", "en", 0.3), (2, "a text of more than twenty-four bytes", "en", 0.3), (3, "?!", "und", 0.0),
+              (4, "a text of more than twenty-four bytes", "en", 0.6)]
+    monkeypatch.setattr(corpus_pipeline.ppm, "fit", lambda docs, teach: None)
+    monkeypatch.setattr(corpus_pipeline.ppm, "identify", lambda docs, model, **names: spark.createDataFrame(
+        judged, "doc_id long, text string, _lang_pred string, _score double"))
+    got = corpus_pipeline.language_id(spark, make([]).select("doc_id", "text"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 4]
