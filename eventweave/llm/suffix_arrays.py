@@ -2,9 +2,9 @@
 
 Each task cuts its documents into shards of whole documents. Of a shard it sorts all suffixes
 (word positions) that can hold a window of the benchmark, by their words, as deep as the longest
-item. Every suffix of every benchmark item is then binary-searched: the range of suffixes that
-share its window gives all occurrences, the neighbours of its place give the longest verbatim
-match. Words are numbered by the benchmark's vocabulary; other words are 0, match nothing, and a
+item. Every distinct window of the benchmark is then binary-searched: the range of suffixes that
+share it gives all occurrences. `longest_table` searches every suffix of every item instead: the
+neighbours of its place give its longest verbatim match. Words are numbered by the benchmark's vocabulary; other words are 0, match nothing, and a
 0 also stands between documents, so no match crosses documents.
 
 The benchmark is the stated query set. It goes to the tasks in blocks of whole items of at most
@@ -317,6 +317,50 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     return out
 
 
+def longest_table(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """item_id, item_hash, item_word, doc_id, doc_word, length: the longest match over all documents
+    of every item suffix that has one of `window` words or of its whole item. item_hash (xxhash64 of
+    the text) tells items of one id apart; equal items count once. Of several longest matches
+    one is given. Columns item_id and doc_id keep their values."""
+    spark = benchmark.sparkSession
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.xxhash64(item_text).alias("item_hash"),
+                             F.col(item_text).alias("t")).filter("length(t) > 0").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n = max(1, -(-2 * total // block_bytes))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = None
+    for k in range(n):
+        part = items.filter(F.pmod("item_hash", F.lit(n)) == k).collect()
+        block = spark.sparkContext.broadcast((
+            index_items([r.item_id for r in part], [r.t for r in part], window),
+            [None if r.item_id is None else str(r.item_id) for r in part], [r.item_hash for r in part]))
+
+        def run(batches, block=block):
+            found, names, hashes = block.value
+            start = np.searchsorted(found.suffix_item, found.suffix_item)
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                for low, _, shard in shards(batch.column("text"), found):
+                    test, place, size = shard.longest(window)
+                    word = np.searchsorted(shard.at, place)
+                    row = shard.chunk.row_of_word()[word] if len(word) else word
+                    of = found.suffix_item[test]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([names[i] for i in of], pa.string()), pa.array([hashes[i] for i in of], pa.int64()),
+                        pa.array(test - start[test], pa.int64()), pa.array([ids[low + r] for r in row], pa.int64()),
+                        pa.array(word - shard.chunk.row_first[row], pa.int64()), pa.array(size, pa.int64()),
+                    ], ["item_id", "item_hash", "item_word", "doc_id", "doc_word", "length"])
+
+        part = rows.mapInArrow(run, "item_id string, item_hash long, item_word long, doc_id long, doc_word long, length long")
+        out = part if out is None else out.unionByName(part)
+    best = out.groupBy("item_id", "item_hash", "item_word").agg(F.min_by(
+        F.struct("doc_id", "doc_word", "length"), F.struct(-F.col("length"), "doc_id", "doc_word")).alias("m"))
+    return best.select(F.col("item_id").cast(kind).alias("item_id"), "item_hash", "item_word", "m.*")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` with no hit word, all columns kept; one narrow pass per block."""

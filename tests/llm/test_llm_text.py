@@ -97,6 +97,34 @@ def test_longest_matches(spark, make):
                 assert best[a, b] == n
 
 
+@pytest.mark.parametrize("block_bytes", [400, 8 << 20])
+def test_longest_table_over_all_shards_and_blocks(spark, make, block_bytes):
+    docs, items = contaminated_corpus(4)
+    items = items + [items[0], (items[0][0], "other words of one id " + docs[-1][1][:60]), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = suffix_arrays.longest_table(make(docs, 3), bench, window=4, block_bytes=block_bytes).collect()
+    hashes = {(r.item_id, r.text): r.h for r in bench.select("*", F.xxhash64("text").alias("h")).collect()}
+    split = [(i, alnum(t)) for i, t in docs]
+    want = {}
+    for i, t in {x for x in items if x[1]}:
+        w = alnum(t)
+        for b in range(len(w)):
+            n = 0
+            for _, d in split:
+                for p in range(len(d)):
+                    k = 0
+                    while k < len(w) - b and p + k < len(d) and d[p + k] == w[b + k]:
+                        k += 1
+                    n = max(n, k)
+            if n >= 4 or (b == 0 and n == len(w)):
+                want[i, hashes[i, t], b] = n
+    assert len(got) == len(want) and {(r.item_id, r.item_hash, r.item_word): r.length for r in got} == want
+    texts = {(h, i): alnum(t) for (i, t), h in hashes.items() if t}
+    for r in got:
+        w = texts[r.item_hash, r.item_id][r.item_word:][:r.length]
+        assert any(d[r.doc_word:][:r.length] == w for i, d in split if i == r.doc_id)
+
+
 def test_contamination_empty(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     got = suffix_arrays.contamination(make([(1, "a b")]), none).collect()
