@@ -275,6 +275,78 @@ def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
                       F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
+def count_links(reps, sizes, copies, arrays, side, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(reps, copies of the other sets that each links with), all pairs decided; `side` as in
+    `link_sets`."""
+    order = np.argsort(sizes, kind="stable")
+    reps, sizes, copies = reps[order], sizes[order], copies[order]
+    arrays = [arrays[i] for i in order]
+    side = None if side is None else side[order]
+    bitmaps = np.stack([signature(a) for a in arrays])
+    held = np.array([len(a) for a in arrays])
+    out = np.zeros(len(reps), np.int64)
+    for x in range(len(reps) - 1):
+        near = np.arange(x + 1, int(np.searchsorted(sizes, sizes[x] * 100 // percent, "right")))
+        if side is not None:
+            near = near[side[near] != side[x]]
+        apart = np.bitwise_count(bitmaps[near] ^ bitmaps[x]).sum(1, dtype=np.int64)
+        bound = (held[x] + held[near] - apart) // 2
+        for y in near[(100 + percent) * bound >= percent * (sizes[x] + sizes[near])]:
+            common = len(np.intersect1d(arrays[x], arrays[y], assume_unique=True))
+            if (100 + percent) * common >= percent * (sizes[x] + sizes[y]):
+                out[x] += copies[y]
+                out[y] += copies[x]
+    return reps, out
+
+
+def _counter(percent: int, sided: bool):
+    def run(table: pa.Table) -> pa.Table:
+        reps, found = count_links(
+            *[np.array(table.column(c).to_pylist(), np.int64) for c in ("rep", "n", "copies")],
+            [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()],
+            np.array(table.column("side").to_pylist()) if sided else None, percent)
+        return pa.table({"rep": pa.array(reps, pa.int64()), "links": pa.array(found, pa.int64())})
+
+    return run
+
+
+def ngram_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
+                percent: int = PERCENT, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """doc_id, n_links, one row per row of `docs`: with how many other rows it links. All pairs in
+    tiles and pairs of tiles are decided, so a tile of m near copies costs m * m / 2 intersections."""
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+    found = finish_phase(prepared_sets(rows, "doc_id", "text", n, percent))
+    near = found.filter(F.col("set_key").isNotNull())
+    # rows of one id can have several sets, so a set goes by a number of its own
+    sets = finish_phase(near.groupBy("set_key").agg(
+        F.count("*").alias("copies"), F.first("n_shingles").alias("n"),
+        F.first("shingles", ignorenulls=True).alias("shingles"), F.first("prefix", ignorenulls=True).alias("prefix"),
+    ).withColumn("rep", F.monotonically_increasing_id()))
+    touch = sets.select("rep", "prefix").mapInArrow(_prefix_rows, "rep long, shingle long")
+    hubs = touch.groupBy("shingle").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).filter("c > 1")
+    hung = cut_lineage(touch.join(hubs, "shingle").select(F.col("rep").alias("node"), F.col("hub").alias("key")).distinct())
+    groups = components(hung).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    dealt = finish_phase(tiles(sets.select("rep", "n", F.octet_length("shingles").alias("bytes")).join(
+        groups, "rep"), tile_bytes, percent))
+    held = sets.select("rep", "n", "copies", "shingles")
+    within = held.join(dealt, "rep").groupBy("grp", "band", "part").applyInArrow(
+        _counter(percent, False), "rep long, links long")
+    cells = dealt.filter("split").select("grp", "band", "part").distinct()
+    left = cells.select(*[F.col(c).alias(f"l_{c}") for c in cells.columns])
+    pairs = left.join(cells, F.col("l_grp") == F.col("grp")).filter(
+        (F.col("l_band") == F.col("band")) & (F.col("l_part") < F.col("part")) | (F.col("l_band") + 1 == F.col("band")))
+    pairs = pairs.select("grp", F.struct("grp", "l_band", "l_part", "band", "part").alias("pair"), F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("l_band").alias("band"), F.col("l_part").alias("part")),
+        F.struct(F.lit(1).alias("side"), "band", "part"))).alias("t")).select("pair", "grp", "t.*")
+    across = dealt.join(pairs, ["grp", "band", "part"]).select("pair", "side", "rep").join(held, "rep").groupBy(
+        "pair").applyInArrow(_counter(percent, True), "rep long, links long")
+    links = within.unionByName(across).groupBy("rep").agg(F.sum("links").alias("links"))
+    of_set = sets.select("set_key", "rep", "copies").join(links, "rep", "left").select(
+        "set_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return found.select("doc_id", "set_key").join(of_set, "set_key", "left").select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def ngram_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of `docs` that stay: one of each class, that with the smallest id."""
     stay = ngram_classes(docs, doc_id, text, **how).filter("doc_id <=> component_id").select(

@@ -135,6 +135,19 @@ def test_ngram_classes(make, tile_bytes):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("tile_bytes", [3000, 8 << 20])
+def test_ngram_links(make, tile_bytes):
+    rows = [r for r in corpus(5) if r[0] != 122]
+    got = ngram_join.ngram_links(make(rows), tile_bytes=tile_bytes).collect()
+    sets = []
+    for _, t in rows:
+        w = [re.sub("[A-Z]", lambda c: c[0].lower(), x) for x in SPACED.findall(t or "")]
+        sets.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    want = [(i, sum(1 for b, y in enumerate(sets) if a != b and x and 100 * len(x & y) >= 75 * len(x | y)))
+            for a, ((i, _), x) in enumerate(zip(rows, sets))]
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted(want)
+
+
 def test_ngram_tiles_are_split_and_signatures_bound(spark, make):
     sets = spark.createDataFrame([(1, r, 100 + r, 800) for r in range(40)], "grp long, rep long, n long, bytes long")
     tiled = ngram_join.tiles(sets, 4000, 75)
