@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchors, chat_format, content_sort, mixing, ngram_join, ppm, suffix_arrays, token_counts, url_model, warc
+from . import (anchors, chat_format, chat_repair, content_sort, mixing, ngram_join, ppm, secrets,
+               spelling_variants, suffix_arrays, token_counts, url_model, warc)
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,99 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_url_filters")
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_model.judge(read(spark, sf_dir, "pages"))
+
+
+def _crc32_sql(text: str) -> str:
+    """The CRC-32 of a short text's UTF-8 bytes, bit by bit."""
+    step = "list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b))"
+    data = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({data}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+@query("op11_spelling_variants", f"""
+    WITH RECURSIVE run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+      seen AS (SELECT id, w, count(*) AS c, id || ':' || w AS k FROM run WHERE length(w) >= 6 GROUP BY ALL),
+      hashed AS (SELECT w, c, {_crc32_sql("k")} AS h FROM seen),
+      v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 199 = 0
+          THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM hashed)
+        WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+      cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+      near AS (SELECT a.word, b.word AS x, b.n AS m FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+        UNION SELECT a.word, v.word, v.n FROM cut a JOIN v ON v.word = a.rest
+        UNION SELECT v.word, a.word, a.n FROM cut a JOIN v ON v.word = a.rest),
+      best AS (SELECT word, count(*) AS n_near, first(x ORDER BY m DESC, x) AS x, max(m) AS m FROM near GROUP BY word),
+      f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN x END AS form,
+        CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+      up(word, top, depth) AS (SELECT word, word, 0 FROM f UNION ALL
+        SELECT up.word, f.form, depth + 1 FROM up JOIN f ON f.word = up.top WHERE f.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n
+    FROM f JOIN (SELECT word, arg_max(top, depth) AS root FROM up GROUP BY word) USING (word)""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+@query("op12_secret_scans")
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+_SPACE = r"\x20\x09-\x0D"
+_OP13_DONE = "{'c': 0::BIGINT, 'a': '', 't': ''}"
+_OP13_NONE = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+
+
+def _op13_edit(cost: str, letter: str, line: str, rest: str) -> str:
+    return f"{{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, 't': {line} || {rest}.t}}"
+
+
+def _op13_state(state: str, after: str, role: str, keeps: str) -> str:
+    """The cheapest way on from a state, given the ways on (g) after row r."""
+    line = lambda name: f"chr(10) || {name} || ':' || r.text"
+    ways = [_op13_edit("2", "D", "''", f"g.{state}"),
+            f"CASE WHEN r.f IN ('b', 'd') THEN {_OP13_NONE} ELSE "
+            + _op13_edit("(1 + r.p)", "R", line(f"'{role}'"), f"g.{after}") + " END"]
+    ways += [f"CASE WHEN r.i = '{i}' AND r.f NOT IN ('b', 'd') THEN "
+             + _op13_edit("r.p", "K", line("r.role"), f"g.{to}") + f" ELSE {_OP13_NONE} END"
+             for i, to in (k.split(">") for k in keeps.split())]
+    return f"least({', '.join(ways)})"
+
+
+def _op13_insert(state: str, after: str, role: str) -> str:
+    return f"least(n.{state}, " + _op13_edit("5", "I", f"chr(10) || '{role}:'", f"n.{after}") + ")"
+
+
+_OP13_STEP = ("{'st': %s, 's': %s, 'u': %s, 'a': %s}" % (
+    _op13_state("st", "u", "user", "s>s u>u"), _op13_state("s", "u", "user", "u>u"),
+    _op13_state("u", "a", "assistant", "a>a"), _op13_state("a", "u", "user", "u>u")))
+_OP13_INSERTS = ("list_reduce(range(3), lambda n, k: {'st': %s, 's': %s, 'u': %s, 'a': %s}, %%s)" % (
+    _op13_insert("st", "u", "user"), _op13_insert("s", "u", "user"),
+    _op13_insert("u", "a", "assistant"), _op13_insert("a", "u", "user")))
+_OP13_END = f"{{'st': {_OP13_DONE}, 's': {_OP13_NONE}, 'u': {_OP13_NONE}, 'a': {_OP13_DONE}}}"
+
+
+@query("op13_conversation_repair", f"""
+    WITH told AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+      hashed AS (SELECT *, {_crc32_sql("k")} % 20 AS h FROM told),
+      damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+          CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM hashed, (SELECT unnest([1, 2]) AS copy) WHERE h <> 0 AND (copy = 1 OR h = 3)),
+      judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{_SPACE}]') THEN 'b'
+          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'd'
+          WHEN NOT regexp_matches(text, '[.!?][{_SPACE}]*$') THEN 't' ELSE '' END AS f,
+          lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM damaged),
+      chat AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+          count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+          count(*) FILTER (before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+          list({{'i': left(role, 1), 'role': role, 'text': text, 'f': f, 'p': CASE WHEN f = 't' THEN 5 ELSE 0 END}}
+            ORDER BY turn DESC NULLS LAST, role DESC, text DESC, f = 'd' DESC) AS rows FROM judged GROUP BY conv_id),
+      done AS (SELECT *, list_reduce(rows, lambda g, r: {_OP13_INSERTS % _OP13_STEP}, {_OP13_INSERTS % _OP13_END}).st AS best
+        FROM chat)
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+      coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done d ON c.conv_id IS NOT DISTINCT FROM d.conv_id""")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_report(read(spark, sf_dir, "conversations"))
