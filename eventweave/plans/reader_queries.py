@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, read, reading, refresh, revisions
+from ..policy import MatchPolicy
 from ..session import scratch_folder
 from ..sources import feeds, tables as t
 from ..streaming import jobs
@@ -445,13 +446,30 @@ def story_deleted(spark, d):
     return kept.select("seq", "story_id", "original_story_id")
 
 
+_DWELL = 1_800_000
+_RUN_SQL = f"""
+    WITH rep AS (SELECT user_id, user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, epoch_us(ts) // 1000 AS t_ms, event_id AS seq,
+        event_type <> 'error' AS gate, k % 2 AS story_id, k % 10 AS position, value - floor(value) AS share
+      FROM ev WHERE event_type IN ('view', 'click', 'error')),
+    num AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY t_ms, seq) AS n FROM rep),
+    seen AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, session_id, story_id ORDER BY n) AS island
+      FROM num WHERE gate AND share >= 0.5),
+    isl AS (SELECT user_id, session_id, story_id, island, min(t_ms) AS since, max(n) AS last_n FROM seen GROUP BY ALL),
+    pos AS (SELECT user_id, session_id, story_id, island, arg_max(position, n) AS position
+      FROM seen JOIN isl USING (user_id, session_id, story_id, island)
+      WHERE t_ms < since + {_DWELL} OR t_ms = since GROUP BY ALL),
+    islands AS (SELECT isl.*, pos.position, num.t_ms AS end_ms FROM isl JOIN pos USING (user_id, session_id, story_id, island)
+      LEFT JOIN num ON num.user_id = isl.user_id AND num.session_id = isl.session_id AND num.n = isl.last_n + 1)
+"""
+
+
 # --- streams -----------------------------------------------------------------------
 
 
-def _run(stream, step, folder):
-    """Everything available through the stream, then stop."""
-    query = jobs.start(stream, step, f"{folder}/progress")
-    query.awaitTermination()
+def _run(rows, folder):
+    """Everything available through the stream into a table, then stop."""
+    jobs.start(rows, f"{folder}/rows", f"{folder}/progress").awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
 def _stream(spark, d, name):
@@ -465,31 +483,63 @@ def _stream(spark, d, name):
     FROM documents WHERE doc_id % 20 NOT IN (3, 7, 9)""")
 def stream_revisions(spark, d):
     """All documents streamed as feeds into the revision table."""
-    folder = scratch_folder(spark)
     docs = rss_text(_stream(spark, d, "documents")).withColumn("document_id", F.col("endpoint_id")).withColumn(
         "fetched_at", F.lit(NOW).cast("timestamp"))
-    _run(docs, jobs.revision_step(f"{folder}/raw", f"{folder}/rejects"), folder)
-    return spark.read.schema(jobs.REVISION).parquet(f"{folder}/raw").select("endpoint_id", "key_kind", "external_key")
+    return _run(jobs.new_revisions(docs), scratch_folder(spark)).select("endpoint_id", "key_kind", "external_key")
 
 
 @query("stream_impressions", _SIMPLE_SQL + """
     SELECT user_id, code, count(*) AS n FROM res GROUP BY user_id, code""")
 def stream_impressions(spark, d):
     """The event table streamed through acceptance (all of it is within the time bounds)."""
-    folder = scratch_folder(spark)
     e = t.impressions_of(t.event_columns(_stream(spark, d, "events")))
     key = F.concat_ws("/", F.concat(F.lit("k"), "session_id"), F.col("story_id").cast("string"),
                       (F.col("seq") % 2).cast("string"))
     # one body per event key: the fields a copy could differ in are made equal
     rows = e.withColumn("event_key", key).withColumn("position", F.lit(0).cast("long")).withColumn(
         "occurred_at", F.date_trunc("day", "occurred_at"))
-    _run(rows, jobs.impression_step(f"{folder}/accepted", f"{folder}/outcomes",
-                                    lambda: t.known_stories(spark, d), max_age_seconds=10 * 86_400), folder)
-    out = spark.read.schema(jobs.OUTCOME).parquet(f"{folder}/outcomes")
+    out = _run(jobs.judged_impressions(rows, t.known_stories(spark, d), max_age_seconds=10 * 86_400),
+               scratch_folder(spark))
     code = F.when(F.col("outcome") == "duplicate", "duplicate").otherwise(F.col("code"))
     return out.groupBy("user_id", code.alias("code")).agg(F.count("*").alias("n"))
 
 
+@query("stream_exposures", _RUN_SQL + f"""
+    SELECT user_id, session_id, story_id, arg_min(position, since) AS position, min(since) + {_DWELL} AS occurred_ms
+    FROM islands WHERE coalesce(end_ms, (SELECT max(t_ms) FROM rep)) - since >= {_DWELL}
+    GROUP BY user_id, session_id, story_id""")
+def stream_exposures(spark, d):
+    """Visibility reports streamed through the session state; the clock is that of the reports."""
+    reports = t.visibility_reports_of(t.event_columns(_stream(spark, d, "events")))
+    found = jobs.exposures(reports, dwell_ms=_DWELL, clock=F.timestamp_millis("t_ms"), late="0 seconds",
+                           idle_ms=400 * 86_400_000)
+    return _run(found, scratch_folder(spark))
+
+
+_SAME_TEXT = MatchPolicy(max_distance=1e-9, max_time_gap_hours=1e6, secondary_max_distance=2e-9,
+                         secondary_max_member_distance=1e-9)
+
+
+@query("stream_match", """
+    SELECT story_id, count(*) AS edges FROM (SELECT min(article_id) OVER (
+      PARTITION BY lower(split_part(language, '-', 1)), list_sort(regexp_extract_all(lower(body_text), '[\\p{L}\\p{N}_]+')))
+      AS story_id FROM article) GROUP BY story_id""")
+def stream_match(spark, d):
+    """All articles streamed through matching, the later half after the earlier one, under a bound so tight that a story
+    is an article and the others with its words in its language."""
+    folder = scratch_folder(spark)
+    rows = t.articles(spark, d).select(
+        "article_id", F.lit("").alias("title"), F.lit("").alias("description"), "body_text", "language",
+        F.col("first_seen_at").alias("event_time"))
+    middle = rows.agg((F.min("article_id") + F.max("article_id")) / 2).first()[0]
+    for half in (F.col("article_id") <= middle, F.col("article_id") > middle):
+        rows.filter(half).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(jobs.TEXT).parquet(f"{folder}/in")
+        jobs.match_stream(stream, f"{folder}/state", f"{folder}/progress", match_policy=_SAME_TEXT,
+                          max_distance=1e-6, window_hours=24 * 365).awaitTermination()
+    return spark.read.schema(jobs.EDGE).parquet(f"{folder}/state/edges").groupBy("story_id").agg(F.count("*").alias("edges"))
+
+
 # --- bookmarks ---------------------------------------------------------------------
 
 
@@ -526,23 +576,6 @@ def viewer_flag(spark, d):
 
 # --- exposure ----------------------------------------------------------------------
 
-_DWELL = 1_800_000
-_RUN_SQL = f"""
-    WITH rep AS (SELECT user_id, user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, epoch_us(ts) // 1000 AS t_ms, event_id AS seq,
-        event_type <> 'error' AS gate, k % 2 AS story_id, k % 10 AS position, value - floor(value) AS share
-      FROM ev WHERE event_type IN ('view', 'click', 'error')),
-    num AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY t_ms, seq) AS n FROM rep),
-    seen AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, session_id, story_id ORDER BY n) AS island
-      FROM num WHERE gate AND share >= 0.5),
-    isl AS (SELECT user_id, session_id, story_id, island, min(t_ms) AS since, max(n) AS last_n FROM seen GROUP BY ALL),
-    pos AS (SELECT user_id, session_id, story_id, island, arg_max(position, n) AS position
-      FROM seen JOIN isl USING (user_id, session_id, story_id, island)
-      WHERE t_ms < since + {_DWELL} OR t_ms = since GROUP BY ALL),
-    islands AS (SELECT isl.*, pos.position, num.t_ms AS end_ms FROM isl JOIN pos USING (user_id, session_id, story_id, island)
-      LEFT JOIN num ON num.user_id = isl.user_id AND num.session_id = isl.session_id AND num.n = isl.last_n + 1)
-"""
-
-
 @query("dwell_islands", _RUN_SQL + """
     SELECT user_id, session_id, story_id, since AS since_ms, end_ms, position FROM islands""")
 def dwell_islands(spark, d):

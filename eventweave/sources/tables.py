@@ -286,8 +286,12 @@ def bookmark_commands(spark, sf_dir) -> DataFrame:
 
 
 def visibility_reports(spark, sf_dir) -> DataFrame:
+    return visibility_reports_of(events(spark, sf_dir))
+
+
+def visibility_reports_of(log: DataFrame) -> DataFrame:
     """One card per report; 'error' closes the gate."""
-    e = events(spark, sf_dir).filter(F.col("event_type").isin("view", "click", "error"))
+    e = log.filter(F.col("event_type").isin("view", "click", "error"))
     return e.select(
         "user_id",
         F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
