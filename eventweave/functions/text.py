@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -155,47 +154,150 @@ def first_chars(value: Column | str, n: int | None) -> Column:
 
 _HIDDEN = frozenset(words.HTML_SUPPRESSED)
 _BLOCKS = frozenset(words.HTML_BLOCKS)
-_RAW = ("script", "style")  # their content is no markup
-# One comment, declaration or tag; quoted values may hold '>'.
-_TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?:"[^"]*"|'[^']*'|[^>"'])*>""",
-    re.S | re.I)
-
-
-@lru_cache(64)
-def _same_tag(name: str) -> re.Pattern:
-    rest = r"""(?:"[^"]*"|'[^']*'|[^>"'])*"""
-    return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]){rest}>", re.I)
-
-
-def _after_subtree(html: str, name: str, at: int) -> int:
-    """Where the element `name`, opened before `at`, ends: opens and closes of its name are counted."""
-    depth = 1
-    for tag in _same_tag(name).finditer(html, at):
-        if tag[1]:
-            depth -= 1
-        elif name not in _RAW and not tag[0].endswith("/>"):
-            depth += 1
-        if not depth:
-            return tag.end()
-    return len(html)
+# Their content is no markup; it ends at the closing tag of the name.
+_RAW = {name: re.compile(rf"</\s*{name}\s*>", re.I) for name in ("script", "style")}
+# A start tag. Quotes delimit a value right after its "=" only, there they may hold ">"; elsewhere they are
+# ordinary characters. Every part is possessive, so a tag is read once, whether it ends or not.
+_START_TAG = re.compile(r"""
+    <(?P<name>[a-z][^\t\n\r\f\ />\x00]*+)
+    (?: (?:\s|/(?!>))++
+      | (?<=["'\s/])[^\s/>][^\s/=>]*+ (?:\s*+ (?:
+          =++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^>\s]*+)
+        | =++(?=\s) | ==++[^>\s]*+ ))?+  # a quote that is never closed
+      )*+
+    (?P<void>/?+)>""", re.X | re.I)
+_END_NAME = re.compile(r"\s*([a-z][-.a-z0-9:_]*)\s*\Z|([a-z][^\t\n\r\f />\x00]*)", re.I)
+_SECTION = re.compile(r"(temp|cdata|ignore|include|rcdata)|(if|else|endif)", re.I)
+
+
+class _Hidden:
+    """The open elements inside a hidden one, counted by name; closing one closes those inside it."""
+
+    def __init__(self):
+        self.order, self.places = [], {}
+
+    def __bool__(self) -> bool:
+        return bool(self.order)
+
+    def opened(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.order))
+        self.order.append(name)
+
+    def closed(self, name: str) -> None:
+        if self.places.get(name):
+            keep = self.places[name][-1]
+            while len(self.order) > keep:
+                self.places[self.order.pop()].pop()
+
+
+class _Reader:
+    """One pass over markup. `at` only moves on, and no search that failed is made again."""
+
+    def __init__(self, html: str):
+        self.html, self.at, self.shown, self.hidden = html, 0, [], _Hidden()
+        self.last_end = html.rfind(">")  # behind it nothing can be a tag
+        self.missing: set[str] = set()  # closing signs that do not come any more
+
+    def text(self) -> str:
+        while self.at < len(self.html):
+            sign = self.html.find("<", self.at)
+            if not 0 <= sign < self.last_end:
+                self.say(len(self.html))
+                break
+            self.say(sign)
+            if not self.markup():
+                self.say(self.html.find(">", sign + 1) + 1)  # broken markup is text
+        return "".join(self.shown)
+
+    def say(self, end: int) -> None:
+        if not self.hidden:
+            self.shown.append(unescape(self.html[self.at:end]))
+        self.at = end
+
+    def skip_to(self, sign: str, start: int) -> bool:
+        """Go on behind the next `sign`, if there is one."""
+        found = -1 if sign in self.missing else self.html.find(sign, start)
+        if found < 0:
+            self.missing.add(sign)
+            return False
+        self.at = found + len(sign)
+        return True
+
+    def skip_match(self, sign: re.Pattern, start: int) -> bool:
+        found = None if sign.pattern in self.missing else sign.search(self.html, start)
+        if found is None:
+            self.missing.add(sign.pattern)
+            return False
+        self.at = found.end()
+        return True
+
+    def markup(self) -> bool:
+        """Read what starts with the "<" at `at`; False if it is broken."""
+        html, at = self.html, self.at
+        kind = html[at + 1:at + 2]
+        if kind.isascii() and kind.isalpha():
+            return self.start_tag()
+        if kind == "/":
+            return self.end_tag()
+        if kind == "?":
+            return self.skip_to(">", at + 2)
+        if html.startswith("<!--", at):
+            return self.skip_match(_COMMENT_END, at + 4)
+        if html.startswith("<![", at):
+            section = _SECTION.match(html, at + 3)
+            if section:
+                return self.skip_match(_SECTION_END if section[1] else _CONDITION_END, at + 3)
+        if kind == "!":
+            return self.skip_to(">", at + 2)
+        self.say(at + 1)
+        return True
+
+    def start_tag(self) -> bool:
+        tag = _START_TAG.match(self.html, self.at)
+        if tag is None:
+            return False
+        self.at, name = tag.end(), tag["name"].lower()
+        if tag["void"]:
+            self.line_break(name)
+        else:
+            if self.hidden or name in _HIDDEN:
+                self.hidden.opened(name)
+            else:
+                self.line_break(name)
+            end = _RAW.get(name)
+            if end:
+                rest = end.search(self.html, self.at)
+                if not self.hidden:
+                    self.shown.append(self.html[self.at:rest.start() if rest else self.at])
+                self.at = rest.start() if rest else len(self.html)
+        return True
+
+    def line_break(self, name: str) -> None:
+        if not self.hidden and (name in _BLOCKS or name == "br"):
+            self.shown.append("\n")
+
+    def end_tag(self) -> bool:
+        start = self.at
+        if not self.skip_to(">", start + 2):
+            return False
+        found = _END_NAME.match(self.html[start + 2:self.at - 1])
+        if found:
+            name = (found[1] or found[2]).lower()
+            if self.hidden:
+                self.hidden.closed(name)
+            elif name in _BLOCKS:
+                self.shown.append("\n")
+        return True
+
+
+_COMMENT_END = re.compile(r"--\s*>")
+_SECTION_END = re.compile(r"]\s*]\s*>")
+_CONDITION_END = re.compile(r"]\s*>")
 
 
 def readable_text(html: str | None) -> str:
-    """Visible text: tags split the markup, hidden elements are leapt over, block tags break lines."""
-    html, at, shown = html or "", 0, []
-    while at < len(html):
-        token = _TOKEN.search(html, at)
-        if token is None:
-            shown.append(unescape(html[at:]))
-            break
-        shown.append(unescape(html[at:token.start()]))
-        at, name = token.end(), (token["name"] or "").lower()
-        if name in _BLOCKS or (name == "br" and not token["end"]):
-            shown.append("\n")
-        elif name in _HIDDEN and not token["end"] and not token[0].endswith("/>"):
-            at = _after_subtree(html, name, at)
-    tidy = (" ".join(line.split()) for line in "".join(shown).splitlines())
+    """Visible text of markup: hidden elements are left out, block tags break lines. Linear in its length."""
+    tidy = (" ".join(line.split()) for line in _Reader(html or "").text().splitlines())
     return "\n".join(filter(None, tidy))
 
 

@@ -60,9 +60,26 @@ def _docs(spark, d):
     return t.read(spark, d, "documents")
 
 
-@query("html_text")
+# markup that patterns would read wrongly: stray quotes, quoted ">", elements closed by an outer one
+_ODD = """<p title=it's>one</p><a title=5">two</a><svg><g><svg></g>no<p>no</p></svg><b x="a>b" y='<p>'>three</b><p>"""
+_ODD_TEXT = "one\ntwothree"
+
+
+def visible(html: str) -> str:
+    """The visible lines of the given pages' markup, whose tags nest and quote nothing."""
+    bare = f"regexp_replace({html}, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g')"
+    bare = f"regexp_replace({bare}, '</?({'|'.join(sorted(w.HTML_BLOCKS))}|br)(\\s[^>]*)?/?>', chr(10), 'g')"
+    bare = f"regexp_replace({bare}, '</?[a-zA-Z][^>]*>', '', 'g')"
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        bare = f"regexp_replace({bare}, '&{name};?', '{sign}', 'g')"
+    return (f"array_to_string(list_filter(list_transform(string_split({bare}, chr(10)), "
+            f"lambda x: {collapse('x')}), lambda x: x <> ''), chr(10))")
+
+
+@query("html_text", f"""
+    SELECT page_id, '{_ODD_TEXT}' || chr(10) || {visible("coalesce(html, '')")} AS text FROM pages""")
 def html_text(spark, d):
-    return _pages(spark, d).select("page_id", tx.html_text("html").alias("text"))
+    return _pages(spark, d).select("page_id", tx.html_text(F.concat(F.lit(_ODD), F.coalesce("html", F.lit("")))).alias("text"))
 
 
 @query("collapse_text", f"SELECT doc_id, {collapse('text')} AS text FROM documents")
@@ -154,7 +171,19 @@ def article_language(spark, d):
         "doc_id", tx.article_language("l", "default_language").alias("language"))
 
 
-@query("normalize_articles")
+@query("normalize_articles", f"""
+    WITH raw_url AS (SELECT item_id, CASE WHEN item_id % 10 = 5 THEN 'http://bad host/' ELSE url END AS url FROM page_item),
+    {CANONICAL},
+    plain AS (SELECT item_id, language, CASE WHEN item_id % 10 = 3 THEN '' ELSE {collapse('title')} END AS title,
+        CASE WHEN item_id % 1000 = 7 THEN concat_ws(chr(10), nullif({visible('content_html')}, ''),
+          rtrim(repeat('word ', {policy.MAX_BODY_CHARS // 5 + 1}))) ELSE {visible('content_html')} END AS body FROM page_item),
+    judged AS (SELECT p.*, c.curl, CASE WHEN title = '' AND body = '' THEN 'EMPTY_ENTRY' WHEN title = '' THEN 'MISSING_TITLE'
+        WHEN length(body) > {policy.MAX_BODY_CHARS} THEN 'BODY_TOO_LARGE' WHEN c.curl IS NULL OR contains(c.url, ' ') THEN 'MISSING_CANONICAL_URL'
+        ELSE '' END AS reject_reason FROM plain p JOIN canon c USING (item_id))
+    SELECT item_id, CASE WHEN ok THEN curl END AS canonical_url, CASE WHEN ok THEN substr(title, 1, 512) END AS title,
+      CASE WHEN ok THEN length(body) END AS body_chars, CASE WHEN ok THEN lower(language) END AS language,
+      CASE WHEN ok THEN sha256({fold('substr(title, 1, 512)')} || chr(10) || {collapse('body')}) END AS content_fingerprint,
+      reject_reason FROM (SELECT *, reject_reason = '' AS ok FROM judged)""")
 def normalize_articles(spark, d):
     """Pages as publications; titles that look empty, broken URLs and bodies made longer than the
     rule's bound are rejected."""
@@ -173,26 +202,30 @@ def normalize_articles(spark, d):
 
 
 @query("normalize_documents", f"""
-    SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'MISSING_TITLE' WHEN n > 9000 THEN 'BODY_TOO_LARGE'
+    SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'MISSING_TITLE' WHEN n > {policy.MAX_BODY_CHARS} THEN 'BODY_TOO_LARGE'
         WHEN doc_id % 10 = 5 THEN 'MISSING_CANONICAL_URL' ELSE '' END AS reject_reason,
-      CASE WHEN doc_id % 10 IN (3, 5) OR n > 9000 THEN NULL ELSE n END AS body_chars,
-      CASE WHEN doc_id % 10 IN (3, 5) OR n > 9000 THEN NULL ELSE
+      CASE WHEN doc_id % 10 IN (3, 5) OR n > {policy.MAX_BODY_CHARS} THEN NULL ELSE n END AS body_chars,
+      CASE WHEN doc_id % 10 IN (3, 5) OR n > {policy.MAX_BODY_CHARS} THEN NULL ELSE
         sha256({fold('substr(tt, 1, 512)')} || chr(10) || {collapse('b')}) END AS content_fingerprint
     FROM (SELECT doc_id, {collapse("split_part(text, chr(10), 1)")} AS tt, b, length(b) AS n FROM (
       SELECT *, array_to_string(list_filter(list_transform(string_split(text, chr(10)),
         lambda x: {collapse('x')}), lambda x: x <> ''), chr(10)) AS b
-      FROM (SELECT doc_id, translate(text, '<&', '()') AS text FROM documents)))""")
+      FROM (SELECT doc_id, translate(text, '<&', '()') || CASE WHEN doc_id % 1000 = 8
+          THEN chr(10) || rtrim(repeat('word ', {policy.MAX_BODY_CHARS // 5 + 1})) ELSE '' END AS text FROM documents)))""")
 def normalize_documents(spark, d):
-    """Documents as plain text publications: markup signs are spelled otherwise, as SQL reads none."""
+    """Documents as plain text publications: markup signs are spelled otherwise, as SQL reads none. Some bodies are made
+    longer than the rule's bound."""
     n = F.col("doc_id") % 10
-    docs = _docs(spark, d).withColumn("text", F.translate("text", "<&", "()"))
+    longer = F.concat(F.lit("\nword"), F.repeat(F.lit(" word"), policy.MAX_BODY_CHARS // 5))
+    docs = _docs(spark, d).withColumn("text", F.concat(
+        F.translate("text", "<&", "()"), F.when(F.col("doc_id") % 1000 == 8, longer).otherwise("")))
     items = docs.select(
         "doc_id", F.lit("").alias("external_id"), F.lit("").alias("summary_html"),
         F.when(n == 3, " ").otherwise(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
         F.col("text").alias("content_html"),
         F.when(n == 5, "nowhere").otherwise(F.concat(F.lit("https://e.example/"), F.col("doc_id").cast("string")))
         .alias("url"), F.col("lang").alias("language"))
-    good, bad = dedup.normalize_articles(items, max_body=9_000)
+    good, bad = dedup.normalize_articles(items)
     return good.select(
         "doc_id", F.lit("").alias("reject_reason"), F.length("body_text").cast("long").alias("body_chars"),
         "content_fingerprint").unionByName(bad, allowMissingColumns=True)

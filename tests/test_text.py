@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import random
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
-from eventweave.functions import names, sentences, text, urls
+from eventweave.functions import names, sentences, text, urls, words
 from eventweave.operators import audit, embed, revisions
 from eventweave.policy import DEFAULT_POLICY, MatchPolicy, model_key, pipeline_key
 
@@ -32,6 +35,65 @@ def test_html_text(spark, html, want):
     assert one(spark, html, text.html_text("v")).c0 == want
 
 
+BROKEN = [
+    ('<p>one</p><a title=5">two</a>three', "one\ntwothree"), ("<p title=it's>one</p>", "one"),
+    ('<a title="x>y">z</a>', "z"), ("<a b='1'c=\"2>\"/>z", "z"), ("a < b <3", "a < b <3"), ("x<b", "x<b"), ("<", "<"),
+    ("<svg><g><svg></g>no</svg>yes", "yes"), ("<svg/>yes", "yes"), ("<script>a<b>'</p>'</script >b", "b"),
+    ("<style>never closed <p>x", ""), ("a<!-- > -->b<!-- open > c", "ab<!-- open > c"), ("a<![CDATA[x > y]]>b", "ab"),
+    ("a<?php > ?>b", "a ?>b"), ("</>a</ p>b</p x='>'>c", "a\nb\n'>c"), ("&ampx &notit; &#65;&#x42;", "&x ¬it; AB"),
+]
+
+
+@pytest.mark.parametrize("html,want", BROKEN)
+def test_broken_markup(html, want):
+    assert text.readable_text(html) == want
+
+
+def by_standard_parser(html):
+    """The text from the events of Python's own parser."""
+    seen = []
+    parser = HTMLParser()
+    for kind in ("starttag", "startendtag", "endtag", "data"):
+        setattr(parser, f"handle_{kind}", lambda value, *_, kind=kind: seen.append((kind, value)))
+    parser.feed(html)
+    parser.close()
+    out, inside = "", []
+    for kind, value in seen:
+        if kind == "data":
+            out += "" if inside else value
+        elif inside or (kind == "starttag" and value in words.HTML_SUPPRESSED):
+            if kind == "starttag":
+                inside.append(value)
+            elif kind == "endtag" and value in inside:
+                inside = inside[:max(i for i, v in enumerate(inside) if v == value)]
+        elif value in words.HTML_BLOCKS or (value == "br" and kind != "endtag"):
+            out += "\n"
+    return "\n".join(x for x in (" ".join(line.split()) for line in out.splitlines()) if x)
+
+
+def test_markup_like_the_standard_parser():
+    rng = random.Random(3)
+    bits = ["<", ">", "/", "a", "svg", "</script>", "<script>", "<svg>", "</svg>", "<p>", "</p>", '"', "'", "=", " ", "\n", "<!--", "-->",
+            "<!", "<?", "&amp;", "&lt", "</", "<br/>", '<a title="', "<a b='", "<g>", "</g>", "<b ", "<template/>", "</ p>", "<P>", "]]>",
+            "<!DOCTYPE html>", "<![CDATA[", "text"]
+    for _ in range(30_000):
+        html = "".join(rng.choices(bits, k=rng.randrange(1, 14)))
+        try:
+            want = by_standard_parser(html)
+        except AssertionError:  # that parser gives up
+            continue
+        assert text.readable_text(html) == want, html
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a x="', "<a x='<a y=\"", "<!--", "<![CDATA[", "</", "< ", "<", "<svg>", "<svg></b>", "<a/",
+                                   " \n", "<a ='", "<a x= ", "<!-- >", "<script>", "<p "])
+def test_markup_in_linear_time(piece):
+    for end in ("", ">", '">'):
+        begin = time.process_time()
+        text.readable_text(piece * (200_000 // len(piece)) + end)
+        assert time.process_time() - begin < 1
+
+
 URLS = [
     "http://A.Example.com:80/a%2fb?b=2&a=1&utm_x=3&a=0#f", "https://ex.com", "https://ex.com:444?x",
     "https://ex.com:0443/p", "http://ex.com:0/", "http://ex.com:65536/", "http://ex.com:/", "http://u@ex.com/",
