@@ -64,31 +64,42 @@ def normalize_articles(items: DataFrame, sources: DataFrame | None = None, *,
 _SNAP = ["article_id", "source_id", "canonical_url", "content_fingerprint"]
 
 
+def _lookups(rows: DataFrame, kept: list[Column]) -> DataFrame:
+    """(kind, key, *kept): the external id within its source, the URL and the fingerprint of every row."""
+    keys = F.array(
+        F.struct(F.lit("external_id").alias("kind"), F.when(F.col("external_id") != "", F.concat(
+            "source_id", F.lit("\u0001"), "external_id")).alias("key")),
+        F.struct(F.lit("url").alias("kind"), F.col("canonical_url").alias("key")),
+        F.struct(F.lit("fingerprint").alias("kind"), F.col("content_fingerprint").alias("key")))
+    return rows.select(F.inline(keys), *kept).filter("key IS NOT NULL")
+
+
 def identity_candidates(normalized: DataFrame, articles: DataFrame,
                         min_chars: int = policy.MIN_FINGERPRINT_CHARS) -> DataFrame:
-    """Adds by_external_id, by_canonical_url and by_fingerprint (structs or NULL)."""
-    snap = F.struct(*_SNAP)
-    # only keys of the pending rows are aggregated
-    asked = lambda *keys: normalized.select(*keys).distinct()
-    ext = articles.filter("external_id <> ''").join(
-        asked("source_id", "external_id"), ["source_id", "external_id"], "left_semi").groupBy(
-        "source_id", F.col("external_id").alias("_e")).agg(F.min_by(snap, "article_id").alias("by_external_id"))
-    url = articles.join(asked("canonical_url"), "canonical_url", "left_semi").groupBy("canonical_url").agg(
-        F.min_by(snap, "article_id").alias("by_canonical_url"))
-    finger = articles.join(asked("content_fingerprint"), "content_fingerprint", "left_semi").groupBy(
-        "content_fingerprint").agg(F.min_by(snap, F.struct("created_at", "article_id")).alias("_fp"))
+    """Adds by_external_id, by_canonical_url and by_fingerprint (structs or NULL).
+
+    The pending rows and what the article table has for their keys are written once each; the three
+    lookups are one aggregate over the keys that were asked for."""
+    normalized = cut_lineage(normalized)
+    asked = _lookups(normalized, []).distinct()
+    # of one fingerprint the oldest article, of the other keys the lowest id
+    age = F.when(F.col("kind") == "fingerprint", F.col("created_at"))
+    held = cut_lineage(_lookups(articles, [F.struct(*_SNAP).alias("_snap"), F.col("created_at")]).join(
+        asked, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(
+        F.min_by("_snap", F.struct(age, F.col("_snap.article_id"))).alias("_snap")))
     # rows that look nothing up get keys that match nothing and differ, so they stay spread out
     none = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("canonical_url", "content_fingerprint"), F.lit(65_536)))
+
+    def looked_up(rows: DataFrame, kind: str, key: Column, name: str) -> DataFrame:
+        found = held.filter(F.col("kind") == kind).select(F.col("key").alias("_k"), F.col("_snap").alias(name))
+        return rows.withColumn("_k", F.coalesce(key, none)).join(found, "_k", "left").drop("_k")
+
+    rows = looked_up(normalized, "external_id", F.when(F.col("external_id") != "", F.concat(
+        "source_id", F.lit("\u0001"), "external_id")), "by_external_id")
+    rows = looked_up(rows, "url", F.col("canonical_url"), "by_canonical_url")
     usable = (F.col("by_external_id").isNull() & F.col("by_canonical_url").isNull()
               & (F.col("fingerprint_input_length") >= min_chars))
-    return (
-        normalized.withColumn("_e", F.when(F.col("external_id") != "", F.col("external_id")).otherwise(none))
-        .join(ext, ["source_id", "_e"], "left").drop("_e")
-        .join(url, "canonical_url", "left")
-        .withColumn("_k", F.when(usable, F.col("content_fingerprint")).otherwise(none))
-        .join(finger.withColumnRenamed("content_fingerprint", "_k"), "_k", "left")
-        .withColumnRenamed("_fp", "by_fingerprint").drop("_k")
-    )
+    return looked_up(rows, "fingerprint", F.when(usable, F.col("content_fingerprint")), "by_fingerprint")
 
 
 def _decide(ext: Column, url: Column, fp: Column, min_chars: int) -> tuple[Column, Column]:

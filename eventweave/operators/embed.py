@@ -103,12 +103,6 @@ def hash_embedding(text: Column, dimension: int = policy.HASH_DIMENSION) -> Colu
         F.sqrt(norm2(c)), lambda n: F.transform(c, lambda x: x / n)))
 
 
-def hash_embeddings(texts: DataFrame, key: str, text: str,
-                    dimension: int = policy.HASH_DIMENSION) -> DataFrame:
-    """(key, vector) with the hash embedding."""
-    return texts.select(key, hash_embedding(F.col(text), dimension).alias("vector"))
-
-
 def embed_articles(articles: DataFrame, existing: DataFrame, provider: str = "hash", *,
                    max_chars: int | None = None) -> DataFrame:
     """New article_embedding rows for the articles without one under the provider's model."""
@@ -191,6 +185,6 @@ def withdraw_member(membership: DataFrame, embeddings: DataFrame, story_vectors:
     return kept.select(*rebuilt.columns).unionByName(rebuilt)
 
 
-__all__ = ["embed_articles", "embed_stories", "hash_embedding", "hash_embeddings",
+__all__ = ["embed_articles", "embed_stories", "hash_embedding",
            "provider_udf", "register_provider", "story_vector", "vector_validity",
            "withdraw_member"]

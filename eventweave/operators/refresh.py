@@ -69,10 +69,13 @@ def refresh_select(stories: DataFrame, limit: int) -> DataFrame:
 
 def refresh_stories(stories: DataFrame, membership: DataFrame, articles: DataFrame,
                     embeddings: DataFrame, *, max_articles: int | None = None,
-                    max_chars: int | None = None, now=None) -> dict[str, DataFrame]:
-    """One new generation for the STALE and FAILED stories.
+                    max_chars: int | None = None, now=None, topics: DataFrame | None = None,
+                    entities: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One new generation for the STALE and FAILED stories. `topics` and `entities` take the place of the rules'
+    own output (`enrich.extract_with`); where they break the output rules the story FAILS as a whole.
 
-    Keys: stories (all, updated), story_emb, topics, entities, elements. A story whose
+    Keys: stories (all, updated), story_emb, topics, entities, elements, signatures (those the work started from, for
+    `promote`). A story whose
     signature is unchanged and CURRENT is not touched; one without members is ARCHIVED; one
     whose members lack vectors or an uncontested title becomes FAILED and keeps its old rows.
     """
@@ -92,16 +95,27 @@ def refresh_stories(stories: DataFrame, membership: DataFrame, articles: DataFra
     # one prepared input for topics and entities, written once
     texts = cut_lineage(enrich.member_text(members, articles, max_articles=max_articles, max_chars=max_chars))
     found = cut_lineage(enrich.mentions(texts))
+    # the rules' own output keeps the output rules; a user's is checked
+    given = [cut_lineage(rows) for rows in (topics, entities) if rows is not None]
+    refused = due.filter(F.lit(False))
+    for rows in given:
+        refused = refused.unionByName(enrich.invalid_scores(rows).select("story_id"))
+    refused = refused.distinct().withColumn("_refused", F.lit(True))
+    if topics is None:
+        topics = enrich.topic_scores(texts, found=found).withColumnRenamed("word", "label")
+    else:
+        topics = enrich.valid_scores(given.pop(0))
+    entities = enrich.entity_scores(texts, found=found).drop("key") if entities is None else enrich.valid_scores(given.pop(0))
     elements = synthesis.synthesize(members, articles, max_articles=max_articles, max_chars=max_chars)
     titled = elements.filter("kind = 'TITLE'").select("story_id").distinct().withColumn("_title", F.lit(True))
     whole = vectors.select("story_id").distinct().withColumn("_vector", F.lit(True))
     state = (
         stories.join(due.withColumn("_due", F.lit(True)), "story_id", "left")
         .join(signed, "story_id", "left").join(counted, "story_id", "left")
-        .join(titled, "story_id", "left").join(whole, "story_id", "left")
+        .join(titled, "story_id", "left").join(whole, "story_id", "left").join(refused, "story_id", "left")
     )
     is_due, empty = F.col("_due").isNotNull(), F.col("_sig").isNull()
-    good = is_due & (empty | (F.col("_title").isNotNull() & F.col("_vector").isNotNull()))
+    good = is_due & (empty | (F.col("_title").isNotNull() & F.col("_vector").isNotNull() & F.col("_refused").isNull()))
     empty_sig = F.sha2(F.lit(""), 256)
     new = {
         "status": F.when(good & empty, "ARCHIVED").otherwise(F.col("status")),
@@ -109,6 +123,7 @@ def refresh_stories(stories: DataFrame, membership: DataFrame, articles: DataFra
         "member_signature": F.when(good, F.coalesce("_sig", empty_sig)).otherwise(F.col("member_signature")),
         "refresh_error": F.when(good, "").when(
             is_due & F.col("_vector").isNull(), "story_embedding:MISSING_EMBEDDING").when(
+            is_due & F.col("_refused"), "story_enrichment:INVALID_OUTPUT").when(
             is_due, "story_synthesis:SYNTHESIZER_FAILED").otherwise(F.col("refresh_error")),
         "article_count": F.when(good, F.coalesce("_article_count", F.lit(0))).otherwise(F.col("article_count")),
         "source_count": F.when(good, F.coalesce("_source_count", F.lit(0))).otherwise(F.col("source_count")),
@@ -127,13 +142,33 @@ def refresh_stories(stories: DataFrame, membership: DataFrame, articles: DataFra
     stamp = lambda df: df.join(ready, "story_id")
     return {
         "stories": published, "story_emb": stamp(vectors),
-        "topics": stamp(enrich.merge_topics(
-            enrich.topic_scores(texts, found=found).withColumnRenamed("word", "label"))),
-        "entities": stamp(enrich.merge_entities(enrich.entity_scores(texts, found=found).drop("key"))),
+        "signatures": signed.withColumnRenamed("_sig", "member_signature"),
+        "topics": stamp(enrich.merge_topics(topics)),
+        "entities": stamp(enrich.merge_entities(entities)),
         "elements": stamp(elements),
     }
 
 
+def promote(made: dict[str, DataFrame], before: DataFrame, membership: DataFrame, articles: DataFrame) -> dict[str, DataFrame]:
+    """What of a refresh may be published, given the members as they stand now.
+
+    `made` is the outcome of `refresh_stories` on the stories `before`. A refreshed or failed story whose
+    member signature has moved since is not published: its row stays as it was but STALE without an
+    error, so the next refresh takes it, and its other rows are left out.
+    """
+    due = before.filter(F.col("refresh_state").isin("STALE", "FAILED")).select("story_id")
+    used = made["signatures"].select("story_id", F.col("member_signature").alias("_used"))
+    now = member_signature(membership.join(due, "story_id", "left_semi").select("story_id", "article_id").join(
+        articles.select("article_id", "updated_at"), "article_id")).select("story_id", F.col("member_signature").alias("_now"))
+    moved = cut_lineage(due.join(used, "story_id", "left").join(now, "story_id", "left").filter(
+        ~F.col("_used").eqNullSafe(F.col("_now"))).select("story_id"))
+    out = {name: rows.join(moved, "story_id", "left_anti") for name, rows in made.items() if name != "signatures"}
+    columns = made["stories"].columns
+    held = mark_stale(before, moved).join(moved, "story_id", "left_semi")
+    held = held.select(*[c if c in before.columns else F.lit(None).cast(made["stories"].schema[c].dataType).alias(c) for c in columns])
+    return out | {"stories": out["stories"].unionByName(held)}
+
+
 # --- row-set table changes ---------------------------------------------------------
 
 

@@ -67,11 +67,6 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return running_number(ranged, keys, order, F.col("_part"), name).drop("_part")
 
 
-def first_n(df: DataFrame, keys: list[str], order: list[str], n: int | None, name: str) -> DataFrame:
-    """The first n rows per key with their number; all of them if n is None."""
-    return numbered(df, keys, order, name) if n is None else top_rows(df, keys, order, n, name)
-
-
 def top_rows(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     """The first n rows per key; Spark keeps n per key and task before shuffling."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -6,7 +6,7 @@ never pairs. All members and whole texts are taken unless bounds are given.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -15,7 +15,7 @@ from .. import policy
 from ..functions.sentences import content_words, figures, same_point, sentences
 from ..functions.text import collapse, event_time, first_chars, posexploded
 from ..session import cut_lineage
-from .skew import first_n, top_rows
+from .skew import top_rows
 
 MODEL_KEY = "extractive:lead-sentences@1"
 KIND_ORDER = ["TITLE", "SUMMARY", "CONTEXT"]
@@ -30,22 +30,25 @@ def kind_order(kind="kind"):
 
 def synthesis_input(membership: DataFrame, articles: DataFrame, *,
                     max_articles: int | None = None, max_chars: int | None = None) -> DataFrame:
-    """(story_id, article_id, position, title, text) in publication order."""
+    """(story_id, article_id, at, title, text); `at` (event time, id) is the order of publication. All members and
+    whole texts; with a bound the first members."""
     timed = articles.select("article_id", event_time().alias("event_time"))
-    chosen = first_n(membership.select("story_id", "article_id").join(timed, "article_id"),
-                      ["story_id"], ["event_time", "article_id"], max_articles, "position")
+    chosen = membership.select("story_id", "article_id").join(timed, "article_id")
+    if max_articles is not None:
+        chosen = top_rows(chosen, ["story_id"], ["event_time", "article_id"], max_articles)
     body = F.when(F.col("body_text") != "", F.col("body_text")).otherwise(F.col("description"))
     texts = articles.select("article_id", collapse("title").alias("title"),
                             first_chars(collapse(body), max_chars).alias("text"))
-    return chosen.join(texts, "article_id").select("story_id", "article_id", "position", "title", "text")
+    return chosen.join(texts, "article_id").select(
+        "story_id", "article_id", F.struct("event_time", "article_id").alias("at"), "title", "text")
 
 
 def claims(inputs: DataFrame) -> DataFrame:
     """Titles (ord -1) and sentences with their figures and content words."""
-    lines = posexploded(inputs, ["story_id", "article_id", "position"],
+    lines = posexploded(inputs, ["story_id", "article_id", "at"],
                         F.concat(F.array("title"), sentences(F.col("text"))), "p", "line")
     return lines.select(
-        "story_id", "article_id", "position", (F.col("p") - 1).alias("ord"), "line",
+        "story_id", "article_id", "at", (F.col("p") - 1).alias("ord"), "line",
         figures(F.col("line")).alias("figures"), content_words(F.col("line")).alias("words"))
 
 
@@ -82,20 +85,20 @@ def lead_sentences(all_claims: DataFrame, contested: DataFrame, *,
                    max_summary: int = policy.MAX_SUMMARY,
                    max_context: int = policy.MAX_CONTEXT) -> DataFrame:
     """(story_id, kind, position, text): title, each member's lead, then other sentences."""
-    usable = all_claims.select("story_id", "article_id", "position", "ord", "line").join(
+    usable = all_claims.select("story_id", "article_id", "at", "ord", "line").join(
         contested, ["story_id", "article_id", "ord"], "left_anti")
-    order = F.struct("position", "ord")
+    order = F.struct("at", "ord")
     title = usable.filter("ord = -1 AND line <> ''").groupBy("story_id").agg(
         F.min_by("line", order).alias("text")).select(
         "story_id", F.lit("TITLE").alias("kind"), F.lit(0).alias("position"), "text")
     body = usable.filter("ord >= 0")
     first = body.groupBy("story_id", "article_id").agg(
-        F.min_by(F.struct("position", "ord", "line"), order).alias("f")).select("story_id", "f.*")
-    leads = top_rows(first.groupBy("story_id", "line").agg(F.min(order).alias("at")),
-                     ["story_id"], ["at"], max_summary)
-    others = body.groupBy("story_id", "line").agg(F.min(order).alias("at")).join(
+        F.min_by(F.struct("at", "ord", "line"), order).alias("f")).select("story_id", "f.*")
+    leads = top_rows(first.groupBy("story_id", "line").agg(F.min(order).alias("_first")),
+                     ["story_id"], ["_first"], max_summary)
+    others = body.groupBy("story_id", "line").agg(F.min(order).alias("_first")).join(
         leads.select("story_id", "line"), ["story_id", "line"], "left_anti")
-    context = top_rows(others, ["story_id"], ["at"], max_context)
+    context = top_rows(others, ["story_id"], ["_first"], max_context)
     part = lambda df, kind: df.select(
         "story_id", F.lit(kind).alias("kind"), (F.col("rank") - 1).alias("position"),
         F.col("line").alias("text"))
@@ -106,7 +109,7 @@ def lead_sentences(all_claims: DataFrame, contested: DataFrame, *,
 def sentence_supporters(elements: DataFrame, inputs: DataFrame) -> DataFrame:
     """Adds `article_ids`: members, in order, whose title equals or text contains the element."""
     e = elements.alias("e").join(inputs.select(
-        "story_id", F.col("article_id").alias("_a"), F.col("position").alias("_p"),
+        "story_id", F.col("article_id").alias("_a"), F.col("at").alias("_p"),
         F.col("title").alias("_title"), F.col("text").alias("_text")), "story_id")
     said = F.when(F.col("kind") == "TITLE", F.col("_title") == F.col("text")).otherwise(
         F.contains("_text", "text"))
@@ -125,10 +128,31 @@ def synthesize(membership: DataFrame, articles: DataFrame, *,
     return sentence_supporters(lead_sentences(lines, contested_claims(lines)), inputs)
 
 
-def synthesize_with(inputs: DataFrame, synthesizer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """User synthesizer per story; returns (story_id, kind, position, text, article_ids)."""
-    return inputs.groupBy("story_id").applyInPandas(
-        synthesizer, "story_id long, kind string, position int, text string, article_ids array<long>")
+LIMITS = {"TITLE": 1, "SUMMARY": policy.MAX_SUMMARY, "CONTEXT": policy.MAX_CONTEXT}
+
+
+def synthesize_with(inputs: DataFrame, proposer: Callable[[pd.DataFrame], pd.DataFrame],
+                    limits: dict[str, int] | None = None) -> DataFrame:
+    """A user synthesizer, member by member: (story_id, kind, position, text, article_ids).
+
+    `proposer` turns a frame of members (story_id, article_id, title, text) of any stories into the elements
+    (story_id, article_id, kind, ord, text) that each member offers. It sees any slice of a story, so
+    stories are not gathered. Equal elements of a story are one, cited from all members that offer
+    it; of each kind the first ones in order of publication stay, up to `limits`."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return map(proposer, frames)
+
+    offered = inputs.select("story_id", "article_id", "title", "text").mapInPandas(
+        run, "story_id long, article_id long, kind string, ord int, text string")
+    placed = offered.join(inputs.select("story_id", "article_id", "at"), ["story_id", "article_id"])
+    elements = placed.groupBy("story_id", "kind", "text").agg(F.min(F.struct("at", "ord")).alias("_first"))
+    caps = LIMITS if limits is None else limits
+    wanted = F.element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("kind"))
+    kept = top_rows(elements, ["story_id", "kind"], ["_first", "text"], max(caps.values())).filter(F.col("rank") <= wanted)
+    cited = placed.select("story_id", "kind", "text", "at").distinct().join(
+        kept.select("story_id", "kind", "text", (F.col("rank") - 1).alias("position")), ["story_id", "kind", "text"])
+    return cited.groupBy("story_id", "kind", "position", "text").agg(F.sort_array(F.collect_list("at")).alias("_s")).select(
+        "story_id", "kind", "position", "text", F.col("_s.article_id").alias("article_ids"))
 
 
 def invalid_syntheses(elements: DataFrame, inputs: DataFrame, *,

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from .. import policy
 from ..operators import candidates as cd
 from ..operators import dedup, embed, match, quality, read, refresh, synthesis
+from ..operators.enrich import extract_with, merge_entities, merge_topics, valid_scores
 from ..policy import MatchPolicy
 from ..session import cut_lineage
 from ..sources import tables as t
 from ..sources.tables import VECTOR_KEY
 from .registry import query
-from .text_queries import _ANCHOR_SQL, SENTENCES, collapse, content_sql, figures_sql
+from .text_queries import (_ANCHOR_SQL, MENTION_SQL, SENTENCES, collapse, content_sql, figures_sql, name_key,
+                           story_texts)
 
 # The given vectors are far apart; distances are scaled, the rules are the same.
 DISTANCE = 0.9
@@ -528,63 +530,92 @@ def sentence_supporters(spark, d):
                        F.array_join(F.col("article_ids").cast("array<string>"), ",").alias("supporters"))
 
 
-@query("synthesis_udf", "SELECT DISTINCT story_id, 'ok:TITLE' AS problem FROM member")
+@query("synthesis_udf", _CLAIM_SQL + """,
+    offer AS (SELECT story_id, article_id, position, 'TITLE' AS kind, 0 AS ord, title AS text FROM inp WHERE title <> ''
+      UNION ALL SELECT story_id, article_id, position, 'SUMMARY', i - 1, ss[i] FROM (
+        SELECT *, unnest(range(1, least(len(ss), 2) + 1)) AS i FROM inp)),
+    ranked AS (SELECT story_id, kind, text, row_number() OVER (PARTITION BY story_id, kind ORDER BY min((position, ord)), text) - 1 AS position
+      FROM offer GROUP BY story_id, kind, text)
+    SELECT r.story_id, r.kind, r.position, r.text, string_agg(DISTINCT o.article_id::VARCHAR, ',') AS cited
+    FROM ranked r JOIN (SELECT story_id, kind, text, article_id FROM offer) o USING (story_id, kind, text)
+    WHERE r.position < CASE kind WHEN 'TITLE' THEN 1 ELSE 3 END GROUP BY ALL""".replace(
+        "string_agg(DISTINCT o.article_id::VARCHAR, ',')",
+        "array_to_string(list_transform(list_sort(list_distinct(list(o.article_id))), lambda x: x::VARCHAR), ',')"))
 def synthesis_udf(spark, d):
-    """A user synthesizer through the per-story hook, then the output rules."""
-    rows = synthesis.synthesize_with(_inputs(spark, d), first_titles)
-    return synthesis.invalid_syntheses(rows, _inputs(spark, d)).unionByName(
-        rows.select("story_id", F.concat(F.lit("ok:"), "kind").alias("problem")))
+    """A user synthesizer through the hook, then the output rules, which refuse none here."""
+    inputs = _inputs(spark, d)
+    rows = cut_lineage(synthesis.synthesize_with(inputs, first_lines))
+    bad = synthesis.invalid_syntheses(rows, inputs)
+    return rows.join(bad, "story_id", "left_anti").select(
+        "story_id", "kind", F.col("position").cast("long").alias("position"), "text",
+        F.array_join(F.array_sort(F.col("article_ids")).cast("array<string>"), ",").alias("cited"))
 
 
-def first_titles(pdf):
-    """A synthesizer: the first member's title."""
-    import pandas as pd
-
-    first = pdf.sort_values("position").iloc[0]
-    return pd.DataFrame([{"story_id": first.story_id, "kind": "TITLE", "position": 0,
-                          "text": first.title or "-", "article_ids": [int(first.article_id)]}])
+def first_lines(members):
+    """A synthesizer: each member offers its title and its first two whole sentences."""
+    import re
 
+    import pandas as pd
 
-@query("topic_udf")
+    rows = []
+    for story, article, title, text in members[["story_id", "article_id", "title", "text"]].itertuples(index=False):
+        lines = [s for s in re.split("(?<=[.!?]) (?=[\"“‘'A-Z0-9])", text)
+                 if re.search("[.!?]$", re.sub("[\"”’']+$", "", s)) and len(s.split(" ")) >= policy.MIN_SENTENCE_WORDS
+                 and len(s) <= policy.MAX_SENTENCE_CHARS]
+        rows += [(story, article, "TITLE", 0, title)] if title else []
+        rows += [(story, article, "SUMMARY", i, s) for i, s in enumerate(lines[:2])]
+    return pd.DataFrame(rows, columns=["story_id", "article_id", "kind", "ord", "text"])
+
+
+_LABEL_SQL = """, support AS (SELECT story_id, label, count(DISTINCT article_id) AS a FROM said GROUP BY ALL),
+    top AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY a DESC, label) AS rank FROM support QUALIFY rank <= LIMIT),
+    sized AS (SELECT top.*, a / m AS score FROM top JOIN (
+      SELECT story_id, count(*) AS m FROM member GROUP BY story_id) USING (story_id)),
+    keyed AS (SELECT *, KEY AS key FROM sized WHERE story_id NOT IN (SELECT story_id FROM sized WHERE KEY = ''))"""
+
+
+@query("topic_udf", MENTION_SQL + """,
+    said AS (SELECT story_id, article_id, list_max(list_transform(regexp_extract_all(text, '\\S+'),
+        lambda x: {'n': length(x), 'w': x})).w AS label FROM txt WHERE regexp_matches(text, '\\S'))""" + _LABEL_SQL.replace(
+        "LIMIT", "8").replace("KEY", f"""substr(regexp_replace(regexp_replace(strip_accents({name_key('label')}),
+          '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g').trim('-'), 1, 100)""") + """
+    SELECT story_id, key AS slug, arg_max(substr(label, 1, 100), rank) AS label, round(max(score), 6) AS score
+    FROM keyed GROUP BY story_id, key""")
 def topic_udf(spark, d):
-    """A user topic extractor through the per-story hook."""
-    from ..operators.enrich import extract_with, invalid_scores, merge_topics
-    from .text_queries import story_texts
+    """A user topic extractor through the hook."""
+    rows = cut_lineage(extract_with(story_texts(spark, d), longest_word, "label string", policy.MAX_TOPICS))
+    return merge_topics(valid_scores(rows)).select("story_id", "slug", "label", F.round("score", 6).alias("score"))
 
-    rows = extract_with(story_texts(spark, d), longest_word, "story_id long, label string, score double, rank int")
-    good = rows.join(invalid_scores(rows).select("story_id"), "story_id", "left_anti")
-    return merge_topics(good)
-
-
-def longest_word(pdf):
-    """A topic extractor: the longest word of each member, with its share of members."""
-    import pandas as pd
 
-    found = pdf["text"].map(lambda s: max(s.split(), key=lambda x: (len(x), x), default="")).value_counts().head(8)
-    return pd.DataFrame({"story_id": pdf["story_id"].iloc[0], "label": found.index.astype(str),
-                         "score": found.to_numpy() / len(pdf), "rank": range(1, len(found) + 1)})
+def longest_word(members):
+    """A topic extractor: the longest word of each member, of equally long ones the last in code-point order."""
+    found = members.assign(label=members["text"].map(
+        lambda s: max(s.split(), key=lambda x: (len(x), x), default=None)))
+    return found[["story_id", "article_id", "label"]].dropna()
 
 
-@query("entity_udf")
+@query("entity_udf", MENTION_SQL + """,
+    said AS (SELECT story_id, article_id, unnest(list_filter(regexp_extract_all(text, '\\S+'),
+        lambda x: length(x) > 1 AND regexp_matches(x, '^[A-Z0-9.-]*[A-Z][A-Z0-9.-]*$'))) AS label FROM txt)""" + _LABEL_SQL.replace(
+        "LIMIT", "20").replace("KEY", f"substr({name_key('label')}, 1, 200)") + """
+    SELECT story_id, 'OTHER' AS kind, key, arg_min(substr(label, 1, 200), rank) AS name, round(max(score), 6) AS score
+    FROM keyed GROUP BY story_id, key""")
 def entity_udf(spark, d):
-    """A user entity extractor through the per-story hook."""
-    from ..operators.enrich import extract_with, invalid_scores, merge_entities
-    from .text_queries import story_texts
+    """A user entity extractor through the hook."""
+    rows = cut_lineage(extract_with(story_texts(spark, d), shouted_words, "kind string, name string", policy.MAX_ENTITIES))
+    return merge_entities(valid_scores(rows)).select("story_id", "kind", "key", "name", F.round("score", 6).alias("score"))
 
-    rows = extract_with(story_texts(spark, d), shouted_words,
-                        "story_id long, kind string, name string, score double, rank int")
-    good = rows.join(invalid_scores(rows).select("story_id"), "story_id", "left_anti")
-    return merge_entities(good)
 
+def shouted_words(members):
+    """An entity extractor: the words in plain capitals."""
+    import re
 
-def shouted_words(pdf):
-    """An entity extractor: words in capitals, with their share of members."""
+    shout = re.compile("(?=.*[A-Z])[A-Z0-9.-]{2,}").fullmatch
+    rows = [(story, article, "OTHER", w) for story, article, text in
+            members[["story_id", "article_id", "text"]].itertuples(index=False) for w in {*text.split()} if shout(w)]
     import pandas as pd
 
-    per_member = pdf["text"].map(lambda s: sorted({x for x in s.split() if len(x) > 1 and x.isupper()}))
-    found = per_member.explode().dropna().sort_values().value_counts().head(20)
-    return pd.DataFrame({"story_id": pdf["story_id"].iloc[0], "kind": "OTHER", "name": found.index.astype(str),
-                         "score": found.to_numpy() / len(pdf), "rank": range(1, len(found) + 1)})
+    return pd.DataFrame(rows, columns=["story_id", "article_id", "kind", "name"])
 
 
 @query("current_generation", """

@@ -18,13 +18,6 @@ RECOMMENDED = {
 }
 
 
-def apply_recommended(spark: SparkSession) -> SparkSession:
-    """Set the runtime SQL settings (results rely on the UTC time zone only)."""
-    for key, value in RECOMMENDED.items():
-        spark.conf.set(key, value)
-    return spark
-
-
 def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 

@@ -40,10 +40,6 @@ def after_epoch(amount: Column, unit: str) -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + amount.cast("long") * seconds)
 
 
-def day_seconds(ts: Column) -> Column:
-    return F.unix_timestamp(ts)
-
-
 # --- publications ----------------------------------------------------------------
 
 

@@ -3,6 +3,8 @@
 import json
 from datetime import datetime
 
+import pytest
+
 from eventweave.sources import feeds, layout
 from eventweave.sources.tables import read
 
@@ -59,5 +61,26 @@ def test_generations(spark, tmp_path):
     assert layout.read_generation(spark, root, "t", 1).count() == 1
 
 
+def test_lost_race(spark, tmp_path):
+    """Of two jobs that follow the same generation one publishes; the other's tables stay invisible."""
+    root, rows = str(tmp_path), lambda n: spark.range(n)
+    seen = layout.publish_generation(spark, root, {"t": rows(1)})
+    assert layout.publish_generation(spark, root, {"t": rows(2), "u": rows(7)}, after=seen) == 2
+    with pytest.raises(layout.LostRace):
+        layout.publish_generation(spark, root, {"t": rows(3)}, after=seen)
+    assert layout.read_generation(spark, root, "t").count() == 2
+    assert layout.publish_generation(spark, root, {"t": rows(4)}) == 3
+    # a publisher that died between claim and manifest
+    path, fs = layout._fs(spark, f"{root}/_published/{4:012d}.json")
+    fs.create(path, False).close()
+    assert layout.current_generation_id(spark, root) == 3
+    with pytest.raises(layout.LostRace):
+        layout.publish_generation(spark, root, {"t": rows(5)})
+    assert layout.drop_empty_claim(spark, root, 4) and not layout.drop_empty_claim(spark, root, 3)
+    assert layout.publish_generation(spark, root, {"t": rows(5)}) == 4
+    with pytest.raises(FileNotFoundError):
+        layout.read_generation(spark, f"{root}/none", "t")
+
+
 def test_small_tables_use_all_cores(spark):
     assert read(spark, "/root/testdata/sf0.001", "documents").rdd.getNumPartitions() > 1

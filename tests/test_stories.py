@@ -5,10 +5,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from eventweave.operators import candidates as cd
-from eventweave.operators import embed, match, quality, read, refresh, synthesis
+from eventweave.operators import embed, enrich, match, quality, read, refresh, synthesis
 
 
 T0 = datetime(2024, 1, 1)
@@ -143,6 +144,84 @@ def test_refresh_generation(spark):
     assert made["topics"].filter("story_id = 1").count() > 0
 
 
+STORIES = ("story_id long, status string, refresh_state string, member_signature string, refresh_error string, "
+           "article_count long, source_count long")
+
+
+def test_moved_signatures_are_not_published(spark):
+    """A story that gained, lost or changed a member during the refresh stays as it was, STALE; the rest is published."""
+    rows = [(i, i, f"Storm hits Elsby {i}", "", "The storm reached Elsby harbor on Monday.", T0, T0, T0) for i in range(1, 7)]
+    arts = spark.createDataFrame(rows, ARTICLES)
+    emb = embed.embed_articles(arts, spark.createDataFrame([], "article_id long, model_key string"))
+    stories = spark.createDataFrame([(s, "ACTIVE", "FAILED" if s == 2 else "CURRENT" if s == 6 else "STALE", f"old{s}", "e" if s == 2 else "", 9, 9)
+                                     for s in range(1, 7)], STORIES)
+    link = "story_id long, article_id long"
+    members = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4), (6, 6)], link)
+    made = refresh.refresh_stories(stories, members, arts, emb, now="2024-02-01 00:00:00")
+    later = spark.createDataFrame([(1, 1), (2, 2), (2, 6), (4, 4), (5, 5)], link)  # 2 gained, 3 lost, 5 is not empty any more
+    changed = arts.withColumn("updated_at", F.when(F.col("article_id") == 4, F.col("updated_at") + F.expr("INTERVAL 1 HOUR")).otherwise(
+        F.col("updated_at")))
+    out = refresh.promote(made, stories, later, changed)
+    state = {r.story_id: (r.status, r.refresh_state, r.refresh_error, r.member_signature.startswith("old"), r.article_count)
+             for r in out["stories"].collect()}
+    held = ("ACTIVE", "STALE", "", True, 9)
+    assert state == {1: ("ACTIVE", "CURRENT", "", False, 1), 2: held, 3: held, 4: held, 5: held, 6: ("ACTIVE", "CURRENT", "", True, 9)}
+    assert set(out) == {"stories", "story_emb", "topics", "entities", "elements"}
+    for name in set(out) - {"stories"}:
+        assert {r.story_id for r in out[name].select("story_id").distinct().collect()} <= {1}
+
+
+def test_extractor_over_many_tasks(spark):
+    """A story with most of the members is read in any number of slices; ties go by label."""
+    def words_said(members):
+        import pandas as pd
+
+        rows = [(s, a, w) for s, a, t in members[["story_id", "article_id", "text"]].itertuples(index=False) for w in {*t.split()}]
+        return pd.DataFrame(rows, columns=["story_id", "article_id", "label"])
+
+    n = 3_000
+    texts = spark.createDataFrame([(1 if i % 3 else 2 + i % 50, i, f"all w{i % 10} x{i % 2}") for i in range(n)],
+                                  "story_id long, article_id long, text string").repartition(16)
+    parts = {r.p for r in texts.filter("story_id = 1").select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert len(parts) == 16
+    got = [(r.label, round(r.score, 6), r["rank"]) for r in enrich.extract_with(texts, words_said, "label string", 5).filter(
+        "story_id = 1").orderBy("rank").collect()]
+    assert got == [("all", 1.0, 1), ("x0", 0.5, 2), ("x1", 0.5, 3), ("w0", 0.1, 4), ("w1", 0.1, 5)]
+
+
+def test_broken_output_is_refused_whole(spark):
+    topics = spark.createDataFrame([(1, "good", .5, 1), (1, "--", .5, 2), (2, "Fine one", .5, 1), (2, "fine  one", .7, 2)],
+                                   "story_id long, label string, score double, rank int")
+    assert [tuple(r) for r in enrich.merge_topics(enrich.valid_scores(topics)).collect()] == [(2, "fine-one", "fine one", .7)]
+    with pytest.raises(Exception, match="usable name"):
+        enrich.merge_topics(topics).collect()
+    rows = [(i, i, "Storm hits Elsby", "", "The storm reached Elsby harbor on Monday.", T0, T0, T0) for i in (1, 2)]
+    arts = spark.createDataFrame(rows, ARTICLES)
+    emb = embed.embed_articles(arts, spark.createDataFrame([], "article_id long, model_key string"))
+    stories = spark.createDataFrame([(s, "ACTIVE", "STALE", "", "", 0, 0) for s in (1, 2)], STORIES)
+    members = spark.createDataFrame([(1, 1), (2, 2)], "story_id long, article_id long")
+    made = refresh.refresh_stories(stories, members, arts, emb, topics=topics)
+    assert {r.story_id: (r.refresh_state, r.refresh_error) for r in made["stories"].collect()} == {
+        1: ("FAILED", "story_enrichment:INVALID_OUTPUT"), 2: ("CURRENT", "")}
+    assert {r.story_id for r in made["topics"].collect()} == {2} == {r.story_id for r in made["elements"].collect()}
+
+
+def test_proposed_elements(spark):
+    def offer(members):
+        import pandas as pd
+
+        rows = [(s, a, k, o, x) for s, a, t, b in members[["story_id", "article_id", "title", "text"]].itertuples(index=False)
+                for k, o, x in [("TITLE", 0, t), *(("SUMMARY", i, y) for i, y in enumerate(b.split("/")))]]
+        return pd.DataFrame(rows, columns=["story_id", "article_id", "kind", "ord", "text"])
+
+    at = lambda i: (T0 + timedelta(hours=9 - i), i)
+    inputs = spark.createDataFrame([(1, i, at(i), f"t{i}", "b/a" if i % 2 else "a/c") for i in range(1, 9)],
+                                   "story_id long, article_id long, at struct<event_time: timestamp, article_id: long>, title string, text string")
+    got = {(r.kind, r.position): (r.text, r.article_ids) for r in synthesis.synthesize_with(
+        inputs.repartition(5), offer, {"TITLE": 1, "SUMMARY": 2}).collect()}
+    assert got == {("TITLE", 0): ("t8", [8]), ("SUMMARY", 0): ("a", [8, 7, 6, 5, 4, 3, 2, 1]), ("SUMMARY", 1): ("c", [8, 6, 4, 2])}
+
+
 def brute_quality(expected, assigned):
     e = p = t = m = s = 0
     for a, b in combinations(sorted(expected), 2):
