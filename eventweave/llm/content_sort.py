@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut_lineage, finish_phase, partitions
+from .shared import cut_lineage, finish_phase, packed, partitions
 
 SCHEMA = ("row long, doc_id long, text_sha256 string, run_best long, run_size long, run_rank long, "
           "border boolean")
@@ -115,19 +115,17 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same id and content, nothing tells the two apart and one of them is taken."""
     groups = exact_groups(docs, doc_id, text, normalise, n_partitions)
     content = F.coalesce(F.col(text), F.lit(""))
-    tagged = docs.withColumn(
-        "_sha", F.sha2(content if normalise is None else normalise(content), 256))
+    tagged = docs.select(packed(docs).alias("given"), F.col(doc_id).cast("long").alias("id"),
+                         F.sha2(content if normalise is None else normalise(content), 256).alias("sha"))
 
     def side(df: DataFrame) -> DataFrame:
-        return df.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha_of")).distinct()
-
-    def on(df: DataFrame) -> Column:
-        return F.col(doc_id).cast("long").eqNullSafe(df["_id"]) & (F.col("_sha") == df["_sha_of"])
+        return df.select(F.col("doc_id").alias("at"), F.col("text_sha256").alias("sha_of")).distinct()
 
+    same = F.col("id").eqNullSafe(F.col("at")) & (F.col("sha") == F.col("sha_of"))
     gone = side(groups.filter(~F.col("kept")))
-    stay = tagged.join(gone, on(gone), "left_anti").drop("_sha")
+    stay = tagged.join(gone, same, "left_anti").select("given.*")
     twins = cut_lineage(side(groups.filter("kept")).intersect(gone))
     if twins.isEmpty():
         return stay
-    again = tagged.join(twins, on(twins), "left_semi").dropDuplicates([doc_id, "_sha"])
-    return stay.unionByName(again.drop("_sha"))
+    again = tagged.join(twins, same, "left_semi").dropDuplicates(["id", "sha"])
+    return stay.unionByName(again.select("given.*"))

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import let
-from .shared import cut_lineage
+from .shared import cut_lineage, free_name, packed
 
 CYCLE = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -236,11 +236,12 @@ def mix_sizes(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", t
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0,
         n_partitions: int | None = None, **how) -> DataFrame:
     """The mix: the rows of `docs`, once per draw, with mix_copy, mix_shard and mix_position, each
-    shard in the order of mix_position."""
-    rows = prepared(docs, doc_id, source, text)
-    out = draw(rows, seed=seed, **how).withColumn("_mx_d", F.explode("_mx_draws"))
-    out = out.select(*docs.columns,
-                     F.col("_mx_d.copy").alias("mix_copy"), F.col("_mx_d.shard").alias("mix_shard"),
-                     F.xxhash64(F.lit(seed + 3), "_mx_hash", "_mx_d.copy").alias("mix_position"))
+    shard in the order of mix_position. Where `docs` has such a column, the new one's name gets underscores."""
+    given = docs.select(packed(docs).alias("given"), F.col(doc_id).alias("id"), F.col(source).alias("source"),
+                        F.col(text).alias("text"))
+    out = draw(prepared(given, "id", "source", "text"), seed=seed, **how).withColumn("_mx_d", F.explode("_mx_draws"))
+    copy, shard, position = (free_name(docs, f"mix_{name}") for name in ("copy", "shard", "position"))
+    out = out.select("given.*", F.col("_mx_d.copy").alias(copy), F.col("_mx_d.shard").alias(shard),
+                     F.xxhash64(F.lit(seed + 3), "_mx_hash", "_mx_d.copy").alias(position))
     n = n_partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, "mix_shard", "mix_position").sortWithinPartitions("mix_shard", "mix_position")
+    return out.repartitionByRange(n, shard, position).sortWithinPartitions(shard, position)

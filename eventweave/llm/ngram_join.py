@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import components
 from . import blocks as B
-from .shared import cut_lineage, finish_phase
+from .shared import cut_lineage, finish_phase, packed
 from .words import SPACES, Chunk, release, utf8_buffer, window_hashes
 
 N = 5
@@ -350,5 +350,6 @@ def ngram_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 def ngram_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of `docs` that stay: one of each class, that with the smallest id."""
     stay = ngram_classes(docs, doc_id, text, **how).filter("doc_id <=> component_id").select(
-        F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+        F.col("doc_id").alias("stay")).distinct()
+    given = docs.select(packed(docs).alias("given"), F.col(doc_id).cast("long").alias("id"))
+    return given.join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("given.*")

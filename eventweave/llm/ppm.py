@@ -8,7 +8,8 @@ over the 256 bytes. The language with the shortest code for the whole text wins.
 
 The trees of all languages are flattened into one table (context, next byte) -> bits per language,
 so a byte costs two lookups. Bytes that no sample has share one symbol. The table goes to the
-tasks as a broadcast; the sample bounds it (`per_language` ids, their texts whole).
+tasks as a broadcast; the sample (`per_language` ids, their texts whole) bounds it, and so does
+`MODEL_BYTES`: where many languages would make it larger, the order is lowered.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; languages that tie go
 to the first by code point; with no labelled row everything is `und`; null labels never teach;
@@ -26,12 +27,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .shared import free_name
 from .words import cuts, release, utf8_buffer
 
 ORDER = 3
 PER_LANGUAGE = 400
 EVIDENCE = 24
 CHUNK = 1 << 20
+SPREAD = 64
+MODEL_BYTES = 256 << 20  # trees whose table would be larger are cut to a lower order
 
 
 @dataclass
@@ -47,22 +51,22 @@ class Model:
 def sampled(docs: DataFrame, doc_id: str, text: str, label: str, teach: Column,
             per_language: int = PER_LANGUAGE) -> DataFrame:
     """lang, text of at most `per_language` labelled rows of each language: those whose ids have the
-    smallest hashes. The number of distinct ids with a text per language first sets a bound on the
-    hash that about four times as many pass, so what is ranked stays small, whatever the table; texts
-    are read for the picked ids."""
-    rows = docs.filter(teach & F.col(label).isNotNull() & (F.length(text) > 0)).select(
-        F.col(label).alias("lang"), F.col(doc_id).cast("long").alias("id"))
-    rows = rows.withColumn("h", F.xxhash64("id")).withColumn(
-        "u", F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53))
-    counts = rows.groupBy("lang").agg(F.count_distinct("id").alias("n"))
-    near = rows.join(counts, "lang").filter(F.col("u") * F.col("n") < 4 * per_language + 100).select(
-        "lang", "id", "u").distinct()
+    smallest hashes. Ranked are (language, id) pairs, first within `SPREAD` parts of each language, so
+    that a language with nearly all rows is many tasks, then what is left of the parts; texts are
+    read for the picked ids."""
+    given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"),
+                        F.when(teach, F.col(label)).alias("lang"))
+    rows = given.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "id")
+    h = F.xxhash64("id")
+    rows = rows.withColumns({"u": F.shiftrightunsigned(h, 11), "part": F.pmod(h, F.lit(SPREAD))})
+    # repeats of an id share a dense rank; Spark drops what is behind the limit before it shuffles
+    inside = Window.partitionBy("lang", "part").orderBy("u", "id")
+    near = rows.withColumn("r", F.dense_rank().over(inside)).filter(F.col("r") <= per_language).select("lang", "id", "u").distinct()
     w = Window.partitionBy("lang").orderBy("u", "id")
     picked = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select(
-        F.col("lang").alias("_lang"), F.col("id").alias("_id"))
-    return docs.join(F.broadcast(picked), F.col(doc_id).cast("long").eqNullSafe(F.col("_id"))
-                     & (F.col(label) == F.col("_lang"))).select(F.col("_lang").alias("lang"),
-                                                                F.col(text).alias("text"))
+        F.col("lang").alias("of"), F.col("id").alias("at"))
+    return given.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("at")) & (F.col("lang") == F.col("of"))
+                      ).select("lang", "text")
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, rows: list[int], order: int) -> Iterator[list[list[np.ndarray]]]:
@@ -112,9 +116,18 @@ def learn(sample: DataFrame, order: int = ORDER) -> Model | None:
     """The flattened trees; the counts are as large as the bounded sample at most."""
     counts = sample.mapInArrow(_gram_counts(order), "lang string, k long, gram long, n long").groupBy(
         "lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
+    while order > 1 and table_bytes(counts, order) > MODEL_BYTES:
+        order -= 1
     return build(counts, order) if len(counts) else None
 
 
+def table_bytes(counts: pa.Table, order: int) -> int:
+    """Size of the table of that order: contexts x symbols x languages."""
+    k, gram = counts.column("k").to_numpy(), counts.column("gram").to_numpy()
+    contexts = 1 + sum(len(np.unique(gram[k == length])) for length in range(1, order + 1))
+    return 4 * contexts * (len(np.unique(gram[k == 1])) + 1) * len(pc.unique(counts.column("lang")))
+
+
 def build(counts: pa.Table, order: int) -> Model:
     """The model from rows (lang, k, gram, n)."""
     names = counts.column("lang").combine_chunks().dictionary_encode()
@@ -231,16 +244,21 @@ def fit(docs: DataFrame, teach: Column, doc_id: str = "doc_id", text: str = "tex
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred",
              score: str = "score") -> DataFrame:
-    """`docs` with two more columns; a narrow pass, no shuffle."""
+    """`docs` with two more columns; a narrow pass, no shuffle. Where `docs` has a column of such a name, the new
+    one gets underscores after its name."""
+    names = [*docs.columns, free_name(docs, lang_pred), free_name(docs, score)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # inside, columns go by number: Spark's Arrow functions take no names with dots
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            lang, value = predict_batch(shared.value, batch.column(text))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lang, value], names)
+            lang, value = predict_batch(shared.value, batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lang, value], inner)
             release()
 
-    names = [*docs.columns, lang_pred, score]
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()),
-                           T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    inner = [*plain.columns, "lang", "score"]
+    schema = T.StructType([*plain.schema.fields, T.StructField("lang", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    return plain.mapInArrow(run, schema).toDF(*names)

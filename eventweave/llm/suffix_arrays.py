@@ -364,16 +364,19 @@ def longest_table(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` with no hit word, all columns kept; one narrow pass per block."""
+    # inside, columns go by number: Spark's Arrow functions take no names with dots
+    names, at = docs.columns, docs.columns.index(text)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     for block in _blocks(benchmark, item_id, item_text, window, block_bytes):
 
         def run(batches, block=block):
             items = block.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for low, _, shard in shards(batch.column(text), items):
+                for low, _, shard in shards(batch.column(at), items):
                     hit, _ = shard.marks()
                     clean[low + shard.chunk.row_of_word()[hit]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

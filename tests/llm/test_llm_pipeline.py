@@ -11,7 +11,7 @@ from eventweave.llm.queries import ORACLES, QUERIES
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
     assert set(ORACLES) <= set(entry.oracle_sql()) and corpus_pipeline.ORACLE_SQL is None
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "mix"]
@@ -82,3 +82,52 @@ def test_short_texts_are_not_dropped_for_lack_of_evidence(spark, make, monkeypat
         judged, "doc_id long, text string, _lang_pred string, _score double"))
     got = corpus_pipeline.language_id(spark, make([]).select("doc_id", "text"), "")
     assert sorted(r.doc_id for r in got.collect()) == [1, 4]
+
+
+CLASHING = ["_id", "_score", "_lang_pred", "_sha", "_stay", "mix_copy", "mix_shard", "mix_position", "lang_pred", "score", "id", "at",
+            "given", "stay", "sha", "row", "rep", "grp", "band", "component_id", "keep_id", "kept", "hash", "u", "r", "h", "of",
+            "item_id", "_mx_block", "_mx_source", "_mx_d", "start", "content", "Doc", "a.b", "select"]
+
+
+def test_extra_columns_pass_untouched(spark, make, tmp_path):
+    """Every stage keeps columns of any name, with their values; the mix adds its own beside them."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()
+    plain = [(r.doc_id, r.text, r.lang, r.source) for r in rows] + [(900, rows[3].text, "en", "s"), (900, rows[3].text, "en", "s")]
+    docs = make(plain)
+    for number, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, (docs["doc_id"] * 100 + number))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    make(plain).write.parquet(str(tmp_path / "plain" / "documents.parquet"))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    for folder in (tmp_path, tmp_path / "plain"):
+        bench.write.parquet(str(folder / "benchmark.parquet"))
+    sides = {False: spark.read.parquet(str(tmp_path / "plain" / "documents.parquet")), True: spark.read.parquet(str(tmp_path / "documents.parquet"))}
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for extra, df in sides.items():
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns[:len(df.columns)] == df.columns
+            assert name == "mix" or out.columns == df.columns
+            out.write.parquet(str(tmp_path / f"{number}{extra}"))
+            sides[extra] = spark.read.parquet(str(tmp_path / f"{number}{extra}"))
+        got = sides[True].collect()
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in sides[False].collect()) and got
+        for n, column in enumerate(CLASHING):
+            assert all(r[column] == r.doc_id * 100 + n for r in got), (name, column)
+    assert sides[True].columns[-3:] == ["mix_copy_", "mix_shard_", "mix_position_"]
+
+
+def test_queries_ignore_other_columns(spark, make, tmp_path):
+    """The queries on tables with such columns give what they give without."""
+    names = [c for c in CLASHING if c not in ("item_id",)]
+    for table in ("documents", "benchmark", "pages", "conversations"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+        for number, name in enumerate(names):
+            df = df.withColumn(name, df[df.columns[0]] + number)
+        df.write.parquet(str(tmp_path / f"{table}.parquet"))
+    for name in ("op1_substring_dedup", "op2_exact_dedup", "op3_source_mixing", "op4_ngram_join", "op5_url_filters", "op6_warc",
+                 "op7_benchmark_decontamination", "op9_chat_formatting", "op10_language_id", "op11_spelling_variants",
+                 "op12_secret_scans", "op13_conversation_repair"):
+        want = QUERIES[name](spark, "/root/testdata/sf0.001")
+        got = QUERIES[name](spark, str(tmp_path))
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), name

@@ -418,3 +418,28 @@ def test_language_id_edges_and_accuracy(spark, make):
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == docs.first().lang and 0.5 < got[4][1] <= 1
     assert {r.lang_pred for r in ppm.identify(odd, None, score="s").collect()} == {"und"}
     assert ppm.fit(docs, F.lit(False)) is None
+
+
+def test_one_language_with_nearly_all_rows(spark, make):
+    """The sample is that of the smallest hashes, whatever share a language has; no task gets the language whole."""
+    docs = make([(i % 1500, f"text {i % 1500} x", "en") for i in range(3000)] + [(5000 + i, f"wort {i}", "de") for i in range(20)]
+                + [(None, "none", "fr"), (7000, "", "fr"), (7001, None, "fr"), (7002, "x", None)], 8)
+    sample = ppm.sampled(docs, "doc_id", "text", "lang", F.lit(True), per_language=50)
+    place = {r.doc_id: r.h for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h")).distinct().collect()}
+    first = sorted(range(1500), key=lambda i: place[i])[:50]
+    got = Counter((r.lang, r.text) for r in sample.collect())
+    assert got == Counter({**{("en", f"text {i} x"): 2 for i in first}, **{("de", f"wort {i}"): 1 for i in range(20)}, ("fr", "none"): 1})
+
+
+def test_many_languages_stay_in_bounds(spark, make, monkeypatch):
+    """60 languages with letters of their own: the table keeps to its bound and still tells them apart."""
+    rng = random.Random(6)
+    monkeypatch.setattr(ppm, "MODEL_BYTES", 40 << 20)
+    letters = [[chr(0x4E00 + 20 * k + j) for j in range(20)] for k in range(60)]
+    say = lambda k: " ".join("".join(rng.choices(letters[k], k=6)) for _ in range(30))
+    docs = make([(60 * i + k, say(k), f"l{k:02}") for i in range(6) for k in range(60)])
+    model = ppm.fit(docs, F.col("doc_id") < 240)
+    assert model.bits.nbytes <= 40 << 20 and len(model.languages) == 60
+    judged = ppm.identify(docs.filter("doc_id >= 240"), model)
+    wrong = [(r.lang, r.lang_pred, r.score) for r in judged.collect() if r.lang_pred != r.lang]
+    assert not wrong, (model.order, model.bits.nbytes, wrong)
