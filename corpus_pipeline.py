@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventweave.llm import content_sort, mixing, ngram_join, ppm, suffix_arrays
+from eventweave.llm.shared import columns
 from eventweave.session import scratch_folder
 
 MIN_SCORE = 0.5
@@ -18,9 +19,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: not `und`, and the best language holds at least half of
     the posterior. Texts of less than `ppm.EVIDENCE` bytes are too short for that and stay if not `und`."""
     teach = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0)) != 2
-    judged = ppm.identify(docs, ppm.fit(docs, teach), lang_pred="_lang_pred", score="_score")
-    told = (F.col("_score") >= MIN_SCORE) | (F.octet_length("text") < ppm.EVIDENCE)
-    return judged.filter((F.col("_lang_pred") != "und") & told).select(*docs.columns)
+    judged = ppm.identify(docs, ppm.fit(docs, teach))
+    lang, score = (F.col(name) for name in judged.columns[-2:])  # their names depend on those of docs
+    told = (score >= MIN_SCORE) | (F.octet_length("text") < ppm.EVIDENCE)
+    return judged.filter((lang != "und") & told).select(*columns(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
