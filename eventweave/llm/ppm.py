@@ -34,7 +34,7 @@ ORDER = 3
 PER_LANGUAGE = 400
 EVIDENCE = 24
 CHUNK = 1 << 20
-SPREAD = 64
+PARTS = (64, 8, 1)  # each divides the one before
 MODEL_BYTES = 256 << 20  # trees whose table would be larger are cut to a lower order
 
 
@@ -51,20 +51,20 @@ class Model:
 def sampled(docs: DataFrame, doc_id: str, text: str, label: str, teach: Column,
             per_language: int = PER_LANGUAGE) -> DataFrame:
     """lang, text of at most `per_language` labelled rows of each language: those whose ids have the
-    smallest hashes. Ranked are (language, id) pairs, first within `SPREAD` parts of each language, so
-    that a language with nearly all rows is many tasks, then what is left of the parts; texts are
-    read for the picked ids."""
+    smallest hashes. Ranked are (language, id) pairs, within fewer and fewer parts of each language (`PARTS`), so that
+    a language with nearly all rows is many tasks and the last one gets little; texts are read for the
+    picked ids."""
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"),
                         F.when(teach, F.col(label)).alias("lang"))
     rows = given.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "id")
     h = F.xxhash64("id")
-    rows = rows.withColumns({"u": F.shiftrightunsigned(h, 11), "part": F.pmod(h, F.lit(SPREAD))})
-    # repeats of an id share a dense rank; Spark drops what is behind the limit before it shuffles
-    inside = Window.partitionBy("lang", "part").orderBy("u", "id")
-    near = rows.withColumn("r", F.dense_rank().over(inside)).filter(F.col("r") <= per_language).select("lang", "id", "u").distinct()
-    w = Window.partitionBy("lang").orderBy("u", "id")
-    picked = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select(
-        F.col("lang").alias("of"), F.col("id").alias("at"))
+    near = rows.withColumn("u", F.shiftrightunsigned(h, 11))
+    for parts in PARTS:
+        # repeats of an id share a dense rank; Spark drops what is behind the limit before it shuffles
+        inside = Window.partitionBy("lang", F.pmod(F.xxhash64("id"), F.lit(parts))).orderBy("u", "id")
+        near = near.withColumn("r", F.dense_rank().over(inside)).filter(F.col("r") <= per_language).select("lang", "id", "u")
+        near = near.distinct() if parts == PARTS[0] else near
+    picked = near.select(F.col("lang").alias("of"), F.col("id").alias("at"))
     return given.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("at")) & (F.col("lang") == F.col("of"))
                       ).select("lang", "text")
 
