@@ -198,14 +198,13 @@ def _fold_groups(rows: DataFrame, state: DataFrame) -> DataFrame:
     return rows.groupBy("component").cogroup(state.groupBy("component")).applyInPandas(run, _FOLDED)
 
 
-def _chains(rows: DataFrame, state: DataFrame, block_seconds: int) -> DataFrame:
+def _chains(rows: DataFrame, state: DataFrame) -> DataFrame:
     """Components of one publication: every revision is judged by the one before it."""
-    block = F.floor(F.unix_timestamp("created_at") / block_seconds)
     prior = state.select("component", F.col("article_id").alias("_aid"),
                          F.struct("canonical_url", "content_fingerprint").alias("_a"))
     first = rows.groupBy("component").agg(
         F.min_by("raw_id", F.struct("created_at", "raw_id")).alias("_first"))
-    lagged = running_lag(rows, ["component"], ["created_at", "raw_id"], block,
+    lagged = running_lag(rows, ["component"], ["created_at", "raw_id"], None,
                          ["canonical_url", "content_fingerprint"], "_p")
     joined = lagged.join(prior, "component", "left").join(first, "component")
     before = F.coalesce("_p", "_a")
@@ -228,12 +227,15 @@ def _after(rows: DataFrame, folded: DataFrame, state: DataFrame) -> DataFrame:
         last.select("article_id", "s.component", *[f"s.{c}" for c in _STATE[1:]]))
 
 
-def identity_outcomes(pending: DataFrame, articles: DataFrame, *, fold_rows: int = 1_000,
-                      block_seconds: int = 86_400) -> DataFrame:
+FOLD_ROWS = 100_000  # six short columns each: some tens of MB in a task
+
+
+def identity_outcomes(pending: DataFrame, articles: DataFrame, *, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(raw_id, kind, article_id) as if the revisions were processed one by one in
     (created_at, raw_id) order. A new article takes the id of the revision that made it.
 
-    Revisions that share no key with others, and revisions of one publication, need no
+    Revisions that share no key with others, and components in which one article takes all
+    revisions (one source with one external id throughout, or with one URL throughout), need no
     sequential step. The rest is folded per connected component, at most `fold_rows`
     revisions of a component at a time, so no task grows with a component.
     """
@@ -255,12 +257,13 @@ def identity_outcomes(pending: DataFrame, articles: DataFrame, *, fold_rows: int
     shape = both.groupBy("component").agg(
         F.sum("n").alias("rows"),
         ((F.sum("a") <= 1) & same("source_id") & same("external_id")
-         & ((F.min("external_id") != "") | same("canonical_url"))).alias("chain"))
+         & ((F.min("external_id") != "") | same("canonical_url"))
+         | (F.sum("a") <= 1) & same("source_id") & same("canonical_url")).alias("chain"))
     shape = cut_lineage(shape)
     chain = shape.filter("chain").select("component")
     mixed = shape.filter("NOT chain").select("component")
     result = _chains(rows.join(chain, "component", "left_semi"),
-                     state.join(chain, "component", "left_semi"), block_seconds)
+                     state.join(chain, "component", "left_semi"))
 
     todo, now = rows.join(mixed, "component", "left_semi"), state.join(mixed, "component", "left_semi")
     # one number: how many slices the largest mixed component needs
@@ -282,7 +285,7 @@ def identity_outcomes(pending: DataFrame, articles: DataFrame, *, fold_rows: int
 
 
 def _content_originals(pending: DataFrame, outcomes: DataFrame, articles: DataFrame,
-                       min_chars: int, block_seconds: int) -> DataFrame:
+                       min_chars: int) -> DataFrame:
     """(raw_id, duplicate_of) of inserted revisions whose exact content an earlier article
     carries at that moment.
 
@@ -314,8 +317,7 @@ def _content_originals(pending: DataFrame, outcomes: DataFrame, articles: DataFr
     # validity of each version of a changed article: until the next version
     mv = versions.join(moving, "article_id", "left_semi").withColumn(
         "_o", -F.unix_micros("since")).withColumn("_q", -F.col("seq"))
-    mv = running_lag(mv, ["article_id"], ["_o", "_q"],
-                     F.floor(F.col("_o") / (block_seconds * 1_000_000)), ["since", "seq"], "until")
+    mv = running_lag(mv, ["article_id"], ["_o", "_q"], None, ["since", "seq"], "until")
     mv = mv.join(earliest, "content_fingerprint", "left").filter(
         F.col("base").isNull() | (F.struct("born", "article_id") < F.col("base")))
     ins = changed.filter((F.col("kind") == "INSERT")
@@ -342,16 +344,14 @@ def _content_originals(pending: DataFrame, outcomes: DataFrame, articles: DataFr
 
 def process_raw(pending: DataFrame, articles: DataFrame, *,
                 min_fingerprint_chars: int = policy.MIN_FINGERPRINT_CHARS,
-                fold_rows: int = 1_000, block_seconds: int = 86_400,
-                ) -> tuple[DataFrame, DataFrame, DataFrame]:
+                fold_rows: int = FOLD_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(raw outcomes, articles', revised article ids) for normalized pending revisions.
 
     UPDATE replaces the material and the endpoint/revision of an article but keeps its id,
     source, first_seen_at and duplicate_of; duplicates and conflicts change no article.
     """
-    done = cut_lineage(identity_outcomes(pending, articles, fold_rows=fold_rows,
-                                         block_seconds=block_seconds))
-    copies = _content_originals(pending, done, articles, min_fingerprint_chars, block_seconds)
+    done = cut_lineage(identity_outcomes(pending, articles, fold_rows=fold_rows))
+    copies = _content_originals(pending, done, articles, min_fingerprint_chars)
     done = done.join(copies, "raw_id", "left")
     kind = F.col("kind")
     conflict = kind.endswith("CONFLICT")

@@ -274,13 +274,9 @@ def qualify_exposures(reports: DataFrame, *, share: float = policy.EXPOSURE_SHAR
     ).select("user_id", "session_id", "story_id", "q.position", F.col("q.qualified_ms").alias("occurred_ms"))
 
 
-def first_slot_dedupe(slots: DataFrame, session: list[str], order: list[str], item: str = "story_id",
-                      block: Column | None = None) -> DataFrame:
+def first_slot_dedupe(slots: DataFrame, session: list[str], order: list[str], item: str = "story_id") -> DataFrame:
     """Flattened pages: an item keeps its first slot of a session; zero-based positions."""
     first = slots.groupBy(*session, item).agg(F.min(F.struct(*order)).alias("_o")).select(
         *session, item, "_o.*")
-    cut = F.lit(0) if block is None else block
-    return running_number(first, session, order, cut, "_slot").withColumn(
+    return running_number(first, session, order, None, "_slot").withColumn(
         "position", F.col("_slot") - 1).drop("_slot")
-
-

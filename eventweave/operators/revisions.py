@@ -16,11 +16,9 @@ def distinct_revisions(arrivals: DataFrame) -> DataFrame:
     return first_rows(arrivals, [*KEY, "payload_hash"], ["created_at", "raw_id"])
 
 
-def revision_chain(arrivals: DataFrame, block_seconds: int = 86_400) -> DataFrame:
+def revision_chain(arrivals: DataFrame) -> DataFrame:
     """Persisted revisions with `supersedes`, the latest earlier revision of the key."""
-    block = F.floor(F.unix_timestamp("created_at") / block_seconds)
-    chained = running_lag(distinct_revisions(arrivals), KEY, ["created_at", "raw_id"], block,
-                          ["raw_id"], "_prev")
+    chained = running_lag(distinct_revisions(arrivals), KEY, ["created_at", "raw_id"], None, ["raw_id"], "_prev")
     return chained.withColumn("supersedes", F.col("_prev.raw_id")).drop("_prev")
 
 

@@ -21,14 +21,18 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     ).select(*keys, "_r.*")
 
 
-def _with_block(df: DataFrame, block: Column) -> DataFrame:
-    return df.withColumn("_block", block)
+def _with_block(df: DataFrame, keys: list[str], order: list[str], block: Column | None) -> DataFrame:
+    """Rows with `_block`: the given one, or the partitions of a range sort by (keys, order), written
+    once, so that blocks are even however the rows of a key lie, also at one instant."""
+    if block is not None:
+        return df.withColumn("_block", block)
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()))
 
 
-def running_number(df: DataFrame, keys: list[str], order: list[str], block: Column,
+def running_number(df: DataFrame, keys: list[str], order: list[str], block: Column | None,
                    name: str) -> DataFrame:
-    """1-based row number per key; `block` must not decrease along `order`."""
-    df = _with_block(df, block)
+    """1-based row number per key; `block` must not decrease along `order`, None for range blocks."""
+    df = _with_block(df, keys, order, block)
     inner = Window.partitionBy(*keys, "_block").orderBy(*order)
     sizes = df.groupBy(*keys, "_block").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
@@ -43,10 +47,10 @@ def running_number(df: DataFrame, keys: list[str], order: list[str], block: Colu
     )
 
 
-def running_lag(df: DataFrame, keys: list[str], order: list[str], block: Column,
+def running_lag(df: DataFrame, keys: list[str], order: list[str], block: Column | None,
                 values: list[str], name: str) -> DataFrame:
-    """struct(values) of the row before, per key (NULL for the first)."""
-    df = _with_block(df, block)
+    """struct(values) of the row before, per key (NULL for the first); blocks as in `running_number`."""
+    df = _with_block(df, keys, order, block)
     inner = Window.partitionBy(*keys, "_block").orderBy(*order)
     value = F.struct(*values)
     tails = df.groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_t"))
@@ -60,13 +64,6 @@ def running_lag(df: DataFrame, keys: list[str], order: list[str], block: Column,
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """1-based row number per key over all rows. Blocks are the partitions of a range sort by
-    (keys, order), written once, so they are even however the rows of a key are spread."""
-    ranged = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    return running_number(ranged, keys, order, F.col("_part"), name).drop("_part")
-
-
 def top_rows(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     """The first n rows per key; Spark keeps n per key and task before shuffling."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -606,7 +606,7 @@ def session_reset(spark, d):
       SELECT session_id, story_id, min(seq) AS o FROM imp GROUP BY ALL)""")
 def first_slot_dedupe(spark, d):
     slots = t.impression_events(spark, d).select("session_id", "story_id", "seq")
-    return reading.first_slot_dedupe(slots, ["session_id"], ["seq"], block=F.floor(F.col("seq") / 1000)).select(
+    return reading.first_slot_dedupe(slots, ["session_id"], ["seq"]).select(
         "session_id", "story_id", "position")
 
 

@@ -4,9 +4,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from eventweave.operators import dedup
+from eventweave.operators import dedup, skew
 from eventweave.operators.components import components
 from eventweave.plans import QUERIES
 
@@ -100,6 +100,36 @@ def test_one_hot_publication(spark):
     assert got == want
 
 
+def test_one_hot_url(spark, monkeypatch):
+    """One URL under ever new external ids, some of them again, is one article: nothing is folded in order."""
+    monkeypatch.setattr(dedup, "_fold", None)
+    revisions = [revision(i, 1, ["", f"e{i}", f"e{i % 7}"][i % 3], "hot", f"f{i // 4 % 3}", minute=0 if i < 40 else i) for i in range(80)]
+    revisions += [revision(500 + i, 1, f"x{i}", f"u{i}", "copy") for i in range(30)]
+    for stored in ([], [article(1, 1, "e3", "hot", "f0")]):
+        want, _ = model(revisions, stored)
+        got, _, _ = run(spark, revisions, stored, fold_rows=10)
+        assert got == want
+
+
+def test_blocks_are_even(spark):
+    """A third of all rows at one instant of one key: range blocks stay even, numbers and lags are right."""
+    rows = spark.range(6_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), F.when(
+        F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 11).alias("t"), "id")
+    order = ["t", "id"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small blocks would be put together
+    try:
+        cut = skew._with_block(rows, ["k"], order, None)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = [r["count"] for r in cut.groupBy("_block").count().collect()]
+    assert len(blocks) >= 4 and max(blocks) <= 2 * sorted(blocks)[len(blocks) // 2]
+    w = Window.partitionBy("k").orderBy(*order)
+    want = rows.withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("id").over(w))
+    got = skew.running_lag(skew.running_number(rows, ["k"], order, None, "n"), ["k"], order, None, ["id"], "l")
+    assert sorted(got.select("k", "t", "id", "n", F.col("l.id").alias("before")).collect(), key=lambda r: r.id) == sorted(
+        want.collect(), key=lambda r: r.id)
+
+
 def test_decision_table(spark):
     stored = [article(1, 1, "e1", "u1", "f1"), article(2, 2, "", "u2", "f2"), article(3, 1, "", "u3", "f3")]
     cases = [
