@@ -63,11 +63,6 @@ def config_secret_scan(endpoints: DataFrame, config_json: str = "adapter_config"
         F.size("secret_keys") > 0)
 
 
-def domain_violations(table: DataFrame, key: str, column: str, allowed: list[str]) -> DataFrame:
-    return table.filter(F.col(column).isNotNull() & ~F.col(column).isin(allowed)).select(
-        key, F.col(column).alias("value"))
-
-
 def primary_violations(edges: DataFrame) -> DataFrame:
     """Articles with more than one primary story."""
     return unique_violations(edges, ["article_id"], "one_primary", "is_primary")

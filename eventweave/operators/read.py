@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import policy
 from ..functions.text import collapse
 from ..functions.urls import safe_link
+from .skew import top_rows
 from .synthesis import kind_order
 
 TITLE_CHARS, BYLINE_CHARS = 500, 512
@@ -131,13 +132,30 @@ def card_elements(elements: DataFrame, max_elements: int = policy.MAX_ELEMENTS)
         e["article_ids"].alias("article_ids"))).alias("elements"))
 
 
-def card_projection(stories: DataFrame, syntheses: DataFrame, elements: DataFrame) -> DataFrame:
-    """The product fields of a card; a story without a usable generation is a placeholder."""
+def topic_lists(topics: DataFrame, n: int = policy.MAX_TOPICS) -> DataFrame:
+    """(story_id, member_signature, topics array<struct<slug, label>>) by score, then slug; empty where there are more
+    than n. At most n + 1 topics of a signature are gathered."""
+    key = ["story_id", "member_signature"]
+    kept = top_rows(topics.select(*key, "slug", "label", "score"), key, [F.desc("score"), "slug"], n + 1)
+    rows = F.array_sort(F.collect_list(F.struct("rank", "slug", "label")))
+    return kept.groupBy(*key).agg(rows.alias("_t")).select(*key, F.when(F.size("_t") <= n, F.transform(
+        "_t", lambda x: F.struct(x["slug"].alias("slug"), x["label"].alias("label")))).alias("topics"))
+
+
+def card_projection(stories: DataFrame, syntheses: DataFrame, elements: DataFrame,
+                    topics: DataFrame | None = None) -> DataFrame:
+    """The product fields of a card; a story without a usable generation is a placeholder.
+
+    With `topics` (story_id, member_signature, slug, label, score) also those of the generation's own signature."""
     usable = generation_validity(syntheses, elements).filter("valid AND is_current")
     body = usable.select("story_id", "member_signature", "synthesis_id", "generated_at").join(
         card_elements(elements), "synthesis_id")
+    if topics is not None:
+        body = body.join(topic_lists(topics), ["story_id", "member_signature"], "left").withColumn(
+            "topics", F.coalesce("topics", F.array().cast("array<struct<slug:string,label:string>>")))
     ready = F.col("synthesis_id").isNotNull()
     return stories.join(body, ["story_id", "member_signature"], "left").select(
+        *([F.coalesce("topics", F.array().cast("array<struct<slug:string,label:string>>")).alias("topics")] if topics is not None else []),
         "story_id", "language", "created_at",
         F.when(~ready, "PREPARING").when(F.col("refresh_state") == "CURRENT", "CURRENT")
         .otherwise("UPDATING").alias("content_state"),

@@ -267,6 +267,16 @@ def prune_runs(spark, d):
     return revisions.prune_runs(t.runs(spark, d), "2024-02-15 00:00:00").select("run_id", "status")
 
 
+@query("unlink_pruned", f"""
+    SELECT run_id AS raw_id, CASE WHEN status = 'RUNNING' OR finished_at IS NULL
+      OR finished_at >= TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAY THEN run_id END AS run_id FROM run""")
+def unlink_pruned(spark, d):
+    """Revisions outlive their runs: the link of a pruned one goes."""
+    runs = t.runs(spark, d)
+    raw = runs.select(F.col("run_id").alias("raw_id"), "run_id")
+    return revisions.unlink_pruned(raw, revisions.prune_runs(runs, "2024-02-15 00:00:00"))
+
+
 # --- table changes -----------------------------------------------------------------
 
 
@@ -750,6 +760,16 @@ def check_violations(spark, d):
         "endpoint_active": "endpoint_id % 10 <> 0"})
 
 
+@query("primary_violations", """
+    SELECT 'one_primary' AS "constraint", article_id::VARCHAR AS key, 2 AS n FROM member WHERE article_id % 30 = 7""")
+def primary_violations(spark, d):
+    """Articles with a second primary story."""
+    edges = t.text_membership(spark, d).select("story_id", "article_id", F.lit(True).alias("is_primary"))
+    more = edges.filter("article_id % 30 IN (7, 8)").select(
+        (F.col("story_id") + 1).alias("story_id"), "article_id", (F.col("article_id") % 30 == 7).alias("is_primary"))
+    return audit.primary_violations(edges.unionByName(more))
+
+
 @query("foreign_key_orphans", """
     SELECT seq, story_id FROM imp WHERE story_id NOT IN (SELECT story_id FROM known)""")
 def foreign_key_orphans(spark, d):

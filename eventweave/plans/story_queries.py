@@ -780,6 +780,19 @@ def generation_validity(spark, d):
         "synthesis_id", "story_id", "valid", "is_current")
 
 
+@query("shown_topics", """
+    WITH topic AS (SELECT DISTINCT story_id, 't' || article_id % 12 AS slug,
+        CASE WHEN article_id % 5 = 0 OR story_id % 3 = 0 THEN 'old' ELSE 'sig' || story_id END AS member_signature FROM member),
+      mine AS (SELECT * FROM topic JOIN story USING (story_id, member_signature))
+    SELECT story_id, slug FROM mine WHERE story_id IN (SELECT story_id FROM mine GROUP BY story_id HAVING count(*) <= 9)""")
+def shown_topics(spark, d):
+    """Topics of the story's own signature, shown where there are no more than allowed."""
+    i, s = F.col("article_id"), F.col("story_id")
+    topics = t.text_membership(spark, d).select("story_id", F.concat(F.lit("t"), (i % 12).cast("string")).alias("slug"), F.when(
+        (i % 5 == 0) | (s % 3 == 0), "old").otherwise(F.concat(F.lit("sig"), s.cast("string"))).alias("member_signature")).distinct()
+    return read.shown_topics(topics, t.text_stories(spark, d), 9).select("story_id", "slug")
+
+
 _STATE_SQL = """
     state AS (SELECT story.*, good.synthesis_id AS gid, CASE WHEN status <> 'ACTIVE' THEN 'UNAVAILABLE'
         WHEN good.synthesis_id IS NULL THEN 'PREPARING' WHEN refresh_state = 'CURRENT' THEN 'CURRENT'
@@ -813,19 +826,32 @@ def story_detail(spark, d):
                              t.text_elements(spark, d))
 
 
-@query("card_projection", f"""WITH {_STATE_SQL}
+@query("card_projection", f"""WITH {_STATE_SQL},
+    topic AS (SELECT DISTINCT story_id, 't' || article_id % 11 AS slug, 'T' || article_id % 11 AS label, (article_id % 11) % 3 AS score,
+        CASE WHEN story_id % 3 = 0 AND article_id % 11 > 4 THEN 'old' ELSE 'sig' || story_id END AS member_signature FROM member),
+    tl AS (SELECT story_id, member_signature, CASE WHEN count(*) > 8 THEN '' ELSE string_agg(slug || '=' || label, ',' ORDER BY score DESC, slug) END
+      AS topics FROM topic GROUP BY ALL)
     SELECT story_id, CASE WHEN gid IS NULL THEN 'PREPARING' WHEN refresh_state = 'CURRENT' THEN 'CURRENT'
         ELSE 'UPDATING' END AS content_state,
       CASE WHEN gid IS NULL THEN 'Story being prepared' ELSE title END AS title,
-      CASE WHEN gid IS NULL THEN NULL ELSE kinds END AS kinds
+      CASE WHEN gid IS NULL THEN NULL ELSE kinds END AS kinds,
+      CASE WHEN gid IS NULL THEN '' ELSE coalesce(topics, '') END AS topics
     FROM (SELECT * FROM state) LEFT JOIN (SELECT synthesis_id, min(text) FILTER (kind = 'TITLE') AS title,
-      string_agg(kind, ',' ORDER BY ord) AS kinds FROM element GROUP BY synthesis_id) e ON e.synthesis_id = gid""")
+      string_agg(kind, ',' ORDER BY ord) AS kinds FROM element GROUP BY synthesis_id) e ON e.synthesis_id = gid
+      LEFT JOIN tl USING (story_id, member_signature)""")
 def card_projection(spark, d):
+    """Cards with elements and the topics of their generation; some stories have too many topics, or older ones."""
     el = synthesis.element_positions(t.text_elements(spark, d)).withColumn(
         "article_ids", F.array("article_id"))
-    cards = read.card_projection(t.text_stories(spark, d), _generations(spark, d), el)
+    n, s = F.col("article_id") % 11, F.col("story_id")
+    topics = t.text_membership(spark, d).select(
+        "story_id", F.concat(F.lit("t"), n.cast("string")).alias("slug"), F.concat(F.lit("T"), n.cast("string")).alias("label"),
+        (n % 3).alias("score"), F.when((s % 3 == 0) & (n > 4), "old").otherwise(
+            F.concat(F.lit("sig"), s.cast("string"))).alias("member_signature")).distinct()
+    cards = read.card_projection(t.text_stories(spark, d), _generations(spark, d), el, topics)
     return cards.select("story_id", "content_state", "title", F.array_join(
-        F.transform("elements", lambda e: e["kind"]), ",").alias("kinds"))
+        F.transform("elements", lambda e: e["kind"]), ",").alias("kinds"), F.array_join(F.transform(
+            "topics", lambda x: F.concat(x["slug"], F.lit("="), x["label"])), ",").alias("topics"))
 
 
 @query("citations", """
@@ -894,6 +920,13 @@ def pairwise_quality(spark, d):
         "precision", "recall", "false_merge_rate", "false_split_rate") else F.col(c) for c in q.columns])
 
 
+@query("stray_assignments", "SELECT vec_id AS article_id FROM embeddings WHERE label % 4 = 1")
+def stray_assignments(spark, d):
+    """Assigned articles whose event nobody stated."""
+    known = t.read(spark, d, "embeddings").filter("label % 4 <> 1").select(F.col("vec_id").alias("article_id"))
+    return quality.stray_assignments(known, t.vector_membership(spark, d))
+
+
 @query("quality_offenders", _QUALITY_SQL + """
     SELECT 'merge' AS type, a.story_id, a.e AS first_event, b.e AS second_event, a.n * b.n AS pair_count
     FROM cell a JOIN cell b ON a.story_id = b.story_id AND a.e < b.e
