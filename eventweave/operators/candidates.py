@@ -3,18 +3,20 @@
 A range predicate alone would plan as a nested-loop join. Both sides get an equi key
 (model, language, time bucket), and each bucket is cut into blocks of bounded size on
 both sides, so a hot bucket becomes many tasks. A task multiplies one article block with
-one story block and returns at most k rows per article.
+one story block and returns at most k rows per article. Stories of a bucket lie in cells around
+pivots, and the triangle inequality on angles tells which cells an article need not visit.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import policy
 from ..functions.names import anchors, shared_anchor_count
 from ..functions.text import embedding_input, language_key
+from ..session import cut_lineage
 from .skew import top_rows
 
 _BUCKET = ["model_key", "lang", "dim", "bucket"]
@@ -30,34 +32,39 @@ def member_stats(membership: DataFrame, member_times: DataFrame) -> DataFrame:
         F.max("event_time").alias("last_time"))
 
 
-def _block_topk(k: int, max_distance: float, earlier_only: bool):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"left_id": pd.Series(dtype="int64"),
-                              "right_id": pd.Series(dtype="int64"),
-                              "distance": pd.Series(dtype="float64")})
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values("id")
-        a = np.stack(left["vector"].to_list()).astype(np.float64)
-        b = np.stack(right["vector"].to_list()).astype(np.float64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cos = (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
-        dist = np.round(1.0 - cos, 12)
-        t, lid = left["t"].to_numpy()[:, None], left["id"].to_numpy()[:, None]
-        lo, hi = right["lo"].to_numpy()[None, :], right["hi"].to_numpy()[None, :]
-        ok = (lo <= t) & (t <= hi) & (dist <= max_distance)
+def _matrix(rows: pa.Table) -> np.ndarray:
+    """The vectors of `rows`, all of one length and without NULL (`usable`), one per line."""
+    values = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(rows.num_rows, -1)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+
+
+PAIR = "left_id long, right_id long, distance double"
+
+
+def _block_topk(k: int, earlier_only: bool):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["left_id", "right_id", "distance"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+        right = right.sort_by("id")
+        dist = np.round(1.0 - _cosines(_matrix(left), _matrix(right)), 12)
+        t, lid, far = (left[c].to_numpy()[:, None] for c in ("t", "id", "far"))
+        lo, hi, rid = (right[c].to_numpy()[None, :] for c in ("lo", "hi", "id"))
+        ok = (lo <= t) & (t <= hi) & (dist <= far)
         if earlier_only:
-            ok &= (lo < t) | (right["id"].to_numpy()[None, :] < lid)
-        dist = np.where(ok, dist, np.inf)
-        # columns are in id order, so a stable sort breaks ties by id
-        best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(left)), best.shape[1])
-        cols = best.ravel()
-        found = np.isfinite(dist[rows, cols])
-        rows, cols = rows[found], cols[found]
-        return pd.DataFrame({
-            "left_id": left["id"].to_numpy()[rows], "right_id": right["id"].to_numpy()[cols],
-            "distance": dist[rows, cols]})
+            ok &= (lo < t) | (rid < lid)
+        rows, cols = np.nonzero(ok)
+        # only the pairs within reach are sorted; columns are in id order, so a stable sort breaks ties by id
+        order = np.lexsort((dist[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, cols = rows[rank < k], cols[rank < k]
+        return pa.table([lid[rows, 0], rid[0, cols], dist[rows, cols]], names)
 
     return run
 
@@ -69,35 +76,166 @@ def usable(rows: DataFrame) -> DataFrame:
         "dim > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
 
 
-def blocked_topk(left: DataFrame, right: DataFrame, *, k: int, max_distance: float,
-                 bucket_us: int, earlier_only: bool = False, block_rows: int = 2048) -> DataFrame:
-    """(left_id, right_id, distance, rank): the k nearest right rows of each left row.
-
-    left(id, model_key, lang, t, vector), right(id, model_key, lang, lo, hi, vector); times
-    in microseconds; a pair needs lo <= t <= hi. A left row lies in one bucket only, so no
-    pair is met twice.
-    """
+def _bucketed(left: DataFrame, right: DataFrame, bucket_us: int) -> tuple[DataFrame, DataFrame]:
     left = usable(left).withColumn("bucket", F.floor(F.col("t") / bucket_us))
     # both sides may stem from one table; fresh names keep their columns apart
     right = usable(right.select(*[F.col(c).alias(c) for c in right.columns])).withColumn("bucket", F.explode(F.sequence(
         F.floor(F.col("lo") / bucket_us), F.floor(F.col("hi") / bucket_us))))
-    count = lambda df, name: df.groupBy(*_BUCKET).agg(
+    return left, right
+
+
+def _every(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _part(n: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+
+def _near_pairs(left: DataFrame, right: DataFrame, group: list[str], k: int, earlier_only: bool,
+                block_rows: int) -> DataFrame:
+    """At most k pairs of a left row in each block pair, within its `far`. Both sides of a group are
+    cut into blocks of about `block_rows` rows, and each block of one side meets each of the other."""
+    count = lambda df, name: df.groupBy(*group).agg(
         F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-    sizes = count(left, "nl").join(count(right, "nr"), _BUCKET)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = [*_BUCKET, "lb", "rb"]
-    lhs = left.join(sizes, _BUCKET).withColumn("lb", own("nl")).withColumn("rb", every("nr"))
-    rhs = right.join(sizes, _BUCKET).withColumn("rb", own("nr")).withColumn("lb", every("nl"))
-    pairs = (
-        lhs.select(*keys, "id", "t", "vector").groupBy(*keys)
+    sizes = count(left, "nl").join(count(right, "nr"), group)
+    keys = [*group, "lb", "rb"]
+    lhs = left.join(sizes, group).withColumn("lb", _part("nl")).withColumn("rb", _every("nr"))
+    rhs = right.join(sizes, group).withColumn("rb", _part("nr")).withColumn("lb", _every("nl"))
+    return (
+        lhs.select(*keys, "id", "t", "far", "vector").groupBy(*keys)
         .cogroup(rhs.select(*keys, "id", "lo", "hi", "vector").groupBy(*keys))
-        .applyInPandas(_block_topk(k, max_distance, earlier_only),
-                       "left_id long, right_id long, distance double")
+        .applyInArrow(_block_topk(k, earlier_only), PAIR)
     )
+
+
+def blocked_topk(left: DataFrame, right: DataFrame, *, k: int, max_distance: float,
+                 bucket_us: int, earlier_only: bool = False, block_rows: int = 2048) -> DataFrame:
+    """(left_id, right_id, distance, rank): the k nearest right rows of each left row.
+
+    left(id, model_key, lang, t, vector), right(id, model_key, lang, lo, hi, vector); times
+    in microseconds; a pair needs lo <= t <= hi. A left row lies in one bucket only, so no
+    pair is met twice. Every block of a bucket meets every other; see `pivot_topk`.
+    """
+    left, right = _bucketed(left, right, bucket_us)
+    pairs = _near_pairs(left.withColumn("far", F.lit(float(max_distance))), right, _BUCKET, k, earlier_only, block_rows)
     return top_rows(pairs, ["left_id"], ["distance", "right_id"], k)
 
 
+#: Most cells of a bucket, and room for rounding in angles (distances are rounded to 12 digits,
+#: which is 1.5e-6 in an angle near 0).
+MAX_CELLS = 256
+SLACK = 1e-5
+#: Rows that a task compares with the pivots at once.
+CHUNK_ROWS = 8192
+
+
+def _angles(rows: pa.Table, pivots: pa.Table) -> np.ndarray:
+    return np.arccos(np.clip(_cosines(_matrix(rows), _matrix(pivots)), -1.0, 1.0))
+
+
+def _to_cell(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """`rows` with the cell of the nearest pivot and the angle to it."""
+    if not rows.num_rows or not pivots.num_rows:
+        return rows.slice(0, 0).append_column("cell", pa.array([], pa.int32())).append_column("angle", pa.array([], pa.float64()))
+    pivots = pivots.sort_by("cell")
+    angles = _angles(rows, pivots)
+    nearest = np.argmin(angles, axis=1)
+    return rows.append_column("cell", pa.array(pivots["cell"].to_numpy()[nearest], pa.int32())).append_column(
+        "angle", pa.array(angles[np.arange(len(angles)), nearest]))
+
+
+def _to_cells(widest: float):
+    """`rows` with the cell of the nearest pivot (`home`) and, as `cells` and `bounds`, all cells that can
+    hold a row within the angle `widest`: a cell whose rows are between `lo` and `hi` away from its
+    pivot has no row nearer than the angle to the pivot less `hi`, or `lo` less that angle."""
+    def run(rows: pa.Table, cells: pa.Table) -> pa.Table:
+        ints, floats = pa.list_(pa.int32()), pa.list_(pa.float64())
+        if not rows.num_rows or not cells.num_rows:
+            none = rows.slice(0, 0).append_column("home", pa.array([], pa.int32()))
+            return none.append_column("cells", pa.array([], ints)).append_column("bounds", pa.array([], floats))
+        cells = cells.sort_by("cell")
+        number = cells["cell"].to_numpy()
+        angles = _angles(rows, cells)
+        bounds = np.maximum(angles - cells["hi"].to_numpy(), cells["lo"].to_numpy() - angles)
+        kept = bounds <= widest
+        ends = pa.array(np.concatenate([[0], np.cumsum(kept.sum(axis=1))]), pa.int32())
+        return rows.append_column("home", pa.array(number[np.argmin(angles, axis=1)], pa.int32())).append_column(
+            "cells", pa.ListArray.from_arrays(ends, pa.array(number[np.nonzero(kept)[1]], pa.int32()))).append_column(
+            "bounds", pa.ListArray.from_arrays(ends, pa.array(bounds[kept])))
+
+    return run
+
+
+def _beside(rows: DataFrame, pivots: DataFrame, chunk_rows: int, run, schema: str) -> DataFrame:
+    """`run` on chunks of the rows of a bucket, each beside all pivots of the bucket (MAX_CELLS at most)."""
+    sizes = rows.groupBy(*_BUCKET).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    keys = [*_BUCKET, "chunk"]
+    lhs = rows.join(sizes, _BUCKET).withColumn("chunk", _part("chunks")).drop("chunks")
+    rhs = pivots.join(sizes, _BUCKET).withColumn("chunk", _every("chunks")).drop("chunks")
+    kept = [f.name for f in rows.schema]
+    return lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInArrow(
+        lambda a, b: run(a.select(kept), b), schema)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def pivot_cells(right: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Right rows with `cell` and `angle`, and the cells (bucket, cell, vector of the pivot, lo, hi): the
+    rows of a bucket are hashed into slots of `cell_rows`, MAX_CELLS at most, the row with the smallest id of
+    a slot is a pivot, and each row goes to the cell of the nearest pivot."""
+    right = right.filter("exists(vector, x -> x <> 0)")  # a zero vector has no angle and no distance
+    sizes = right.groupBy(*_BUCKET).agg(
+        F.least(F.ceil(F.count("*") / cell_rows), F.lit(MAX_CELLS)).cast("int").alias("slots"))
+    heads = right.select(*_BUCKET, "id").join(sizes, _BUCKET).groupBy(
+        *_BUCKET, _part("slots").alias("cell")).agg(F.min("id").alias("id"))
+    pivots = cut_lineage(right.select(*_BUCKET, "id", "vector").join(heads, [*_BUCKET, "id"]).select(
+        *_BUCKET, "cell", "vector").dropDuplicates([*_BUCKET, "cell"]))
+    dealt = cut_lineage(_beside(right, pivots, CHUNK_ROWS, _to_cell, _ddl(right) + ", cell int, angle double"))
+    spans = dealt.groupBy(*_BUCKET, "cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    return dealt, pivots.join(spans, [*_BUCKET, "cell"])
+
+
+def pivot_visits(left: DataFrame, cells: DataFrame, max_distance: float) -> DataFrame:
+    """Left rows with `home`, `cells` and `bounds` (`_to_cells`)."""
+    widest = float(np.arccos(np.clip(1.0 - max_distance, -1.0, 1.0))) + SLACK
+    return _beside(left.filter("exists(vector, x -> x <> 0)"), cells, CHUNK_ROWS, _to_cells(widest),
+                   _ddl(left) + ", home int, cells array<int>, bounds array<double>")
+
+
+def still_open(visits: DataFrame, first: DataFrame, k: int, max_distance: float) -> DataFrame:
+    """One row per left row and cell beyond its home that can hold a nearer row than the k-th found at home."""
+    kth = first.groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("found"), F.max("distance").alias("kth"))
+    far = F.when(F.col("found") >= k, F.col("kth")).otherwise(F.lit(float(max_distance)))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1.0 - F.col("far")))) + SLACK
+    return (
+        visits.join(kth, "id", "left").withColumn("far", far).withColumn("within", angle)
+        .withColumn("visit", F.explode(F.arrays_zip("cells", "bounds")))
+        .filter("visit.cells <> home AND visit.bounds <= within")
+        .select(*_BUCKET, F.col("visit.cells").alias("cell"), "id", "t", "far", "vector"))
+
+
+def pivot_topk(left: DataFrame, right: DataFrame, *, k: int, max_distance: float, bucket_us: int,
+               block_rows: int = 2048, cell_rows: int | None = None) -> DataFrame:
+    """The rows of `blocked_topk`, with a pivot index in each bucket that skips cells exactly.
+
+    Angles obey the triangle inequality, so an article need not visit a cell whose nearest possible row is
+    farther than `max_distance` or than the k-th story found in the article's own cell. Rows of a vector
+    without length (all zeros) pair with nothing. Cells above `block_rows` are cut into blocks.
+    """
+    left, right = _bucketed(left, right, bucket_us)
+    right, cells = pivot_cells(right, cell_rows or block_rows)
+    visits = cut_lineage(pivot_visits(left, cells, max_distance))
+    group = [*_BUCKET, "cell"]
+    home = visits.select(*_BUCKET, F.col("home").alias("cell"), "id", "t", F.lit(float(max_distance)).alias("far"), "vector")
+    first = cut_lineage(top_rows(_near_pairs(home, right, group, k, False, block_rows),
+                                 ["left_id"], ["distance", "right_id"], k).drop("rank"))
+    more = _near_pairs(still_open(visits, first, k, max_distance), right, group, k, False, block_rows)
+    return top_rows(first.unionByName(more), ["left_id"], ["distance", "right_id"], k)
+
+
 def _targets(article_emb: DataFrame, articles: DataFrame) -> DataFrame:
     return article_emb.select("article_id", "model_key", "vector").join(
         articles.select("article_id", "language", "event_time"), "article_id"
@@ -110,9 +248,13 @@ def story_candidates(article_emb: DataFrame, articles: DataFrame, story_emb: Dat
                      k: int = policy.CANDIDATE_LIMIT,
                      max_distance: float = policy.CANDIDATE_DISTANCE,
                      window_hours: float = policy.CANDIDATE_WINDOW_HOURS,
-                     block_rows: int = 2048) -> DataFrame:
+                     block_rows: int = 2048, indexed: bool = False) -> DataFrame:
     """The k nearest ACTIVE stories of the same model and language whose member time range
-    overlaps the window around the article, nearest first, ties by story id."""
+    overlaps the window around the article, nearest first, ties by story id.
+
+    Searched by `pivot_topk` if `indexed`, else by `blocked_topk`; the rows are the same. The index writes its
+    cells first and pays only where vectors lie in clusters that few cells cover.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     window = int(window_hours * HOUR_US)
@@ -125,8 +267,9 @@ def story_candidates(article_emb: DataFrame, articles: DataFrame, story_emb: Dat
         F.col("story_id").alias("id"), "model_key", language_key("language").alias("lang"),
         (F.unix_micros("first_time") - window).alias("lo"),
         (F.unix_micros("last_time") + window).alias("hi"), "vector")
-    near = blocked_topk(_targets(article_emb, articles), right, k=k, max_distance=max_distance,
-                        bucket_us=window, block_rows=block_rows)
+    targets = _targets(article_emb, articles)
+    search = pivot_topk if indexed else blocked_topk
+    near = search(targets, right, k=k, max_distance=max_distance, bucket_us=window, block_rows=block_rows)
     facts = side.select("story_id", "member_count", "first_time", "last_time", "language", "status").distinct()
     return near.select(F.col("left_id").alias("article_id"), F.col("right_id").alias("story_id"),
                        "distance", "rank").join(facts, "story_id")
@@ -196,4 +339,4 @@ def member_evidence(candidates: DataFrame, membership: DataFrame, member_times:
 
 
 __all__ = ["article_anchors", "blocked_topk", "cosine_distance", "member_evidence",
-           "member_stats", "missing_embedding", "recent_members", "story_candidates"]
+           "member_stats", "missing_embedding", "pivot_topk", "recent_members", "story_candidates"]

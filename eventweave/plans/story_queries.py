@@ -195,7 +195,7 @@ def story_candidates(spark, d):
     SELECT article_id, count(*) AS found, round(min(distance), 6) AS nearest, max(rank) AS last_rank
     FROM cand WHERE rank <= 3 GROUP BY article_id""")
 def candidate_topk(spark, d):
-    return _candidates(spark, d, k=3).groupBy("article_id").agg(
+    return _candidates(spark, d, k=3, indexed=True, block_rows=256).groupBy("article_id").agg(
         F.count("*").alias("found"), F.round(F.min("distance"), 6).alias("nearest"),
         F.max("rank").cast("long").alias("last_rank"))
 

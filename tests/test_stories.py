@@ -43,6 +43,47 @@ def test_blocked_topk(spark):
     assert got == want
 
 
+def vectors(spark, n, dims, seed):
+    """n stories of n / 20 events, all at one time."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(max(1, n // 20), dims))
+    rows = centre[rng.integers(0, len(centre), n)] + 0.15 * rng.normal(size=(n, dims))
+    return spark.createDataFrame([(i, KEY, "en", 0, 0, 0, v.tolist()) for i, v in enumerate(rows)],
+                                 "id long, model_key string, lang string, t long, lo long, hi long, vector array<double>")
+
+
+@pytest.mark.parametrize("k,max_distance,dims", [(3, 0.5, 16), (40, 2.0, 3)])
+def test_pivot_topk_is_exact(spark, k, max_distance, dims):
+    rows = vectors(spark, 300, dims, 1)
+    odd = spark.createDataFrame(
+        [(1000, KEY, "en", 0, 0, 0, [0.0] * dims), (1001, KEY, "en", 0, 0, 0, [1.0] * dims), (1002, KEY, "en", 0, 0, 0, [1.0] * dims),
+         (1003, KEY, "en", 0, 0, 0, [2.0] * dims), (1004, KEY, "en", 0, 5, 9, [1.0] * dims), (1005, KEY, "xx", 0, 0, 0, [1.0] * dims),
+         (1006, KEY, "en", 0, 0, 0, []), (1007, KEY, "en", 0, 0, 0, None), (1008, KEY, "en", 0, 0, 0, [-1.0] * dims)], rows.schema)
+    rows = rows.unionByName(odd)
+    how = {"k": k, "max_distance": max_distance, "bucket_us": 100}
+    want = {tuple(r) for r in cd.blocked_topk(rows, rows, **how).collect()}
+    assert {tuple(r) for r in cd.pivot_topk(rows, rows, block_rows=16, **how).collect()} == want
+    assert len(want) > 300
+    assert cd.pivot_topk(rows, rows.limit(0), **how).isEmpty()
+
+
+def test_pivot_index_compares_less_than_the_square(spark):
+    def compared(n):
+        left, right = cd._bucketed(vectors(spark, n, 8, 2), vectors(spark, n, 8, 2), 100)
+        dealt, cells = cd.pivot_cells(right, 16)
+        visits = cd.pivot_visits(left, cells, 0.5)
+        group = [*cd._BUCKET, "cell"]
+        home = visits.withColumnRenamed("home", "cell").withColumn("far", F.lit(0.5))
+        first = cd.top_rows(cd._near_pairs(home, dealt, group, 3, False, 64), ["left_id"], ["distance", "right_id"], 3)
+        sizes = dealt.groupBy(*group).count()
+        asked = home.select(*group).unionByName(cd.still_open(visits, first, 3, 0.5).select(*group))
+        return asked.join(sizes, group).agg(F.sum("count")).first()[0]
+
+    small, large = compared(500), compared(2000)
+    assert large < 0.25 * 2000 ** 2
+    assert large < 10 * small  # 16 times as many pairs
+
+
 def world(spark, articles):
     """articles: (id, angle, hours, text)"""
     arts = spark.createDataFrame(
