@@ -12,6 +12,10 @@ starting at offset 0 of each file, pointer jumping marks the records that the ch
 as many in each round; the rest is dropped. A chain that ends neither at a candidate nor at the
 end of its file is an error.
 
+A header is read once however many magic strings stand in it, so a payload of magic strings costs time in
+proportion to its length; records nested in payloads are hashed once per nested header. Files of gzip
+members are read too (offsets are those of the unpacked bytes).
+
 Files hold at most `records_per_file` records and must stay below 2 GB, since a file is read as
 one value. Defined cases: a null payload is empty; an empty payload is a payload (empty ones revisit
 the first if `min_bytes` is 0); line breaks in URLs are percent-encoded and a null URL is empty;
@@ -23,7 +27,9 @@ columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 
 import pyarrow as pa
@@ -105,36 +111,67 @@ def _page(value: bytes | None) -> int | None:
     return int(found[1]) if found else None
 
 
+class _Header:
+    """The lines from `at` to the next blank line, read once for all magic strings among them."""
+
+    def __init__(self, content: bytes, at: int):
+        self.end = content.find(b"\r\n\r\n", at)
+        self.last = {}  # name -> (place, value) of its last line
+        if self.end >= 0:
+            self.last = {m[1]: (m.start(), m[2].rstrip(b"\r")) for m in _FIELD.finditer(content, at, self.end + 2)}
+        self.body = None
+
+    def field(self, name: bytes, at: int) -> bytes:
+        place, value = self.last.get(name, (-1, b""))
+        return value if place >= at else b""
+
+    def payload(self, content: bytes, stop: int) -> tuple[int, str, int]:
+        """Bytes and SHA-1 of the payload, and the length that the HTTP header states. All candidates of one
+        header that have a Content-Length have the same one, so this is asked for one `stop` only."""
+        if self.body is None:
+            begin = self.end + 4
+            blank = content.find(b"\r\n\r\n", begin, stop)
+            said = re.search(rb"\r\nContent-Length: (\d+)\r\n", content[begin:blank + 2]) if blank >= 0 else None
+            part = memoryview(content)[blank + 4 if blank >= 0 else begin:stop]
+            self.body = len(part), base64.b32encode(hashlib.sha1(part).digest()).decode(), int(said[1]) if said else 0
+        return self.body
+
+
 def candidates_of(content: bytes) -> list[tuple]:
     """(at, next, page_id, payload_bytes, digest, type, refers_to) at each magic string."""
     out = []
+    header = None
     at = content.find(MAGIC)
     while at >= 0:
-        end = content.find(b"\r\n\r\n", at)
-        fields = {k: v.rstrip(b"\r") for k, v in _FIELD.findall(content[at:end + 2])} if end >= 0 else {}
-        size = fields.get(b"Content-Length", b"")
-        if size.isdigit():
-            begin, stop = end + 4, end + 4 + int(size)
-            if content[stop:stop + 4] == b"\r\n\r\n":
-                kind = fields.get(b"WARC-Type", b"").decode("utf-8", "replace")
-                body = content.find(b"\r\n\r\n", begin, stop)
-                payload = content[body + 4:stop] if body >= 0 else content[begin:stop]
-                said = re.search(rb"\r\nContent-Length: (\d+)\r\n", content[begin:body + 2]) if body >= 0 else None
-                if kind == "revisit":
-                    length = int(said[1]) if said else 0
-                    digest = fields.get(b"WARC-Payload-Digest", b"").removeprefix(b"sha1:").decode("utf-8", "replace")
-                else:
-                    length, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                out.append((at, stop + 4, _page(fields.get(b"WARC-Record-ID")), length, digest, kind,
-                            _page(fields.get(b"WARC-Refers-To"))))
+        if header is None or at > header.end:
+            header = _Header(content, at)
+            if header.end < 0:
+                break
+        size = header.field(b"Content-Length", at)
+        digits = size.lstrip(b"0")
+        # no length within a file has 19 digits
+        stop = header.end + 4 + int(digits or b"0") if size.isdigit() and len(digits) < 19 else len(content)
+        if content[stop:stop + 4] == b"\r\n\r\n":
+            kind = header.field(b"WARC-Type", at).decode("utf-8", "replace")
+            length, digest, said = header.payload(content, stop)
+            if kind == "revisit":
+                length = said
+                digest = header.field(b"WARC-Payload-Digest", at).removeprefix(b"sha1:").decode("utf-8", "replace")
+            out.append((at, stop + 4, _page(header.field(b"WARC-Record-ID", at)), length, digest, kind,
+                        _page(header.field(b"WARC-Refers-To", at))))
         at = content.find(MAGIC, at + 1)
     return out
 
 
+def plain(data: bytes) -> bytes:
+    """The bytes of an archive; a chain of gzip members (one per record or any other cut) is unpacked."""
+    return gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
+
+
 def _emit(batches):
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            data = content.as_py()
+            data = plain(content.as_py())
             found = candidates_of(data)
             cols = list(zip(*found)) if found else [[]] * 7
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]

@@ -1,9 +1,11 @@
 """Decontamination, mixing, chat formatting, WARC, URL filters, token counts and language ID."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -271,6 +273,69 @@ def test_ppm_sample_counts_only_ids_that_can_be_picked(spark):
     assert ppm.sampled(often, "doc_id", "text", "lang", F.lit(True)).count() == 10_000
 
 
+def slow_candidates(content):
+    """Each magic string on its own: header to the next blank line, last line of a name wins."""
+    out, at = [], content.find(warc.MAGIC)
+    while at >= 0:
+        end = content.find(b"\r\n\r\n", at)
+        head = content[at:end + 2] if end >= 0 else b""
+        fields = {k: v.rstrip(b"\r") for k, v in re.findall(rb"^([A-Za-z-]+): (.*)$", head, re.M)}
+        size = fields.get(b"Content-Length", b"")
+        if size.isdigit() and content[end + 4 + int(size):end + 8 + int(size)] == b"\r\n\r\n":
+            block = content[end + 4:end + 4 + int(size)]
+            http, blank, body = block.partition(b"\r\n\r\n")
+            payload = body if blank else block
+            said = re.search(rb"\r\nContent-Length: (\d+)\r\n", http + b"\r\n") if blank else None
+            kind = fields.get(b"WARC-Type", b"").decode()
+            n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if kind == "revisit":
+                n = int(said[1]) if said else 0
+                digest = fields.get(b"WARC-Payload-Digest", b"").removeprefix(b"sha1:").decode()
+            ids = [re.fullmatch(rb"<urn:x-page:(-?\d+)>", fields.get(f, b"")) for f in (b"WARC-Record-ID", b"WARC-Refers-To")]
+            out.append((at, end + 8 + int(size), ids[0] and int(ids[0][1]), n, digest, kind, ids[1] and int(ids[1][1])))
+        at = content.find(warc.MAGIC, at + 1)
+    return out
+
+
+def test_warc_candidates_in_odd_bytes():
+    rng = random.Random(5)
+    parts = [b"WARC/1.1\r\n", b"\r\n", b"\r\n\r\n", b"WARC-Type: response\r\n", b"WARC-Type: revisit\r\n", b"x: WARC/1.1\r\n",
+             b"WARC-Record-ID: <urn:x-page:4>\r\n", b"WARC-Refers-To: <urn:x-page:-2>\r\n", b"abc", b"\n",
+             b"Content-Length: 3\r\n\r\nabc\r\n\r\n", b"Content-Length: 10\r\n\r\nWARC/1.1\r\n\r\n\r\n",
+             b"Content-Length: 26\r\n\r\nx\r\nContent-Length: 6\r\n\r\nWARC\r\n\r\n",
+             b"WARC-Payload-Digest: sha1:QQ\r\n", *[b"Content-Length: %d\r\n" % n for n in (0, 3, 4, 7, 10, 21, 33)]]
+    found = 0
+    for _ in range(4000):
+        content = b"".join(rng.choice(parts) for _ in range(rng.randrange(60)))
+        want = slow_candidates(content)
+        assert warc.candidates_of(content) == want
+        found += len(want)
+    assert found > 1000
+    began = time.time()
+    assert warc.candidates_of(warc.MAGIC * 1_000_000) == []
+    assert warc.candidates_of(warc.MAGIC * 1_000_000 + b"Content-Length: 9\r\n\r\n") == []
+    assert warc.candidates_of(b"Content-Length: " + b"9" * 5_000_000 + b"\r\n\r\n") == []
+    assert warc.candidates_of(warc.MAGIC + b"Content-Length: " + b"9" * 5_000_000 + b"\r\n\r\n") == []
+    many = warc.candidates_of(warc.MAGIC * 300_000 + b"Content-Length: 9\r\n\r\n123456789\r\n\r\n")
+    assert len(many) == 300_000 and {c[3] for c in many} == {9}
+    assert time.time() - began < 30
+
+
+def test_warc_of_gzip_members(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", "same" if k % 3 == 0 else f"body {k} WARC/1.1\r\n") for k in range(30)],
+                                  "page_id long, url string, html string")
+    folder, packed = tmp_path / "plain", tmp_path / "packed"
+    warc.write(pages, str(folder), records_per_file=7)
+    packed.mkdir()
+    for n, file in enumerate(sorted(folder.glob("*.txt"))):
+        data = file.read_bytes()
+        cuts = [0, *[c[1] for c in warc.candidates_of(data)]]
+        assert cuts[-1] == len(data)
+        (packed / f"{n}.warc.gz").write_bytes(b"".join(gzip.compress(data[a:b]) for a, b in zip(cuts, cuts[1:])))
+    want = sorted(map(tuple, warc.read(spark, str(folder)).collect()), key=str)
+    assert sorted(map(tuple, warc.read(spark, str(packed)).collect()), key=str) == want and len(want) == 30
+
+
 def test_warc_broken_chain_is_an_error(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nrubbish")
     with pytest.raises(ValueError):
