@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventweave.operators import candidates as cd
 from eventweave.operators import embed, enrich, match, quality, read, refresh, synthesis
+from eventweave.session import cut_lineage
 
 
 T0 = datetime(2024, 1, 1)
@@ -121,6 +122,20 @@ def test_match_rounds(spark):
     assert text[3].startswith("joined Story 1 by secondary") and "NO_SHARED_ANCHOR" in text[4]
 
 
+def size_estimate(df):
+    """What Spark takes `df` to be, as text: sizes beyond all bounds have an exponent."""
+    return df._jdf.queryExecution().optimizedPlan().stats().simpleString()
+
+
+def test_checkpoints_of_a_loop_keep_a_bounded_size_estimate(spark):
+    rows = spark.createDataFrame([(i, float(i)) for i in range(5)], "id long, x double")
+    for _ in range(12):
+        rows = cut_lineage(rows.join(rows.select("id", F.col("x").alias("y")), "id").select("id", F.greatest("x", "y").alias("x")))
+        assert "E+" not in size_estimate(rows)
+    assert sorted(tuple(r) for r in rows.collect()) == [(i, float(i)) for i in range(5)]
+    assert rows.columns == ["id", "x"]
+
+
 def test_keep_current_story(spark):
     """A stale edge stays where the rule alone still accepts it, though another is nearer."""
     rows = [(1, 0.0, 0, ""), (2, at_distance(0.15), 0, ""), (3, at_distance(0.02), 1, ""), (4, 0.0, 0, "")]
