@@ -151,6 +151,17 @@ def test_keep_current_story(spark):
     assert free.story_id == 20
 
 
+def test_matching_again_keeps_a_bounded_size_estimate(spark):
+    rows = [(i, at_distance(0.05 * i), i, "") for i in range(6)]
+    arts, emb = world(spark, rows)
+    stories = spark.createDataFrame([(10, "ACTIVE", "en"), (20, "ACTIVE", "en")], "story_id long, status string, language string")
+    members = spark.createDataFrame([(10 + 10 * (i % 2), i) for i in range(6)], "story_id long, article_id long")
+    done = match.reprocess_articles(members.filter("article_id < 4"), arts, emb, stories, embed.story_vector(members, emb),
+                                    members, arts, arts, model_key=KEY)
+    assert "E+" not in size_estimate(done.edges)
+    assert sorted(r.article_id for r in done.edges.collect()) == [0, 1, 2, 3]
+
+
 def test_story_vector_and_withdrawal(spark):
     _, emb = world(spark, [(1, 0.0, 0, ""), (2, 1.0, 0, ""), (3, 0.0, 0, ""), (4, float(np.pi), 0, "")])
     members = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4), (3, 9)], "story_id long, article_id long")
