@@ -24,12 +24,13 @@ def normalize_articles(items: DataFrame, sources: DataFrame | None = None, *,
             "source_id", "left")
     else:
         items = items.withColumn("_default", F.lit(""))
-    parsed = (
-        items.withColumn("_title", tx.clean_text("title"))
-        .withColumn("description", tx.html_text("summary_html"))
-        .withColumn("body_text", tx.html_text("content_html"))
-        .withColumn("canonical_url", canonical_url("url"))
-    )
+    # A filter on plain columns would be pushed below them, and the parsers would run there and once more above.
+    # None passes a generator, so each of the two results parses an item once.
+    read = F.struct(
+        tx.clean_text("title").alias("_title"), tx.html_text("summary_html").alias("description"),
+        tx.html_text("content_html").alias("body_text"), canonical_url("url").alias("canonical_url"))
+    parsed = items.withColumn("_read", F.explode_outer(F.array(read))).select(
+        *[c for c in items.columns if c not in {"_title", "description", "body_text", "canonical_url"}], "_read.*")
     empty = (F.col("_title") == "") & (F.col("description") == "") & (F.col("body_text") == "")
     parsed = parsed.withColumn(
         "reject_reason",

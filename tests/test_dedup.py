@@ -167,6 +167,14 @@ def test_normalize_rejects(spark):
     assert good.filter(F.col("content_fingerprint").isNull()).isEmpty()
 
 
+def test_normalize_parses_an_item_once_for_each_result(spark):
+    items = spark.createDataFrame([(1, "T", "", "<p>b</p>", "http://a.example/", "", "")], "n int, title string, summary_html string, "
+                                  "content_html string, url string, external_id string, language string")
+    for part in dedup.normalize_articles(items):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert sum("_html_udf" in line.split("], [")[0] for line in plan.splitlines() if "ArrowEvalPython [" in line) == 1
+
+
 def test_normalize_query_takes_every_body_within_the_rule(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.item_id: r for r in QUERIES["normalize_articles"](spark, sf).collect()}
