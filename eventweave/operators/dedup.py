@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import policy
 from ..functions import text as tx
 from ..functions.urls import canonical_url
-from ..session import cut_lineage
+from ..session import bound_batches, cut_lineage
 from .components import components
 from .skew import running_lag, top_rows
 
@@ -17,6 +17,7 @@ def normalize_articles(items: DataFrame, sources: DataFrame | None = None, *,
                        max_body: int = policy.MAX_BODY_CHARS) -> tuple[DataFrame, DataFrame]:
     """(articles, rejects). Items carry title, summary_html, content_html, url, external_id,
     language and optionally authors and published_at (ISO text); other columns pass through."""
+    bound_batches(items.sparkSession)
     have = set(items.columns)
     if sources is not None:
         items = items.join(

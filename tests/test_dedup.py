@@ -175,6 +175,16 @@ def test_normalize_parses_an_item_once_for_each_result(spark):
         assert sum("_html_udf" in line.split("], [")[0] for line in plan.splitlines() if "ArrowEvalPython [" in line) == 1
 
 
+def test_normalize_sends_bounded_batches_to_python(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    page = spark.range(1).select(F.lit("T").alias("title"), F.lit("").alias("summary_html"), F.lit("").alias("content_html"),
+                                 F.lit("u").alias("url"), F.lit("").alias("external_id"), F.lit("").alias("language"))
+    dedup.normalize_articles(page)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+    sizes = texts.mapInPandas(lambda frames: (f[["t"]].head(1).assign(t=f["t"].map(len).sum()) for f in frames), "t long").collect()
+    assert sum(r.t for r in sizes) == 30_000_000 and max(r.t for r in sizes) <= 9_000_000
+
+
 def test_normalize_query_takes_every_body_within_the_rule(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.item_id: r for r in QUERIES["normalize_articles"](spark, sf).collect()}
