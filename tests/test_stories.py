@@ -315,3 +315,13 @@ def test_quality(spark, assigned):
         assert (q.precision, q.false_merge_rate) == (1.0, 0.0)
 
 
+def test_extractor_gets_bounded_slices(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 3000, 1, 1).select((F.col("id") % 3).alias("story_id"), F.col("id").alias("article_id"),
+                                              F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def told(members):
+        return members[["story_id", "article_id"]].assign(label=str(members["text"].map(len).sum()))
+
+    rows = enrich.extract_with(texts, told, "label string", 8).collect()
+    assert rows and max(int(r.label) for r in rows) <= 9_000_000
