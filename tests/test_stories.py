@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 
+from eventweave.functions import words
 from eventweave.operators import candidates as cd
 from eventweave.operators import embed, enrich, match, quality, read, refresh, synthesis
 from eventweave.session import cut_lineage
@@ -325,3 +326,18 @@ def test_extractor_gets_bounded_slices(spark):
 
     rows = enrich.extract_with(texts, told, "label string", 8).collect()
     assert rows and max(int(r.label) for r in rows) <= 9_000_000
+
+
+def test_topic_words_of_all_scripts_without_the_name_rules(spark):
+    """Words are as the name rules leave them, but whole texts do not pass through those (a sign at a time)."""
+    from eventweave.functions.text import normalize_name
+
+    said = ["straße «market» don't…stop", "ＦＵＬＬ width ﬁnance Ⅻ text", "harbour—bridge\u2009toll ÀLAmode", "Ελλάδα river´s", ""]
+    texts = spark.createDataFrame([(1, i, s) for i, s in enumerate(said)], "story_id long, article_id long, text string")
+    found = spark.createDataFrame([], "story_id long, article_id long, kind string, key string, name string, n long")
+    got = enrich.topic_words(texts, found)
+    assert "translate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    old = texts.select("article_id", F.explode(F.regexp_extract_all(normalize_name("text"), F.lit("[a-z]{4,}"), 0)).alias("word"))
+    stop = set(words.TOPIC_STOPWORDS)
+    assert {(r.article_id, r.word) for r in got.collect()} == {tuple(r) for r in old.collect() if r.word not in stop}
+    assert {"strasse", "full", "finance", "harbour"} <= {r.word for r in got.collect()}

@@ -243,3 +243,12 @@ def test_iso_basic_times(spark):
     for raw in ("20240102T030405Z", "20240102T0304Z", "20240102T030405.5+0200", "2024-01-02T030405Z"):
         assert one(spark, raw, text.parse_zoned("v")).c0 is not None, raw
     assert one(spark, "20240102", text.parse_zoned("v")).c0 is None
+
+
+def test_unusual_characters_are_all_but_the_plain_ones(spark):
+    from eventweave.functions import text as tx
+
+    points = [*range(1, 0xD800), *range(0xE000, 0x10000, 7), 0x1D400, 0x1F600, 0x10FFFF]
+    rows = spark.createDataFrame([(i, f"a{chr(i)}b") for i in points], "i int, s string")
+    differ = rows.filter(tx._unusual(F.col("s")) != F.col("s").rlike(f"[^{tx.PLAIN}]"))
+    assert differ.isEmpty() and rows.filter(tx._unusual(F.col("s"))).count() > 50_000
