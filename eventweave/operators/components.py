@@ -14,7 +14,7 @@ from ..session import cut_lineage
 
 def components(links: DataFrame) -> DataFrame:
     """links(node, key) -> (node, component); the component is its smallest node."""
-    links = links.select("node", "key").distinct()
+    links = cut_lineage(links.select("node", "key").distinct())  # read twice in every round
     labels = cut_lineage(links.groupBy("node").agg(F.min("node").alias("component")))
     while True:  # every round lowers a label or is the last
         per_key = links.join(labels, "node").groupBy("key").agg(F.min("component").alias("k"))

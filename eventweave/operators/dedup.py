@@ -241,7 +241,8 @@ def identity_outcomes(pending: DataFrame, articles: DataFrame, *, fold_rows: int
     sequential step. The rest is folded per connected component, at most `fold_rows`
     revisions of a component at a time, so no task grows with a component.
     """
-    rows, state = pending.select(*_ROW), articles.select(*_STATE)
+    # short columns of whole texts, used many times below, written once
+    rows, state = cut_lineage(pending.select(*_ROW)), cut_lineage(articles.select(*_STATE))
     row_keys = _keys(rows, F.struct(F.lit("r").alias("t"), F.col("raw_id").alias("id")))
     art_keys = _keys(state, F.struct(F.lit("a").alias("t"), F.col("article_id").alias("id")))
     touched = art_keys.join(row_keys.select("key").distinct(), "key", "left_semi").select("node").distinct()

@@ -190,3 +190,16 @@ def test_normalize_query_takes_every_body_within_the_rule(spark):
     got = {r.item_id: r for r in QUERIES["normalize_articles"](spark, sf).collect()}
     assert max(r.body_chars or 0 for r in got.values()) > 5_000
     assert {i for i, r in got.items() if r.reject_reason == "BODY_TOO_LARGE"} == {i for i in got if i % 1000 == 7}
+
+
+def test_components_read_their_links_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for row in rows:
+            read.add(1)
+            yield row
+
+    links = spark.createDataFrame([(i, f"k{i // 2}") for i in range(10)], "node long, key string")
+    links = spark.createDataFrame(links.rdd.mapPartitions(counted), links.schema)
+    assert components(links).count() == 10 and read.value == 10
