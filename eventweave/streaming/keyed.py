@@ -22,13 +22,6 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
-def _set_timer(handle, at: int) -> None:
-    """The key's only timer."""
-    for timer in handle.listTimers():
-        handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-    handle.registerTimer(at)
-
-
 class FirstPayloads(StatefulProcessor):
     """Rows of a publication whose payload hash is new to it: the first by (created_at, raw_id)."""
 
@@ -148,11 +141,43 @@ class Runs:
         return min((since for since, _ in self.runs.values()), default=None)
 
 
+class Session:
+    """The runs of one session, its clock and the time (`at`) when it is to be looked at again."""
+
+    def __init__(self, dwell_ms: int, idle_ms: int, saved: str | None = None, clock: int = 0):
+        self.idle_ms, self.runs, self.clock = idle_ms, Runs(dwell_ms, saved), clock
+        self.at = self._wait() if saved else None
+
+    def _wait(self) -> int:
+        """On the clock, a run is due as long after the last report as its dwell time lasts from there."""
+        first = self.runs.next_due()
+        rest = self.idle_ms if first is None else min(self.idle_ms, first + self.runs.dwell_ms - self.runs.last)
+        return self.clock + rest
+
+    def report(self, t_ms: int, clock_ms: int, stories, positions) -> list[tuple[int, int, int]]:
+        self.clock = max(self.clock, clock_ms)
+        return self.runs.report(t_ms, stories, positions)
+
+    def settle(self) -> None:
+        self.at = self._wait()
+
+    def expire(self, until_ms: int) -> list[tuple[int, int, int]]:
+        """What is due by the clock time `until_ms`; `at` is None when the session is to be forgotten."""
+        found = []
+        while self.at is not None and self.at <= until_ms:
+            passed = self.at - self.clock
+            found += self.runs.due(self.runs.last + passed)
+            self.at = None if passed >= self.idle_ms else self._wait()
+        return found
+
+
 class Exposures(StatefulProcessor):
-    """Qualified exposures of one session, once per card.
+    """Qualified exposures of one reader, once per session and card.
 
-    Its timer comes when the earliest open run reaches the dwell time without another report, and at
-    the end after `idle_ms` without reports, when the session is forgotten. Rows carry t_ms, seq, the
+    A reader has one state row with the sessions that are not forgotten yet, and one timer for the first of
+    them: a session mostly has a few reports, and calls of the state store for each cost more than its work.
+    A session's time comes when its earliest open run reaches the dwell time without another report, and at
+    the end after `idle_ms` without reports, when it is forgotten. Rows carry session_id, t_ms, seq, the
     eligible cards as stories and positions, and clock_ms.
     """
 
@@ -161,40 +186,57 @@ class Exposures(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", "runs string, clock_ms bigint")
+        self.state = handle.getValueState("reader", "sessions string, timer bigint")
 
-    def _rows(self, key, found) -> pd.DataFrame:
-        return pd.DataFrame([(*key, story, position, at) for story, position, at in found],
-                            columns=["user_id", "session_id", "story_id", "position", "occurred_ms"])
+    def _load(self) -> tuple[dict[str | None, Session], int | None]:
+        held = self.state.get() if self.state.exists() else None
+        if held is None:
+            return {}, None
+        return {name: Session(self.dwell_ms, self.idle_ms, runs, clock) for name, runs, clock in json.loads(held[0])}, held[1]
+
+    def _save(self, sessions: dict[str | None, Session], timer: int | None) -> None:
+        """Keep the sessions; `timer` is the one that is set now."""
+        first = min((s.at for s in sessions.values()), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if sessions:
+            self.state.update((json.dumps([(name, s.runs.saved(), s.clock) for name, s in sessions.items()]), first))
+        else:
+            self.state.clear()
 
-    def _wait(self, runs: Runs, clock_ms: int) -> None:
-        """On the clock, a run is due as long after the last report as its dwell time lasts from there."""
-        first = runs.next_due()
-        rest = self.idle_ms if first is None else min(self.idle_ms, first + self.dwell_ms - runs.last)
-        _set_timer(self.handle, clock_ms + rest)
+    def _rows(self, key, found) -> Iterator[pd.DataFrame]:
+        if found:
+            yield pd.DataFrame([(*key, session, story, position, at) for session, cards in found for story, position, at in cards],
+                               columns=["user_id", "session_id", "story_id", "position", "occurred_ms"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        runs, out, clock = Runs(self.dwell_ms, held and held[0]), [], held[1] if held else 0
-        for row in _ordered(rows, ["t_ms", "seq"]).itertuples(index=False):
-            out += runs.report(int(row.t_ms), row.stories, row.positions)
-            clock = max(clock, int(row.clock_ms))
-        self.state.update((runs.saved(), clock))
-        self._wait(runs, clock)
-        if out:
-            yield self._rows(key, out)
+        sessions, timer = self._load()
+        out, met = [], {}
+        names = ["session_id", "t_ms", "seq", "clock_ms", "stories", "positions"]
+        batch = [row for part in rows for row in zip(*(part[name].tolist() for name in names))]
+        for name, t_ms, _, clock_ms, stories, positions in sorted(batch, key=lambda row: row[1:3]):
+            name = name if isinstance(name, str) else None
+            if name not in sessions:
+                sessions[name] = Session(self.dwell_ms, self.idle_ms)
+            met[name] = sessions[name]
+            cards = met[name].report(int(t_ms), int(clock_ms), stories, positions)
+            if cards:
+                out.append((name, cards))
+        for session in met.values():
+            session.settle()
+        self._save(sessions, timer)
+        yield from self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        saved, clock = self.state.get()
-        runs, passed = Runs(self.dwell_ms, saved), expiredTimerInfo.getExpiryTimeInMs() - clock
-        found = runs.due(runs.last + passed)
-        if passed >= self.idle_ms:
-            self.state.clear()
-        else:
-            self.state.update((runs.saved(), clock))
-            self._wait(runs, clock)
-        if found:
-            yield self._rows(key, found)
+        """All sessions whose time has come by the watermark."""
+        sessions, _ = self._load()
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        found = [(name, session.expire(until)) for name, session in sessions.items()]
+        self._save({name: session for name, session in sessions.items() if session.at is not None}, None)
+        yield from self._rows(key, [(name, cards) for name, cards in found if cards])
 
     def close(self) -> None:
         pass
