@@ -163,6 +163,18 @@ def test_matching_again_keeps_a_bounded_size_estimate(spark):
     assert sorted(r.article_id for r in done.edges.collect()) == [0, 1, 2, 3]
 
 
+def test_matching_again_decides_once_a_round(spark, monkeypatch):
+    """Articles that start stories are not judged a second time against the stories their round has judged them by."""
+    arts, emb = world(spark, [(1, 0.0, 0, ""), (2, 2.0, 0, ""), (3, 2.0, 1, "")])
+    stories = spark.createDataFrame([(10, "ACTIVE", "en"), (20, "ACTIVE", "en")], "story_id long, status string, language string")
+    members = spark.createDataFrame([(10, 1), (20, 2)], "story_id long, article_id long")
+    asked, decide = [], match.decide_snapshot
+    monkeypatch.setattr(match, "decide_snapshot", lambda *a, **k: asked.append(1) or decide(*a, **k))
+    done = match.reprocess_articles(members, arts, emb, stories, embed.story_vector(members, emb), members, arts, arts, model_key=KEY)
+    assert {(r.article_id, r.story_id, r.method) for r in done.edges.collect()} == {(1, 1, "CREATED_STORY"), (2, 2, "CREATED_STORY")}
+    assert len(asked) == 1
+
+
 def test_story_vector_and_withdrawal(spark):
     _, emb = world(spark, [(1, 0.0, 0, ""), (2, 1.0, 0, ""), (3, 0.0, 0, ""), (4, float(np.pi), 0, "")])
     members = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4), (3, 9)], "story_id long, article_id long")
