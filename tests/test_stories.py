@@ -353,3 +353,24 @@ def test_topic_words_of_all_scripts_without_the_name_rules(spark):
     stop = set(words.TOPIC_STOPWORDS)
     assert {(r.article_id, r.word) for r in got.collect()} == {tuple(r) for r in old.collect() if r.word not in stop}
     assert {"strasse", "full", "finance", "harbour"} <= {r.word for r in got.collect()}
+
+
+def test_topics_are_added_up_before_entity_words_are_left_out(spark):
+    """The rows of single members do not go to the join with the entity words, and the topics are those of `topic_words`."""
+    said = ["The Elsby harbour closed. Boats waited near Elsby harbour.", "Boats left the harbour; boats came to Elsby.", "Boats came."]
+    texts = spark.createDataFrame([(1, i, x) for i, x in enumerate(said)] + [(2, 0, said[0]), (2, 0, said[0])],
+                                  "story_id long, article_id long, text string")
+    found = spark.createDataFrame([(1, 0, "PLACE", "elsby boats", "Elsby Boats", 1)],
+                                  "story_id long, article_id long, kind string, key string, name string, n long")
+    got = enrich.topic_scores(texts, found=found)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [line for line in plan[next(i for i, line in enumerate(plan) if "LeftAnti" in line):] if "Aggregate [" in line]
+    assert "article_id" not in below[0].split("], [")[0]
+    words_of = {}
+    for r in enrich.topic_words(texts, found).collect():
+        a, u = words_of.get((r.story_id, r.word), (0, 0))
+        words_of[r.story_id, r.word] = (a + 1, u + r.n)
+    best = sorted((s, -a, -u, w) for (s, w), (a, u) in words_of.items())
+    ranked = [(r.story_id, r.word) for r in got.orderBy("story_id", "rank").collect()]
+    assert ranked == [(s, w) for s, _, _, w in best] and (1, "boats") not in ranked and (2, "boats") in ranked
+    assert {r.score for r in got.filter("word = 'harbour' AND story_id = 1").collect()} == {2 / 3}
