@@ -4,6 +4,9 @@ Writing: one record per row. Equal payloads are found by SHA-256 and length; onl
 grouped. The row with the smallest id writes a `response`, the others a `revisit` that refers to
 it; smaller payloads than `min_bytes` are always written whole. A record ends with CR LF CR LF,
 which is the line separator of Spark's text writer, so archives are written and committed by it.
+They are plain unless `compression` is "gzip", which makes one gzip stream of each file (not one
+member per record). The round trip packs its files: its payloads lie on the disk a second time, in the
+shuffle, and pages are stored packed, so plain archives alone may be several times the input.
 
 Reading: tasks look for the magic string in the bytes of a file, take every place as a candidate
 record, read its header and emit the candidate with its successor (header end + Content-Length +
@@ -97,10 +100,11 @@ def records(pages: DataFrame, page_id: str, url: str, html: str, min_bytes: int,
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
-          min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Archives of all rows in `folder`."""
+          min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE,
+          compression: str = "none") -> None:
+    """Archives of all rows in `folder`, plain or, with `compression` "gzip", each file one gzip stream."""
     records(pages, page_id, url, html, min_bytes, date).write.option("lineSep", "\r\n\r\n").option(
-        "maxRecordsPerFile", records_per_file).text(folder)
+        "maxRecordsPerFile", records_per_file).option("compression", compression).text(folder)
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+): (.*)$", re.M)
@@ -210,8 +214,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return reachable(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def round_trip(pages: DataFrame, **how) -> DataFrame:
+def round_trip(pages: DataFrame, compression: str = "gzip", **how) -> DataFrame:
     """Write `pages` to a new folder beside the checkpoints and read the archives back."""
     folder = f"{scratch_folder(pages.sparkSession)}/warc"
-    write(pages, folder, **how)
+    write(pages, folder, compression=compression, **how)
     return read(pages.sparkSession, folder)

@@ -336,6 +336,25 @@ def test_warc_of_gzip_members(spark, tmp_path):
     assert sorted(map(tuple, warc.read(spark, str(packed)).collect()), key=str) == want and len(want) == 30
 
 
+def test_warc_round_trip_packs_its_archives(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "WARC/1.1\r\n", "é☃", "\x1f\x8b"]) for _ in range(n))
+    rows = [(k, f"http://h/{k}", say(400)) for k in range(60)] + [(60, None, None), (61, "u", ""), (None, "u", say(5)), (62, "u", say(60_000))]
+    rows += [(100 + k, "u", rows[k][2]) for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    plain = tmp_path / "plain"
+    warc.write(pages, str(plain), records_per_file=20)
+    want = sorted(map(tuple, warc.read(spark, str(plain)).collect()), key=str)
+    monkeypatch.setattr(warc, "scratch_folder", lambda spark: str(tmp_path / "trip"))
+    assert sorted(map(tuple, warc.round_trip(pages, records_per_file=20).collect()), key=str) == want and len(want) == len(rows)
+    # every record stands whole in the packed files, which take a fraction of the plain ones
+    packed = [f.read_bytes() for f in (tmp_path / "trip" / "warc").glob("part-*")]
+    ends = [f.read_bytes() for f in plain.glob("part-*")]
+    cut = lambda files: sorted(d[c[0]:c[1]] for d in files for c in warc.candidates_of(d))
+    assert cut(map(warc.plain, packed)) == cut(ends) and len(cut(ends)) == len(rows)
+    assert sum(map(len, packed)) < 0.5 * sum(map(len, ends))
+
+
 def test_warc_broken_chain_is_an_error(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nrubbish")
     with pytest.raises(ValueError):
