@@ -374,3 +374,20 @@ def test_topics_are_added_up_before_entity_words_are_left_out(spark):
     ranked = [(r.story_id, r.word) for r in got.orderBy("story_id", "rank").collect()]
     assert ranked == [(s, w) for s, _, _, w in best] and (1, "boats") not in ranked and (2, "boats") in ranked
     assert {r.score for r in got.filter("word = 'harbour' AND story_id = 1").collect()} == {2 / 3}
+
+
+def test_refresh_query_makes_the_whole_generation(spark, tmp_path):
+    """The query's rows tell of every table of the generation, and nothing of a generation is left out."""
+    from eventweave.plans.registry import QUERIES
+
+    text = "Storm hits Elsby\nThe storm reached Elsby harbour on Monday. Fishing boats left the quay near Port Almen."
+    spark.createDataFrame([(i, text if i // 12 != 4 else "", "en", "wire", len(text)) for i in range(72)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.story_id: r.asDict() for r in QUERIES["refresh_stories"](spark, str(tmp_path)).collect()}
+    assert got[3]["refresh_state"] == "CURRENT" and got[4]["refresh_state"] == "FAILED" and len(got) == 6
+    made = {s: (r["vectors"], r["topics"], r["entities"], r["elements"]) for s, r in got.items()}
+    whole = "Storm hits Elsby\n\n" + text.replace("\n", " ")
+    texts = spark.createDataFrame([(3, i, whole) for i in range(36, 48)], "story_id long, article_id long, text string")
+    assert made.pop(3) == (1, enrich.topic_scores(texts).count(), enrich.entity_scores(texts).count(), 3)
+    assert set(made.values()) == {(0, 0, 0, 0)}
