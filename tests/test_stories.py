@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 
+from eventweave import policy
 from eventweave.functions import words
 from eventweave.operators import candidates as cd
 from eventweave.operators import embed, enrich, match, quality, read, refresh, synthesis
@@ -391,3 +392,26 @@ def test_refresh_query_makes_the_whole_generation(spark, tmp_path):
     texts = spark.createDataFrame([(3, i, whole) for i in range(36, 48)], "story_id long, article_id long, text string")
     assert made.pop(3) == (1, enrich.topic_scores(texts).count(), enrich.entity_scores(texts).count(), 3)
     assert set(made.values()) == {(0, 0, 0, 0)}
+
+
+def test_synthesis_writes_only_lines_that_can_be_taken(spark, monkeypatch):
+    """Elements and supporters are those of all lines, but plain lines that no story can take are not written."""
+    say = lambda i, j: [f"Plain line number {'abcdefgh'[(i * j) % 8]} is said again.", f"In Almen {j % 3 + i % 2} boats left the harbour quay.",
+                        f"Member {'xyz'[i % 3]} speaks of point {'klmnopqrstuvw'[j % 13]} here."][(i + j) % 3]
+    rows = [(i, i, f"Title {i // 4}", "", " ".join(say(i, j) for j in range(40)), T0 + timedelta(hours=i % 3), T0, T0) for i in range(12)]
+    arts = spark.createDataFrame(rows, ARTICLES)
+    members = spark.createDataFrame([(i // 4, i) for i in range(12)] + [(0, 11), (2, 11)], "story_id long, article_id long")
+    written = []
+    monkeypatch.setattr(synthesis, "cut_lineage", lambda df: written.append(df) or df)
+    got = synthesis.synthesize(members, arts)
+    inputs = synthesis.synthesis_input(members, arts)
+    lines = synthesis.claims(inputs)
+    wanted = synthesis.lead_sentences(lines, synthesis.contested_claims(lines))
+    cited = wanted.alias("e").join(inputs.select("story_id", "article_id", "at", "title", F.col("text").alias("body")), "story_id").filter(
+        F.expr("CASE WHEN kind = 'TITLE' THEN title = e.text ELSE contains(body, e.text) END"))
+    want = {}
+    for r in cited.orderBy("at").collect():
+        want.setdefault((r.story_id, r.kind, r.position, r.text), []).append(r.article_id)
+    assert {(r.story_id, r.kind, r.position, r.text): r.article_ids for r in got.collect()} == want and len(want) > 12
+    plain = written[0].filter("ord >= 0 AND size(figures) = 0").groupBy("story_id", "article_id").count()
+    assert plain.agg(F.max("count")).first()[0] <= 2 * (policy.MAX_SUMMARY + policy.MAX_CONTEXT) and written[0].count() < lines.count()
