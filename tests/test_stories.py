@@ -1,5 +1,8 @@
 """Retrieval, matching, synthesis and quality on small hand-made rows."""
 
+import re
+import unicodedata
+from collections import Counter
 from datetime import datetime, timedelta
 from itertools import combinations
 
@@ -415,3 +418,33 @@ def test_synthesis_writes_only_lines_that_can_be_taken(spark, monkeypatch):
     assert {(r.story_id, r.kind, r.position, r.text): r.article_ids for r in got.collect()} == want and len(want) > 12
     plain = written[0].filter("ord >= 0 AND size(figures) = 0").groupBy("story_id", "article_id").count()
     assert plain.agg(F.max("count")).first()[0] <= 2 * (policy.MAX_SUMMARY + policy.MAX_CONTEXT) and written[0].count() < lines.count()
+
+
+def test_topics_move_words_once_and_write_no_mentions(spark, monkeypatch):
+    """Words are counted before they move, go once to their story and word, and mentions are not written on the way. Members with
+    several texts are added up."""
+    said = ["Boats left. The old harbour harbour near Elsby closed.", "Elsby boats: harbour ﬁnance Élsby, strasse STRASSE straße.", "", "Closed harbour.",
+            "Near Elsby Harbour boats boats."]
+    rows = [(i % 3 if i < 20 else None, i % 7, said[i % 5]) for i in range(24)]
+    texts = spark.createDataFrame(rows, "story_id long, article_id long, text string")
+    found = [r for r in enrich.mentions(texts).collect()]
+    names = {(r.story_id, w) for r in found for w in r.key.split(" ")}
+    n = Counter()
+    for s, a, t in rows:
+        for w in re.findall("[a-z]{4,}", unicodedata.normalize("NFKC", t).casefold()):
+            if w not in words.TOPIC_STOPWORDS and (s is None or (s, w) not in names):
+                n[s, a, w] += 1
+
+    def written(df):
+        raise AssertionError("mentions are written")
+
+    monkeypatch.setattr(enrich, "cut_lineage", written)
+    got = enrich.topic_words(texts)
+    assert {(r.story_id, r.article_id, r.word): r.n for r in got.collect()} == n and got.count() == len(n) > 30
+    top = enrich.topic_scores(texts, 100)
+    best = sorted((s, -sum(x == (s, w) for x in ((k[0], k[2]) for k in n)), -sum(c for k, c in n.items() if (k[0], k[2]) == (s, w)), w)
+                  for s, w in {(k[0], k[2]) for k in n if k[0] is not None})
+    assert [(r.story_id, r.word) for r in top.orderBy("story_id", "rank").collect()] == [(s, w) for s, _, _, w in best]
+    for df in (got, top):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(story_id#\d+L?, article_id#\d+L?, word", plan)
