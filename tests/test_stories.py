@@ -448,3 +448,38 @@ def test_topics_move_words_once_and_write_no_mentions(spark, monkeypatch):
     for df in (got, top):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"hashpartitioning\(story_id#\d+L?, article_id#\d+L?, word", plan)
+
+
+def test_narrow_bounds_visit_few_cells(spark):
+    """Under a narrow bound an article visits the cells around it only, and the rows, also the earlier ones, are those of all blocks."""
+    rng = np.random.default_rng(5)
+    vectors = [rng.normal(size=24) for _ in range(300)]
+    vectors += [v + rng.normal(scale=1e-3, size=24) for v in vectors[:60]] + vectors[:30]
+    made = [(i, KEY, "en", 1000 * (i % 97), 1000 * (i % 97), 10 ** 9, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows = spark.createDataFrame(made, "id long, model_key string, lang string, t long, lo long, hi long, vector array<double>")
+    for earlier in (False, True):
+        how = {"k": 2, "max_distance": 1e-4, "bucket_us": 10 ** 12, "earlier_only": earlier, "block_rows": 16}
+        want = {tuple(r) for r in cd.blocked_topk(rows, rows, **how).collect()}
+        assert {tuple(r) for r in cd.nearest_rows(rows, rows, **how).collect()} == want and len(want) > 50
+        assert "home" in cd.nearest_rows(rows, rows, **how)._jdf.queryExecution().analyzed().toString()
+    left, right = cd._bucketed(rows, rows, 10 ** 12)
+    dealt, cells = cd.pivot_cells(right, 16)
+    visits = cd.pivot_visits(left, cells, 1e-4).agg(F.avg(F.size("cells"))).first()[0]
+    assert cells.count() > 15 and visits < 3
+
+
+def test_no_text_is_moved_where_no_pair_is_in_doubt(spark, monkeypatch):
+    """Texts are asked for the evidence of doubtful pairs only."""
+    asked = []
+    evidence = match.member_evidence
+    monkeypatch.setattr(match, "member_evidence", lambda *a, **k: asked.append(a[4]) or evidence(*a, **k))
+    batch = spark.createDataFrame([(1, "en", T0)], "article_id long, language string, event_time timestamp")
+    emb = spark.createDataFrame([(1, KEY, [1.0, 0.0]), (2, KEY, [1.0, 0.0])], "article_id long, model_key string, vector array<float>")
+    stories = spark.createDataFrame([(7, "ACTIVE", "en")], "story_id long, status string, language string")
+    story_emb = spark.createDataFrame([(7, KEY, [1.0, 0.0])], "story_id long, model_key string, vector array<double>")
+    members = spark.createDataFrame([(7, 2)], "story_id long, article_id long")
+    times = spark.createDataFrame([(2, T0)], "article_id long, event_time timestamp")
+    texts = spark.createDataFrame([(i, "Elsby", "", "Elsby") for i in (1, 2)], "article_id long, title string, description string, body_text string")
+    got = match.decide_snapshot(batch, emb, stories, story_emb, members, times, texts, model_key=KEY).collect()
+    assert [(r.kind, r.rule, r.story_id) for r in got] == [("MATCH", "PRIMARY_DISTANCE", 7)]
+    assert asked[0]._jdf.queryExecution().optimizedPlan().maxRows().get() == 0
